@@ -29,7 +29,7 @@ from paneltide.llm.common import Memo, map_texts, written
 #: Words remembered with their ids by one worker at most.
 REMEMBERED = 500_000
 #: Outside of these, lower case and composition are left to the library.
-PLAIN = re.compile("[^\x00-\x1b\x20-ɏ]")
+PLAIN = re.compile("[^\x00-\x1b\x20-\u024f]")
 #: Rows of one length that are ranked in one group, about.
 RANKED_TOGETHER = 20_000
 
