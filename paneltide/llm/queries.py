@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import lang_id, packing, quality, secret_scan, token_count
+from paneltide.llm import lang_id, packing, quality, secret_scan, token_count, winnow
 from paneltide.llm.common import crc_of_id, documents
 
 
@@ -41,5 +41,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing)}
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing)}
 ORACLE_SQL: dict[str, str] = {}
