@@ -234,7 +234,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         langs, scores, spans = label(held.value, texts)
         return {"doc_id": ids, "lang_pred": langs, "score": scores, "spans": spans}
 
-    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, "doc_id long, lang_pred string, score double, spans string")
+    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, "doc_id long, lang_pred string, score double, spans string", step=1 << 20)
 
 
 def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -244,7 +244,7 @@ def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "
 
     def keep(batches):
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, 1 << 20):
                 langs, scores, _ = label(held.value, part.column(text).to_pylist())
                 yield part.filter(pa.array([x != UND and s >= least for x, s in zip(langs, scores)]))
 

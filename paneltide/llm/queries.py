@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import lang_id, near_dup, packing, quality, secret_scan, token_count, winnow
+from paneltide.llm import flac, lang_id, near_dup, packing, quality, secret_scan, token_count, winnow
 from paneltide.llm.common import crc_of_id, documents
 
 
@@ -19,6 +19,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(documents(spark, sf_dir))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learnt outside of fold 2; the share of good rows comes from the labels there."""
     known = labels.where((crc_of_id() % 4 != 2) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -49,5 +53,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dup, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dup, op3_flac_media, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing)}
 ORACLE_SQL: dict[str, str] = {}
