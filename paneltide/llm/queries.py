@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import flac, lang_id, near_dup, packing, quality, secret_scan, token_count, winnow
+from paneltide.llm import chat_format, flac, lang_id, near_dup, packing, piece_codec, quality, secret_scan, token_count, winnow
 from paneltide.llm.common import crc_of_id, documents
 
 
@@ -23,6 +23,10 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(documents(spark, sf_dir))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), spark)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learnt outside of fold 2; the share of good rows comes from the labels there."""
     known = labels.where((crc_of_id() % 4 != 2) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -53,5 +57,9 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dup, op3_flac_media, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing)}
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dup, op3_flac_media, op4_chat_format, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {}
