@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from paneltide.plans import window_queries  # noqa: F401  (each module registers its queries)
+from paneltide.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "n04_trend"
