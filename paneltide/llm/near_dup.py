@@ -8,9 +8,10 @@ points as there are registers, whatever the weights. Two registers agree with a
 sum(min)/sum(max) of the weights.
 
 Registers are banded. A bucket of the bands compares its documents with one of them (a star), so
-a group of n copies costs n comparisons; a second star has another centre. What still lies in one
-bucket but in different classes is compared in full: documents outside the centre's class with all
-others. Every comparison that counts is on the bags themselves.
+a group of n copies costs n comparisons; the centre is the document that shares most buckets. Of
+what still lies in one bucket but in different classes, documents outside the centre's class meet
+all others, unless an exact bound from both's comparison with their centre rules the pair out.
+Every comparison that counts is on the bags themselves.
 
 Defined results: words are runs of ASCII letters, digits and other code points above 127, in lower
 case; a text of one to four words is one shingle; texts without words are copies only if equal;
@@ -36,6 +37,8 @@ REGISTERS = BANDS * ROWS
 #: Expected points per register that are drawn at first; registers still empty get more time.
 FILL = 9.0
 THRESHOLD = 0.8
+#: Words of 64 bits that sketch what a document has beyond its bucket's centre.
+SKETCH = 16
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,11 +169,42 @@ def alike_in_size(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * threshold
 
 
-def linked(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags (found: doc_id, bag) overlap enough."""
+def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b, weight) with both sizes, what they share, and a bit sketch of what a has alone."""
     both = written(pairs, "pairs").join(found.toDF("a", "bag_a"), "a").join(found.toDF("b", "bag_b"), "b")
-    shared = F.size(F.array_intersect("bag_a", "bag_b"))
-    return written(both.where(shared >= (F.size("bag_a") + F.size("bag_b") - shared) * threshold).select("a", "b"), "links")
+    names = ["a", "b", "weight", "bag_a", "bag_b"]
+
+    def run(batches):
+        for batch in batches:
+            out = {k: [] for k in ("shared", "size_a", "size_b")}
+            bits = np.zeros((batch.num_rows, SKETCH), np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                alone = x[~np.isin(x, y)].view(np.uint64)
+                np.bitwise_or.at(bits[i], (alone >> np.uint64(6)) % np.uint64(SKETCH), np.uint64(1) << (alone & np.uint64(63)))
+                for k, v in zip(out, (len(x) - len(alone), len(x), len(y))):
+                    out[k].append(v)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, pa.int64()) for v in out.values()), sketch], ["a", "b", "weight", *out, "sketch"])
+
+    return written(both.select(*names).mapInArrow(run, "a long, b long, weight long, shared long, size_a long, size_b long, sketch array<long>"), "compared")
+
+
+def links_of(compared_pairs: DataFrame, threshold: float) -> DataFrame:
+    return compared_pairs.where(F.col("shared") >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * threshold).select("a", "b")
+
+
+def may_reach(threshold: float) -> Column:
+    """Whether two documents of one bucket can be similar at all: an exact upper bound.
+
+    Both were compared with the bucket's centre c. With a = what x and c have in common, X what x has beyond c (and so for y), x and y share at most
+    min(a, b) within c, and of X and Y no more than their sketches have in common.
+    """
+    common = sum((F.bit_count(F.col("sketch_a")[i].bitwiseAND(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
+    hidden = F.least(F.col("alone_a") - F.col("bits_a"), F.col("alone_b") - F.col("bits_b"))
+    beyond = F.least(F.col("alone_a"), F.col("alone_b"), common + hidden)
+    most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b")) + beyond
+    return most >= (F.col("size_a") + F.col("size_b") - most) * threshold
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,24 +221,32 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     # Bags are made once, for the documents that share a bucket with another.
     shared = inside.select(F.col("node").alias("doc_id")).distinct()
     found = written(bag_rows(rows.join(shared, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags")
-    links = None
-    for star in range(2):
-        centre = F.min_by(F.struct("node", "size", "component"), F.xxhash64("node", F.lit(star)))
-        buckets = written(inside.groupBy("band", "value").agg(centre.alias("centre")), "centres")
-        spokes = inside.join(buckets, ["band", "value"]).where(F.col("component") != F.col("centre.component"))
-        spokes = spokes.where(alike_in_size(F.col("size"), F.col("centre.size"), threshold))
-        made = linked(spokes.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), found, threshold)
-        links = made if links is None else links.unionByName(made)
-        inside = _open_buckets(nodes, connected_components(links))
-    buckets = written(inside.groupBy("band", "value").agg(F.min_by("component", F.xxhash64("node", F.lit(1))).alias("most")), "most")
-    left = inside.join(buckets, ["band", "value"]).where("component <> most").select(
-        "band", "value", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("of_a"), "most"
-    )
-    others = inside.select("band", "value", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("of_b"))
-    rest = left.join(others, ["band", "value"]).where("of_a <> of_b AND (of_b = most OR a < b)")
-    rest = rest.where(alike_in_size(F.col("size_a"), F.col("size_b"), threshold))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = connected_components(links.unionByName(linked(rest, found, threshold)))
+    # The centre of a bucket is the document with most others around it: what copies were made from.
+    counts = written(inside.groupBy("band", "value").agg(F.count("*").alias("n")), "counts")
+    weights = written(inside.join(counts, ["band", "value"]).groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    inside = written(inside.join(weights, "node"), "weighted")
+    centre = F.max_by(F.struct("node", "size", "weight"), F.struct(F.col("weight"), -F.col("node")))
+    centres = written(inside.groupBy("band", "value").agg(centre.alias("centre")), "centres")
+    spokes = inside.join(centres, ["band", "value"]).where(F.col("node") != F.col("centre.node"))
+    star = compared(spokes.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("centre.weight").alias("weight")).distinct(), found)
+    links = links_of(star, threshold)
+
+    # What is left in one bucket and different classes: those outside of the centre's class with all.
+    inside = _open_buckets(inside.drop("component"), connected_components(links))
+    most = written(inside.groupBy("band", "value").agg(F.max_by("component", F.struct(F.col("weight"), -F.col("node"))).alias("most")), "most")
+    beyond = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), (F.col("size_a") - F.col("shared")).alias("alone"), "sketch")
+    blank = F.array_repeat(F.lit(0).cast("long"), SKETCH)  # of the centre itself
+    inside = inside.join(centres.select("band", "value", F.col("centre.node").alias("hub")), ["band", "value"]).join(beyond, ["node", "hub"], "left")
+    inside = written(inside.select(
+        "band", "value", "node", "size", "component", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("sketch", blank).alias("sketch")
+    ).withColumn("bits", F.aggregate("sketch", F.lit(0), lambda n, w: n + F.bit_count(w))), "placed")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "component", "alone", "sketch", "bits")]
+    left = inside.join(most, ["band", "value"]).where("component <> most").select("band", "value", "most", *side("a"))
+    others = inside.select("band", "value", *side("b"))
+    rest = left.join(others, ["band", "value"]).where("component_a <> component_b AND (component_b = most OR node_a < node_b)")
+    rest = rest.where(alike_in_size(F.col("size_a"), F.col("size_b"), threshold)).where(may_reach(threshold))
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.lit(0).cast("long").alias("weight")).distinct()
+    labels = connected_components(links.unionByName(links_of(compared(rest, found), threshold)))
     named = firsts.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     return marked.select("doc_id", "digest").join(written(named, "named"), "digest").select("doc_id", "class_id")
 
@@ -215,7 +257,7 @@ def _open_buckets(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         labelled = nodes.withColumn("component", F.col("node"))
     else:
         labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = written(labelled.select("node", "size", "band", "value", "component"), "labelled")
+        labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return written(labelled.join(written(mixed.select("band", "value"), "mixed"), ["band", "value"], "left_semi"), "open")
 
