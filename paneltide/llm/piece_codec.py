@@ -15,18 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from paneltide.llm.common import Memo, map_texts
+from paneltide.llm.common import map_texts
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -123,46 +121,16 @@ class PieceModel:
 
 
 class Codec:
-    """Encodes and decodes lists of texts with the rebuilt pipeline.
-
-    Where no piece can cross from one run of markers and letters to the next, the ids of a text are
-    those of its runs, and the ids of runs met before are remembered; only new ones are encoded.
-    """
-
-    REMEMBERED = 500_000
-    RUN = re.compile(" +[^ ]*")
+    """Encodes and decodes lists of texts with the rebuilt pipeline, several threads at a time."""
 
     def __init__(self, path: str):
-        self.model = PieceModel.read(path)
-        self.whole = self.model.backend()
-        self.pieces = [p for p, _, _ in self.model.pieces]
-        self.special = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind != NORMAL}
-        self.by_run = self.whole.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
-        if self.by_run:
-            from tokenizers import normalizers
-
-            self.runs = self.model.backend()
-            self.runs.normalizer = normalizers.Replace(" ", MARK)
-            self.fresh: dict[str, tuple[int, ...]] = {}
-            self.ids = Memo(lambda run: self.fresh[run], self.REMEMBERED)
+        self.tool = PieceModel.read(path).backend()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_run:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        runs = [self.RUN.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        new = list(set().union(*runs) - self.ids.keys())
-        self.fresh = {r: e.ids for r, e in zip(new, self.runs.encode_batch_fast(new, add_special_tokens=False))}
-        ids = self.ids.__getitem__
-        return [list(chain.from_iterable(map(ids, r))) for r in runs]
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        piece, out = self.pieces.__getitem__, []
-        for x in ids:
-            if self.special.isdisjoint(x) and self.model.dummy_prefix:
-                out.append("".join(map(piece, x)).replace(MARK, " ")[1:])
-            else:  # bytes and controls
-                out.append(self.whole.decode(x, skip_special_tokens=False))
-        return out
+        return self.tool.decode_batch(ids, skip_special_tokens=False)
 
 
 @cache
@@ -216,7 +184,7 @@ def round_trips(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", threads:
         expected = judge(path).encode(texts, num_threads=threads)
         return {
             "doc_id": ids, "n_chars": [len(t) for t in texts], "n_tokens": [len(m) for m in made],
-            "ids_crc32": [zlib.crc32(np.array(m, "<u4").tobytes()) for m in made],
+            "ids_crc32": [zlib.crc32(array("I", m).tobytes()) for m in made],
             "decoded_sha256": [hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back],
             "round_trip": [a == b for a, b in zip(texts, back)], "parity": [a == b for a, b in zip(made, expected)],
         }
