@@ -37,6 +37,8 @@ REGISTERS = BANDS * ROWS
 #: Expected points per register that are drawn at first; registers still empty get more time.
 FILL = 9.0
 THRESHOLD = 0.8
+#: Bits of the filter by which documents are chosen for comparison: 8 MB, a fixed size.
+FILTER_BITS = 1 << 26
 #: Words of 64 bits that sketch what a document has beyond its bucket's centre.
 SKETCH = 16
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -152,17 +154,38 @@ def signed(rows: DataFrame) -> DataFrame:
     return map_texts(rows, kernel, "doc_id long, digest binary, size long, bands array<long>", step=1 << 20)
 
 
-def bag_rows(rows: DataFrame) -> DataFrame:
-    """doc_id and its bag as distinct numbers: the same shingle again is another number."""
+def slot_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    def kernel(ids, texts):
-        doc, element, weight = bags(*shingles([t or "" for t in texts]))
+
+def flagged(ids: DataFrame) -> np.ndarray:
+    """A bit per slot that one of the ids falls to: FILTER_BITS bits, however many ids there are."""
+    slot = ids.select((slot_of("doc_id") + 1).alias("slot"))
+    rows = slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    flags = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        flags[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return flags
+
+
+def bag_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and its bag as distinct numbers (the same shingle again is another number).
+
+    Rows are chosen by the bits of the wanted ids, so texts are not shuffled; a document that only
+    shares a bit with a wanted one gets its bag for nothing, and none is missed.
+    """
+    flags = rows.sparkSession.sparkContext.broadcast(flagged(wanted))
+
+    def kernel(ids, slots, texts):
+        slots = np.array(slots, np.int64)
+        keep = np.flatnonzero(flags.value[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).tolist()
+        doc, element, weight = bags(*shingles([texts[i] or "" for i in keep]))
         nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
         numbers = mix64(np.repeat(element, weight) + nth.astype(np.uint64) * ODD).view(np.int64)
-        cut = np.cumsum(np.concatenate([[0], np.bincount(doc, weights=weight, minlength=len(ids))])).astype(np.int64)
-        return {"doc_id": ids, "bag": [numbers[a:b] for a, b in zip(cut[:-1], cut[1:])]}
+        cut = np.cumsum(np.concatenate([[0], np.bincount(doc, weights=weight, minlength=len(keep))])).astype(np.int64)
+        return {"doc_id": [ids[i] for i in keep], "bag": [numbers[a:b] for a, b in zip(cut[:-1], cut[1:])]}
 
-    return map_texts(rows, kernel, "doc_id long, bag array<long>", step=1 << 20)
+    return map_texts(rows.select("doc_id", slot_of("doc_id").alias("slot"), "text"), kernel, "doc_id long, bag array<long>", ["doc_id", "slot", "text"], step=1 << 20)
 
 
 def alike_in_size(a: Column, b: Column, threshold: float) -> Column:
@@ -220,7 +243,7 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     inside = _open_buckets(nodes, None)
     # Bags are made once, for the documents that share a bucket with another.
     shared = inside.select(F.col("node").alias("doc_id")).distinct()
-    found = written(bag_rows(rows.join(shared, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags")
+    found = written(bag_rows(rows, shared).dropDuplicates(["doc_id"]), "bags")
     # The centre of a bucket is the document with most others around it: what copies were made from.
     counts = written(inside.groupBy("band", "value").agg(F.count("*").alias("n")), "counts")
     weights = written(inside.join(counts, ["band", "value"]).groupBy("node").agg(F.sum("n").alias("weight")), "weights")
