@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -51,6 +52,19 @@ def pieces(batch: pa.RecordBatch, text: int, step: int = STEP_BYTES) -> Iterator
         stop = max(start + 1, int(np.searchsorted(ends, base + step, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for jobs that run inside the block; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def map_texts(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import map_texts, mix64, written
+from paneltide.llm.common import batches_of, map_texts, mix64, written
 from paneltide.llm.components import connected_components
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def signed(rows: DataFrame) -> DataFrame:
             digests.append(made.digest())
         return {"doc_id": ids, "digest": digests, "size": size, "bands": [b if s else [] for b, s in zip(bands, size)]}
 
-    return map_texts(rows, kernel, "doc_id long, digest binary, size long, bands array<long>", step=1 << 20)
+    return map_texts(rows, kernel, "doc_id long, digest binary, size long, bands array<long>", step=1 << 19)
 
 
 def slot_of(column: str) -> Column:
@@ -185,7 +185,7 @@ def bag_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         cut = np.cumsum(np.concatenate([[0], np.bincount(doc, weights=weight, minlength=len(keep))])).astype(np.int64)
         return {"doc_id": [ids[i] for i in keep], "bag": [numbers[a:b] for a, b in zip(cut[:-1], cut[1:])]}
 
-    return map_texts(rows.select("doc_id", slot_of("doc_id").alias("slot"), "text"), kernel, "doc_id long, bag array<long>", ["doc_id", "slot", "text"], step=1 << 20)
+    return map_texts(rows.select("doc_id", slot_of("doc_id").alias("slot"), "text"), kernel, "doc_id long, bag array<long>", ["doc_id", "slot", "text"], step=1 << 19)
 
 
 def alike_in_size(a: Column, b: Column, threshold: float) -> Column:
@@ -194,6 +194,7 @@ def alike_in_size(a: Column, b: Column, threshold: float) -> Column:
 
 def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b, weight) with both sizes, what they share, and a bit sketch of what a has alone."""
+    spark = found.sparkSession
     both = written(pairs, "pairs").join(found.toDF("a", "bag_a"), "a").join(found.toDF("b", "bag_b"), "b")
     names = ["a", "b", "weight", "bag_a", "bag_b"]
 
@@ -210,7 +211,9 @@ def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, pa.int64()) for v in out.values()), sketch], ["a", "b", "weight", *out, "sketch"])
 
-    return written(both.select(*names).mapInArrow(run, "a long, b long, weight long, shared long, size_a long, size_b long, sketch array<long>"), "compared")
+    made = both.select(*names).mapInArrow(run, "a long, b long, weight long, shared long, size_a long, size_b long, sketch array<long>")
+    with batches_of(spark, 256):  # a row holds two whole bags
+        return written(made, "compared")
 
 
 def links_of(compared_pairs: DataFrame, threshold: float) -> DataFrame:

@@ -198,7 +198,7 @@ def train(docs: DataFrame, positives: DataFrame, prior: float | None = None, mos
         return {"x": list(features(texts))}
 
     def collected(df: DataFrame) -> np.ndarray:
-        made = map_texts(df, kernel, "x array<double>", ["text"]).toPandas()["x"]
+        made = map_texts(df, kernel, "x array<double>", ["text"], step=1 << 19).toPandas()["x"]
         return np.array(sorted(made.tolist())).reshape(-1, WIDTH)
 
     p, u = collected(good), collected(chosen)
@@ -221,7 +221,7 @@ def predict(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
         s = score_texts(model, texts)
         return {"doc_id": ids, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
-    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, "doc_id long, score double, predicted int", step=1 << 20)
+    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, "doc_id long, score double, predicted int", step=1 << 19)
 
 
 def keep_good(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -234,7 +234,7 @@ def keep_good(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_co
 
     def keep(batches):
         for batch in batches:
-            for part in pieces(batch, text, 1 << 20):
+            for part in pieces(batch, text, 1 << 19):
                 yield part.filter(pa.array(score_texts(model, part.column(text).to_pylist()) >= threshold))
 
     return df.mapInArrow(keep, df.schema)
