@@ -27,17 +27,38 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+STRING = r"""(?:\b[rbfuRBFU]{1,2})?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*')"""
 TOKEN = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*')|(?P<op>==|!=|<=|>=|:=|=>|[=:+])"""
+    rf"""(?P<str>{STRING})|(?P<op>==|!=|<=|>=|:=|=>|\+=|\?\?=|\?=|[=:+])"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<raw>[^\s"'=:+,;(){}\[\]]+)|(?P<other>[^\s])"""
 )
-ASSIGNERS = {"=", ":", ":=", "=>"}
+ASSIGNERS = {"=", ":", ":=", "=>", "+=", "?=", "??="}
+BLANK = re.compile(r"[ \t]*")
+#: Between an operator and its value on a later line: white space, an opened bracket, a line that goes on.
+ONWARD = re.compile(r"(?:\s|\\\r?\n|\()*")
+PLUS = re.compile(r"(?:\s|\\\r?\n)*\+(?![+=])(?:\s|\\\r?\n)*")
+WHOLE_STRING = re.compile(STRING)
+WHOLE_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*")
+#: An unquoted value: to white space, comma, semicolon or line end; strings within it are taken whole.
+UNQUOTED = re.compile(r"""(?:"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|[^\s,;])+""")
+ASSIGNED = re.compile(r"[ \t]*(?:\?\?=|[?+:]?=(?![=>])|=>|:)")
+NAME_ENDS = re.compile(r"\s|[,;)\]}]|$")
+#: `: type =` between a name and its value.
+TYPED = re.compile(r"""[ \t]*((?:&[ \t]*(?:'\w+[ \t]+)?)?[A-Za-z_][^"'=:;{}()\n]*)=(?![=>])""")
+BRACKETED = re.compile(r"\[.*\]|<.*>")
+TYPE = re.compile(r"(?:&\s*(?:'\w+\s+)?(?:mut\s+)?)?[\w.]+\??(?:\s*\|\s*[\w.]+)*")
+BUILTIN_TYPES = {"str", "string", "bytes", "bytearray", "int", "float", "bool", "char", "any", "object", "byte", "rune", "error"}
+CHAINED = re.compile(r"""[ \t]*([A-Za-z_$][\w$.]*)(?:[ \t]+=(?![=>])|=(?=["']))""")
+CLOSERS = {")": "(", "]": "[", "}": "{"}
+BLOCK = re.compile(r"[ \t]*[|>][-+0-9]*[ \t]*\r?\n")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How strongly a part of a name says that its value is a secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "auth": 0.6, "authorization": 0.7}
 KEY_BEFORE = {"api", "access", "private", "secret", "signing", "encryption", "auth", "master"}
 HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|placeholder|redacted|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s?)$")
 MIN_SCORE, MIN_LITERAL = 0.5, 6
+#: First and last characters kept of a value: more than the longest word in HARMLESS.
+ENDS = 12
 
 
 def name_score(name: str) -> float:
@@ -51,53 +72,250 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret rather than a placeholder or a word, 0 to 1."""
-    if len(value) < MIN_LITERAL or HARMLESS.match(value) or value.count(" ") > 3:
+    return score_of(len(value), Counter(value), value)
+
+
+def score_of(size: int, counts: Counter, value: str) -> float:
+    """The same of a value by its size and letters; of `value` only what tells a placeholder counts."""
+    if size < MIN_LITERAL or HARMLESS.match(value) or counts[" "] > 3:
         return 0.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
+    bits = -sum(c / size * math.log2(c / size) for c in counts.values() if c / size)
     return min(1.0, 0.4 + bits / 5)
 
 
+class Value:
+    """What a name stands for: spans of literals and other values, in order."""
+
+    __slots__ = ("parts", "size", "counts", "head", "tail", "reported")
+
+    def __init__(self, parts: list):
+        self.parts, self.counts, self.reported = tuple(parts), None, False
+        self.size = sum(x.size if isinstance(x, Value) else x[1] - x[0] for x in parts)
+
+    def new_spans(self) -> list[tuple[int, int]]:
+        """The literals that no reported value among the parts has brought already."""
+        out, seen, todo = [], set(), [self]
+        while todo:
+            x = todo.pop()
+            if not isinstance(x, Value):
+                out.append(x)
+            elif not x.reported and id(x) not in seen:
+                seen.add(id(x))
+                todo.extend(x.parts)
+        return out[:64]
+
+    def looks_secret(self, text: str) -> float:
+        todo = [self]
+        while todo:
+            x = todo[-1]
+            below = [y for y in x.parts if isinstance(y, Value) and y.counts is None]
+            todo += below
+            if not below:
+                todo.pop().sum_up(text)
+        whole = self.size <= 2 * ENDS
+        middle = "" if whole else "".join(self.counts)  # as good as the letters between, to a placeholder's pattern
+        tail = self.tail[max(0, len(self.tail) - self.size + len(self.head)) :] if whole else self.tail
+        return score_of(self.size, self.counts, self.head + middle + tail)
+
+    def sum_up(self, text: str) -> None:
+        counts, head, tail = Counter(), "", ""
+        for x in self.parts:
+            if isinstance(x, Value):
+                counts.update(x.counts)
+                first, last = x.head, x.tail
+            else:
+                counts.update(text[x[0] : x[1]])
+                first, last = text[x[0] : min(x[1], x[0] + ENDS)], text[max(x[0], x[1] - ENDS) : x[1]]
+            head, tail = (head + first)[:ENDS], (tail + last)[-ENDS:]
+        self.counts, self.head, self.tail = counts, head, tail
+
+
+def inside(m: re.Match) -> tuple[int, int]:
+    """The span of a string literal without prefix and quotes."""
+    body = m.group().lstrip("rbfuRBFU")
+    quotes = 3 if len(body) >= 6 and body[:3] in ('"' * 3, "'" * 3) else 1
+    return (m.end() - len(body) + quotes, m.end() - quotes)
+
+
+def indent(text: str, at: int) -> int:
+    """White space before the first character of the line that holds `at`."""
+    start = text.rfind("\n", 0, at) + 1
+    return BLANK.match(text, start).end() - start
+
+
+def block(text: str, at: int, least: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the lines from `at` on that are indented by more than `least`, and where they end."""
+    spans = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        start, line = BLANK.match(text, at).end(), text[at:end]
+        if line.strip() and start - at <= least:
+            break
+        stop = at + len(line.rstrip())
+        if start < stop and not text.startswith("-----", start):
+            spans.append((start, stop))
+        at = end + 1
+    return spans, min(at, len(text))
+
+
+class Run:
+    """The last unquoted run: values that begin within it end where it ends, without another walk."""
+
+    start = stop = 0
+
+    def end(self, text: str, start: int) -> int:
+        """Where the run from `start` ends, without closing brackets that nothing in it opened."""
+        if not self.start <= start < self.stop:
+            self.start, self.stop = start, UNQUOTED.match(text, start).end()
+            self.opened = {c: text.rfind(o, start, self.stop) for c, o in CLOSERS.items()}
+        end = self.stop
+        while end > start and text[end - 1] in CLOSERS and self.opened[text[end - 1]] < start:
+            end -= 1
+        return end
+
+
+def followed(text: str, m: re.Match | None) -> bool:
+    """Whether a match is the name of another assignment."""
+    return bool(m and ASSIGNED.match(text, m.end()))
+
+
+def value_at(text: str, at: int, op: str, bound: dict[str, Value], run: Run) -> tuple[list, int, int | None]:
+    """Parts of the value that begins at `at`, where it ends, and where it starts if it is one unquoted run."""
+    if op == ":" and (m := BLOCK.match(text, at)):
+        return *block(text, m.end(), indent(text, at - 1)), None
+    start = ONWARD.match(text, at).end()
+    gap = text[at:start]
+    if "\n" in gap:
+        if followed(text, WHOLE_STRING.match(text, start) or WHOLE_NAME.match(text, start)):
+            return [], at, None
+        # Without a quote, a later line belongs to a name only in brackets, after a backslash or indented below it.
+        if not ("(" in gap or "\\" in gap or WHOLE_STRING.match(text, start)) and indent(text, start) <= indent(text, at - 1):
+            return [], at, None
+    parts, end, run_at = [], at, None
+    while True:
+        if m := WHOLE_STRING.match(text, start):
+            if parts and followed(text, m):
+                break
+            parts.append(inside(m))
+            end = m.end()
+            # Strings side by side are one; in brackets also on later lines.
+            while (n := WHOLE_STRING.match(text, (ONWARD if "(" in gap else BLANK).match(text, end).end())) and not followed(text, n):
+                parts.append(inside(n))
+                end = n.end()
+        elif (m := WHOLE_NAME.match(text, start)) and m.group() in bound and ends_name(text, m.end(), bound):
+            parts.append(bound[m.group()])
+            end = m.end()
+        elif start < len(text) and text[start] not in "[{,;" and not text[start].isspace():
+            if parts and followed(text, WHOLE_NAME.match(text, start)):
+                break
+            end = run.end(text, start)
+            if not parts and end > start and (end - start > 9 or text[start:end].lower() not in BUILTIN_TYPES):
+                parts.append((start, end))
+                run_at = start
+        else:
+            break
+        if not (m := PLUS.match(text, end)):
+            break
+        start = m.end()
+    return parts, end, run_at if len(parts) == 1 else None
+
+
+def ends_name(text: str, end: int, bound: dict[str, Value]) -> bool:
+    """Whether a bound name that ends here is a part by itself rather than the head of an unquoted run."""
+    if ASSIGNED.match(text, end):
+        return False
+    if text.startswith("+", end):
+        after = WHOLE_NAME.match(text, end + 1)
+        return bool(BLANK.match(text, end + 1).end() > end + 1 or WHOLE_STRING.match(text, end + 1) or end + 1 == len(text) or text[end + 1] == "\n" or (after and after.group() in bound))
+    return bool(NAME_ENDS.match(text, end))
+
+
+def annotated(text: str, at: int) -> tuple[str, int] | None:
+    """The type that stands between `:` and `=`, and the place behind the `=`."""
+    if not (m := TYPED.match(text, at)):
+        return None
+    kind = m[1].strip()
+    tight = m[1] == m[1].rstrip() and not (WHOLE_STRING.match(text, BLANK.match(text, m.end()).end()))
+    if tight or not TYPE.fullmatch(BRACKETED.sub("", kind).strip()):
+        return None
+    return kind, m.end()
+
+
+def bare(token: tuple[str, str]) -> str:
+    return token[1].lstrip("rbfuRBFU").strip("\"'") if token[0] == "str" else token[1]
+
+
+def targets(last: list[tuple[str, str]]) -> list[str]:
+    """The names that an operator behind these tokens assigns to."""
+    kinds, words = [k for k, _ in last], [w for _, w in last]
+    if kinds[-1:] in (["str"], ["name"]):
+        names = [bare(last[-1])]
+        if names[0].lower() in BUILTIN_TYPES:  # `name type =`, `name []type =`
+            k = -4 if words[-3:-1] == ["[", "]"] else -2
+            names += [words[k]] if len(last) >= -k and kinds[k] == "name" else []
+        return names
+    if kinds[-1:] == ["raw"] and name_score(words[-1]):
+        return words[-1:]
+    if words[-1:] == ["]"]:  # `name[...] =`, `name[] =`
+        if words[-2:-1] == ["["]:
+            return [w for k, w in last[-3:-2] if k == "name"]
+        if words[-3:-2] == ["["]:
+            return [bare(x) for x in (*last[-4:-3], last[-2]) if x[0] in ("name", "str")]
+    return []
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name.
 
-    A line `name = part + part` binds the name to its literals; a part that is a bound name
-    stands for the literals bound to it, so a constant is reported where it was written.
+    `name = part + part` binds the name to its literals; a part that is a bound name stands for
+    the literals bound to it, so a constant is reported where it was written. `+=` adds to what is
+    bound, a type between name and `=` is passed over, and a value may begin or go on in a later
+    line. An unquoted value runs to white space, comma, semicolon or line end. What extends a
+    secret that was reported is a secret.
     """
-    bound: dict[str, list[tuple[int, int]]] = {}
+    bound: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
-    at = 0
+    at, pos, run = 0, 0, Run()
     for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            tokens = [(m.lastgroup, m.group(), m.start() + at) for m in TOKEN.finditer(line)]
-            k = 1
-            while k < len(tokens):
-                (kind, name, _), (what, op, _) = tokens[k - 1], tokens[k]
-                if what != "op" or op not in ASSIGNERS or kind not in ("name", "str"):
-                    k += 1
-                    continue
-                name, spans, k = name.strip("\"'"), [], k + 1
-                while k < len(tokens):
-                    kind, value, start = tokens[k]
-                    if kind == "str":
-                        spans.append((start + 1, start + len(value) - 1))
-                    elif kind == "name" and value in bound:
-                        spans += bound[value]
-                    elif kind in ("name", "raw") and not spans:
-                        spans.append((start, start + len(value)))
-                    else:
-                        break
-                    k += 1
-                    if k < len(tokens) and tokens[k][1] == "+":
-                        k += 1
-                        continue
-                    break
-                bound[name] = spans[:64]
-                if spans and (s := name_score(name)):
-                    whole = "".join(text[a:b] for a, b in spans)
-                    if s * literal_score(whole) >= MIN_SCORE:
-                        found.update(x for x in spans if x[1] > x[0])
-        at += len(line) + 1
+        pos, end = max(at, pos), at + len(line)
+        at = end + 1
+        if "=" not in line and ":" not in line:
+            continue
+        last: list[tuple[str, str]] = []
+        while pos < end and (m := TOKEN.search(text, pos, end)):
+            pos, op = m.end(), m.group()
+            names = targets(last) if m.lastgroup == "op" and op in ASSIGNERS else []
+            if not names:
+                last = [*last[-3:], (m.lastgroup, op)]
+                continue
+            last, begin = [], pos
+            if op == ":" and (typed := annotated(text, pos)):
+                kind, begin = typed
+                if kind.lower() not in BUILTIN_TYPES and WHOLE_NAME.fullmatch(kind) and (kind[0].islower() or name_score(kind)):
+                    names.append(kind)
+                op = "="
+            while m := CHAINED.match(text, begin):
+                names.append(m[1])
+                begin = m.end()
+            parts, pos, run_at = value_at(text, begin, op, bound, run)
+            if not parts:
+                continue
+            reported = False
+            for name in names:
+                mine = [bound[name], *parts] if op == "+=" and name in bound else parts
+                value = bound[name] = mine[0] if len(mine) == 1 and isinstance(mine[0], Value) else Value(mine)
+                if (s := name_score(name)) and not value.reported:
+                    if any(isinstance(x, Value) and x.reported for x in value.parts) or s * value.looks_secret(text) >= MIN_SCORE:
+                        found.update(x for x in value.new_spans() if x[1] > x[0])
+                        value.reported = True
+                reported |= value.reported
+            if run_at is not None and not reported:
+                # A run that is no secret may hold an assignment: `url: http://host?key=value`.
+                pos = run_at
+                if run_at < end:
+                    m = TOKEN.match(text, run_at, end)
+                    pos, last = m.end(), [(m.lastgroup, m.group())]
     return sorted(found)
 
 
