@@ -102,7 +102,7 @@ class Value:
             elif not x.reported and id(x) not in seen:
                 seen.add(id(x))
                 todo.extend(x.parts)
-        return out[:64]
+        return out
 
     def looks_secret(self, text: str) -> float:
         todo = [self]

@@ -365,3 +365,11 @@ def test_forms_of_assignment(text, want):
     out = secret_scan.redacted(text)
     assert not any(w in out for w in want) and out.count("[SECRET]") >= bool(want)
     assert ("user: bob" in out) == ("user: bob" in text) and ("export FOO" in out) == ("export FOO" in text)
+
+
+def test_constants_pass_on_all_their_literals():
+    lines = ['pem = "Zx81/kQ9"', *(f'pem = pem + "l{i}ne+9Z"' for i in range(300)), "private_key = pem"]
+    text = "\n".join(lines)
+    assert len(secret_scan.lexed(text)) == 301 and not re.search("Zx81|l[0-9]+ne", secret_scan.redacted(text))
+    twice = 'x = "aB3dE5fG"\n' + "x = x + x\n" * 200 + "password = x"
+    assert [twice[a:b] for a, b in secret_scan.lexed(twice)] == ["aB3dE5fG"]
