@@ -6,7 +6,8 @@ and a Viterbi pass with a switching penalty labels the words, so that a change o
 more than a few doubtful words can pay.
 
 Defined results: a null text or one without a letter is `und` with score 0; letters of a script
-that no training row used give the most frequent language with score 0; ties go to the language
+that no training row used give the most frequent language with score 0; so do, with their own
+label, words far less likely than those of the language's training rows; ties go to the language
 first in alphabetical order; repeated rows each give the same result; a table without a single
 labelled row gives `und` everywhere.
 """
@@ -41,6 +42,9 @@ BUCKETS = 1 << 16
 #: Training rows taken per language, about; the only bound here, and on training alone.
 ROWS_PER_LANGUAGE = 4000
 SWITCH_PENALTY = 12.0
+#: A text is of no learnt language where its letters are so many deviations less likely than in training;
+#: with fewer training rows than this a language has no such floor.
+DEVIATIONS, LEAST_ROWS = 8.0, 20
 UND = "und"
 
 
@@ -105,6 +109,7 @@ class Model:
     logp: np.ndarray  # BUCKETS x languages
     uses: np.ndarray  # scripts x languages
     common: int
+    usual: np.ndarray | None = None  # languages x (mean log-likelihood of a letter, variance of texts, of letters)
 
     def word_scores(self, w: Words) -> np.ndarray:
         """Log-likelihood of each word under each language; far down where the script rules it out."""
@@ -119,6 +124,13 @@ class Model:
         scores[~self.uses[w.script].any(axis=1)] = 0.0
         return scores
 
+    def too_rare(self, language: np.ndarray, mean: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Whether texts with this mean log-likelihood of a letter lie below the floor of their language."""
+        if self.usual is None:
+            return np.zeros(len(language), bool)
+        centre, texts, each = self.usual[language].T
+        return mean < centre - DEVIATIONS * np.sqrt(texts + each / np.maximum(1, letters))
+
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; texts run in step, longest first, so each step is one array operation."""
@@ -150,7 +162,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Counts n-grams per language over about `per_language` whole rows each, chosen by a hash of the text.
 
-    What reaches the driver is bounded by buckets times languages.
+    The rows are counted in two halves, and how likely a letter usually is comes from each half
+    under the counts of the other. What reaches the driver is bounded by buckets times languages,
+    and by three numbers for each chosen row.
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -159,15 +173,16 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
     if not k:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool), 0)
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / totals[lang]))))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    half = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half")
+    chosen = rows.select("lang", "text", half).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     number = {lang: i for i, lang in enumerate(languages)}
     width = BUCKETS + len(NAMES)
 
     def count(batches):
-        made = np.zeros((k, width), np.int64)
+        made = np.zeros((2 * k, width), np.int64)
         for batch in batches:
             for part in pieces(batch, 1):
-                langs, texts = np.array([number[x] for x in part.column(0).to_pylist()]), part.column(1).to_pylist()
+                langs, texts = np.array([number[x] for x in part.column(0).to_pylist()]) + k * part.column(2).to_numpy(), part.column(1).to_pylist()
                 w = words_of(texts)
                 owner = langs[np.maximum(0, np.searchsorted(w.text_start, np.arange(len(w.letters)), side="right") - 1)]
                 for bucket, counts in gram_buckets(w.letters):
@@ -175,23 +190,69 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
                     at = np.flatnonzero(counts)
                     np.add.at(made, (owner[at + 1], bucket[at]), 1)
                 np.add.at(made, (langs[w.doc], BUCKETS + w.script.astype(np.int64)), 1)
-        for i in range(k):
+        for i in range(2 * k):
             at = np.flatnonzero(made[i])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(made[i, at])], ["language", "cell", "n"])
 
     counted = chosen.mapInArrow(count, "language long, cell long, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toPandas()
-    made = np.zeros((k, width))
+    made = np.zeros((2 * k, width))
     made[counted.language, counted.cell] = counted.n
+    common = max(range(k), key=lambda i: totals[languages[i]])
+    halves = [model_of(languages, x, common) for x in (made[k:], made[:k])]  # for each half, the other's
+    held = df.sparkSession.sparkContext.broadcast(halves)
+
+    def measure(batches):
+        for batch in batches:
+            for part in pieces(batch, 1, 1 << 20):
+                own, fold = np.array([number[x] for x in part.column(0).to_pylist()]), part.column(2).to_numpy()
+                for h in (0, 1):
+                    at = np.flatnonzero(fold == h)
+                    if len(at):
+                        letters, mean = likelihood(held.value[h], part.column(1).take(pa.array(at)).to_pylist(), own[at])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(letters, pa.float64()), pa.array(mean, pa.float64())], ["language", "letters", "mean"])
+
+    measured = chosen.mapInArrow(measure, "language long, letters double, mean double").where("letters > 0").toPandas()
+    usual = np.array([usual_of(x.letters.to_numpy(), x["mean"].to_numpy()) for x in (measured[measured.language == i] for i in range(k))])
+    model = model_of(languages, made[:k] + made[k:], common)
+    model.usual = usual
+    return model
+
+
+def model_of(languages: list[str], made: np.ndarray, common: int) -> Model:
     grams, scripts = made[:, :BUCKETS] + 0.05, made[:, BUCKETS:]
     logp = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
     uses = (scripts > 0.01 * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T
-    return Model(languages, np.ascontiguousarray(logp), uses, max(range(k), key=lambda i: totals[languages[i]]))
+    return Model(languages, np.ascontiguousarray(logp), uses, common)
+
+
+def likelihood(model: Model, texts: list[str], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters in words labelled with each text's language, and their mean log-likelihood."""
+    w, n = words_of(texts), len(texts)
+    scores = model.word_scores(w)
+    labels = viterbi(scores, np.bincount(w.doc, minlength=n), SWITCH_PENALTY)
+    own = np.flatnonzero((labels == language[w.doc]) & model.uses[w.script, labels])
+    letters = np.bincount(w.doc[own], w.length[own], n).astype(float)
+    return letters, np.bincount(w.doc[own], scores[own, labels[own]], n) / np.maximum(1, letters)
+
+
+def usual_of(letters: np.ndarray, mean: np.ndarray) -> tuple[float, float, float]:
+    """Centre of the means, and the variance of texts and of single letters that their spread by length shows."""
+    if len(mean) < LEAST_ROWS:
+        return -np.inf, 0.0, 0.0
+    centre = float(np.average(mean, weights=letters))
+    texts = each = 1.0
+    for _ in range(5):
+        weight = 1 / (texts + each / letters)
+        fit = np.linalg.lstsq(np.stack([weight, weight / letters], axis=1), weight * (mean - centre) ** 2, rcond=None)[0]
+        texts, each = np.maximum(fit, (1e-4, 1.0))
+    return centre, float(texts), float(each)
 
 
 def label(model: Model, texts: list[str | None], penalty: float = SWITCH_PENALTY) -> tuple[list[str], list[float], list[str]]:
     """Language, score and spans (language:start:end, code points) of each text.
 
-    The score is the share of letters in words of the language, times how sure these words are.
+    The score is the share of letters, those of all scripts, in words of the language, times how sure
+    these words are; it is 0 where they are less likely than the language's floor.
     """
     w, k, n = words_of(texts), len(model.languages), len(texts)
     if not k:
@@ -211,8 +272,9 @@ def label(model: Model, texts: list[str | None], penalty: float = SWITCH_PENALTY
     mean = sums / np.maximum(1, words)[:, None] * np.minimum(words, 10)[:, None]
     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
     sure = odds[np.arange(n), pred] / odds.sum(axis=1)
-    share = weight[np.arange(n), pred] / np.maximum(1, total)
-    score = np.where(total > 0, share * sure, 0.0)
+    share = weight[np.arange(n), pred] / np.maximum(1, np.bincount(w.doc, w.length, n))
+    typical = ~model.too_rare(pred, sums[np.arange(n), pred] / np.maximum(1, weight[np.arange(n), pred]), weight[np.arange(n), pred])
+    score = np.where((total > 0) & typical, share * sure, 0.0)
     pred = np.where(total > 0, pred, model.common)
     langs = [model.languages[p] if ok else UND for p, ok in zip(pred.tolist(), w.has_letter.tolist())]
     new = np.ones(len(labels), bool)

@@ -373,3 +373,20 @@ def test_constants_pass_on_all_their_literals():
     assert len(secret_scan.lexed(text)) == 301 and not re.search("Zx81|l[0-9]+ne", secret_scan.redacted(text))
     twice = 'x = "aB3dE5fG"\n' + "x = x + x\n" * 200 + "password = x"
     assert [twice[a:b] for a, b in secret_scan.lexed(twice)] == ["aB3dE5fG"]
+
+
+@here
+def test_texts_of_no_learnt_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = lang_id.train(docs.where(fold != 0))
+    held = [r.text for r in docs.where(fold == 0).where("lang IS NOT NULL AND n_chars > 200").select("text").collect()]
+    word = held[0].split()[0]
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)) for _ in range(50)]
+    foreign = [f"{word} " + "собака бежит " * 500, "漢字 仮名 " * 500 + word, f"{word} " + "σκύλος " * 300, *noise]
+    kept = lambda texts: {r.doc_id for r in lang_id.keep_identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, 0.2).collect()}
+    assert not kept(foreign) and len(kept(held)) == len(held)
+    three = lang_id.train(docs.where("lang <> 'es'"))
+    unlearnt = docs.where("lang = 'es' AND n_chars > 200")
+    assert lang_id.keep_identified(unlearnt, three, 0.2).count() == 0 < unlearnt.count()
