@@ -24,7 +24,7 @@ def _(t):
 
 @query("b04_jump_regimes")
 def _(t):
-    return I.jump_regimes(W.market_regime_features(W.market_return(t.panel)), window=504)
+    return I.jump_regimes(W.market_regime_features(W.market_return(t.panel)))
 
 
 CAL = f"""WITH probs AS (SELECT date, ticker, score AS prob, CASE WHEN fwd_ret > 0 THEN 1.0::double ELSE 0.0 END AS hit FROM ({PREDS}) WHERE fwd_ret IS NOT NULL),

@@ -162,3 +162,22 @@ def test_backtest_known_day(spark):
     book = spark.createDataFrame(rows, "variant string, rebalance_every int, date date, next_date date, ticker string, score double, vol double, past array<double>, next_ret double, bps double, exposure double, entries boolean")
     first = I.backtest(book, 1, 1.0, 0.0, 10.0).orderBy("date").first()
     assert first.gross == pytest.approx(0.01) and first.cost == pytest.approx(7.5e-4) and first.turnover == pytest.approx(1.0)
+
+
+def test_turbulence_starts_with_its_shortest_past(spark):
+    rng = np.random.default_rng(5)
+    days = [100 * np.cumprod(1 + rng.normal(0, 0.01, 160)) for _ in range(6)]
+    panel = bars(spark, days[0], "T0")
+    for i in range(1, 6):
+        panel = panel.unionByName(bars(spark, days[i], f"T{i}"))
+    rows = I.turbulence(panel).orderBy("date").collect()
+    assert len(rows) == 160 - 20 and all(r.turb_h0 is not None for r in rows)
+    assert [r.turb_mahal is not None for r in rows] == [i >= 126 for i in range(20, 160)]
+
+
+@here
+def test_regimes_begin_after_the_whole_window(spark):
+    big = SF.replace("0.001", "0.1")
+    if not os.path.isdir(big):
+        pytest.skip("no longer panel")
+    assert catalog.QUERIES["b04_jump_regimes"](spark, big).count() <= 2499 - 1008
