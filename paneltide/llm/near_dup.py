@@ -289,6 +289,11 @@ def _open_buckets(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def keep_first(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose id names their class; repeated rows are kept once."""
-    named = classes(df, threshold, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(named, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
+    """The rows of df, all columns, whose id names their class; repeated rows are kept once.
+
+    A row without an id goes by a digest of its text, above any usual id, and is kept where its class has no other.
+    """
+    digest = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), digest))
+    named = classes(keyed, threshold, "_key", text_col).where("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(named, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)

@@ -390,3 +390,9 @@ def test_texts_of_no_learnt_language_are_rejected(spark):
     three = lang_id.train(docs.where("lang <> 'es'"))
     unlearnt = docs.where("lang = 'es' AND n_chars > 200")
     assert lang_id.keep_identified(unlearnt, three, 0.2).count() == 0 < unlearnt.count()
+
+
+def test_rows_without_an_id_stay(spark):
+    a, b, c = ("%s one two three four five six seven eight nine" % x for x in ("red", "green apple", "blue sky over"))
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b + " ten"), (None, b + " ten"), (None, c * 2)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in near_dup.keep_first(docs).collect()) == sorted([(1, a), (0, b + " ten"), (0, c * 2)])
