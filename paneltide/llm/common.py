@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
+import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters (bytes of UTF-8) handed to a kernel at once; one longer text goes alone.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +33,11 @@ def crc_of_id(column: str = "doc_id") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only where the session names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """The folder that driver and executors share; a default only where they are one process anyway."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or "/tmp/checkpoints"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -39,6 +47,35 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables that written() made; only once what is made from them has been written."""
+    for df in stored:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()} if df is not None else ():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What workers keep while they go through a partition, and drop at its end.
+_kept: list[Callable] = []
+
+
+def per_partition(make: Callable) -> Callable:
+    """Remember what make() returned until the partition ends; then other stages get the memory."""
+    held = cache(make)
+    _kept.append(held)
+    return held
+
+
+def release() -> None:
+    """Drop what per_partition() remembers, and give freed pages back to the system."""
+    for held in _kept:
+        held.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: int, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `step` bytes of text each, one row at least."""
     n = batch.num_rows
@@ -83,24 +120,34 @@ def map_texts(
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, len(columns) - 1, step):
-                made = kernel(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                for part in pieces(batch, len(columns) - 1, step):
+                    made = kernel(*(c.to_pylist() for c in part.columns))
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            release()
 
     return df.select(*columns).mapInArrow(run, fields)
 
 
 class Memo(dict):
-    """A dict that computes missing values, and keeps the first `most` of them: the frequent come early."""
+    """A dict that computes missing values, and keeps the first that fit: the frequent come early.
+
+    Bounded by bytes, and long keys are never kept, so what a worker holds does not depend on the texts.
+    """
+
+    LONGEST_KEY = 64
 
-    def __init__(self, compute: Callable, most: int = 400_000):
+    def __init__(self, compute: Callable, most_bytes: int = 16 << 20, slot: int = 100):
+        """slot: bytes of an entry besides key and value, about."""
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.room, self.slot = compute, most_bytes, slot
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) < self.most:
+        if self.room > 0 and len(key) <= self.LONGEST_KEY:
+            self.room -= self.slot + sys.getsizeof(key) + sys.getsizeof(value)
             self[key] = value
         return value
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import written
+from paneltide.llm.common import discard, written
 
 
-def _with_lowest(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the lowest of u and all v beside it."""
-    # Stored first: a join of two plain shuffles is one that Spark may split where a node is hot.
-    lowest = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-    return pairs.join(lowest, "u")
+def _lowest(pairs: DataFrame) -> DataFrame:
+    """u and m, the lowest of u and all v beside it in pairs (u, v).
+
+    Stored first: a join of two plain shuffles is one that Spark may split where a node is hot.
+    """
+    return written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,10 +26,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(_with_lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        stars = _with_lowest(large)
+        lowest = _lowest(both)
+        large = written(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(now, lowest)
+        lowest = _lowest(large)
+        stars = large.join(lowest, "u")
         small = stars.select("u", F.col("m").alias("v")).unionByName(stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "small")
+        discard(large, lowest)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from paneltide.llm.common import map_texts
+from paneltide.llm.common import map_texts, written
 
 BLOCK = 4096
 UNIT = 64
@@ -464,12 +464,12 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its FLAC stream."""
-    return map_texts(
-        df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"),
-        lambda ids, texts: {"doc_id": ids, "media": encode([payload(t) for t in texts])},
-        "doc_id long, media binary", step=1 << 20,
-    )
+    """doc_id, bytes of the text and its FLAC stream."""
+
+    def kernel(ids, texts):
+        return {"doc_id": ids, "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "media": encode([payload(t) for t in texts])}
+
+    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, "doc_id long, n_bytes long, media binary")
 
 
 def blocks(media: DataFrame) -> DataFrame:
@@ -483,25 +483,21 @@ def blocks(media: DataFrame) -> DataFrame:
                     out[name].append(value)
         return out
 
-    return map_texts(media, kernel, "doc_id long, block int, first_sample long, n_samples long, byte_offset long, pcm binary", ["doc_id", "media"], step=1 << 20)
+    return map_texts(media, kernel, "doc_id long, block int, first_sample long, n_samples long, byte_offset long, pcm binary", ["doc_id", "media"])
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as FLAC, reads it back block by block, and describes both forms."""
+    """Stores each text as FLAC in the shared folder, reads it back block by block, and describes both forms."""
 
-    def kernel(ids, texts):
-        media = encode([payload(t) for t in texts])
-        out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks")}
-        for doc, text, m, s in zip(ids, texts, media, decode(media)):
+    def kernel(ids, sizes, streams):
+        out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks")}
+        for m, s in zip(streams, decode(streams)):
             whole = b"".join(pcm(b[2]) for b in s.blocks)
             samples = np.concatenate([b[2][:, 0] for b in s.blocks])
-            made = (
-                doc, len((text or "").encode("utf-8", "surrogatepass")), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-UNIT:]),
-                len(m), hashlib.sha256(m).hexdigest(), feature_of(samples), len(s.blocks),
-            )
+            made = (len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples), len(s.blocks))
             for name, value in zip(out, made):
                 out[name].append(value)
-        return out
+        return {"doc_id": ids, "n_bytes": sizes} | out
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks int"
-    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, schema, step=1 << 20)
+    return map_texts(written(stored(df, id_col, text_col), "media"), kernel, schema, ["doc_id", "n_bytes", "media"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import map_texts, mix64, pieces
+from paneltide.llm.common import map_texts, mix64, pieces, release
 
 #: First code points of ranges and the script in each; fixed values of the Unicode standard.
 SCRIPTS = [
@@ -174,7 +174,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool), 0)
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / totals[lang]))))
     half = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half")
-    chosen = rows.select("lang", "text", half).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = rows.select("lang", "text", half).where(F.xxhash64("text").cast("double") + 2.0**63 <= share[F.col("lang")] * 2.0**64)
     number = {lang: i for i, lang in enumerate(languages)}
     width = BUCKETS + len(NAMES)
 
@@ -308,6 +308,7 @@ def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "
         for batch in batches:
             for part in pieces(batch, text, 1 << 20):
                 langs, scores, _ = label(held.value, part.column(text).to_pylist())
-                yield part.filter(pa.array([x != UND and s >= least for x, s in zip(langs, scores)]))
+                yield part.filter(pa.array([x != UND and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+        release()
 
     return df.mapInArrow(keep, df.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import batches_of, map_texts, mix64, written
+from paneltide.llm.common import batches_of, discard, map_texts, mix64, release, written
 from paneltide.llm.components import connected_components
 
 SHINGLE = 5
@@ -195,7 +195,8 @@ def alike_in_size(a: Column, b: Column, threshold: float) -> Column:
 def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b, weight) with both sizes, what they share, and a bit sketch of what a has alone."""
     spark = found.sparkSession
-    both = written(pairs, "pairs").join(found.toDF("a", "bag_a"), "a").join(found.toDF("b", "bag_b"), "b")
+    pairs = written(pairs, "pairs")
+    both = pairs.join(found.toDF("a", "bag_a"), "a").join(found.toDF("b", "bag_b"), "b")
     names = ["a", "b", "weight", "bag_a", "bag_b"]
 
     def run(batches):
@@ -210,10 +211,13 @@ def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
                     out[k].append(v)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, pa.int64()) for v in out.values()), sketch], ["a", "b", "weight", *out, "sketch"])
+        release()
 
     made = both.select(*names).mapInArrow(run, "a long, b long, weight long, shared long, size_a long, size_b long, sketch array<long>")
     with batches_of(spark, 256):  # a row holds two whole bags
-        return written(made, "compared")
+        stored = written(made, "compared")
+    discard(pairs)
+    return stored
 
 
 def links_of(compared_pairs: DataFrame, threshold: float) -> DataFrame:
@@ -244,48 +248,60 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         .select(F.col("doc_id").alias("node"), "size", F.posexplode("bands").alias("band", "value")), "bands"
     )
     inside = _open_buckets(nodes, None)
+    discard(nodes)
     # Bags are made once, for the documents that share a bucket with another.
     shared = inside.select(F.col("node").alias("doc_id")).distinct()
     found = written(bag_rows(rows, shared).dropDuplicates(["doc_id"]), "bags")
     # The centre of a bucket is the document with most others around it: what copies were made from.
     counts = written(inside.groupBy("band", "value").agg(F.count("*").alias("n")), "counts")
     weights = written(inside.join(counts, ["band", "value"]).groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    inside = written(inside.join(weights, "node"), "weighted")
+    weighted = written(inside.join(weights, "node"), "weighted")
+    discard(inside, counts, weights)
     centre = F.max_by(F.struct("node", "size", "weight"), F.struct(F.col("weight"), -F.col("node")))
-    centres = written(inside.groupBy("band", "value").agg(centre.alias("centre")), "centres")
-    spokes = inside.join(centres, ["band", "value"]).where(F.col("node") != F.col("centre.node"))
+    centres = written(weighted.groupBy("band", "value").agg(centre.alias("centre")), "centres")
+    spokes = weighted.join(centres, ["band", "value"]).where(F.col("node") != F.col("centre.node"))
     star = compared(spokes.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("centre.weight").alias("weight")).distinct(), found)
     links = links_of(star, threshold)
 
     # What is left in one bucket and different classes: those outside of the centre's class with all.
-    inside = _open_buckets(inside.drop("component"), connected_components(links))
+    labels = connected_components(links)
+    inside = _open_buckets(weighted.drop("component"), labels)
+    discard(weighted, labels)
     most = written(inside.groupBy("band", "value").agg(F.max_by("component", F.struct(F.col("weight"), -F.col("node"))).alias("most")), "most")
     beyond = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), (F.col("size_a") - F.col("shared")).alias("alone"), "sketch")
     blank = F.array_repeat(F.lit(0).cast("long"), SKETCH)  # of the centre itself
-    inside = inside.join(centres.select("band", "value", F.col("centre.node").alias("hub")), ["band", "value"]).join(beyond, ["node", "hub"], "left")
-    inside = written(inside.select(
+    apart = inside.join(centres.select("band", "value", F.col("centre.node").alias("hub")), ["band", "value"]).join(beyond, ["node", "hub"], "left")
+    placed = written(apart.select(
         "band", "value", "node", "size", "component", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("sketch", blank).alias("sketch")
     ).withColumn("bits", F.aggregate("sketch", F.lit(0), lambda n, w: n + F.bit_count(w))), "placed")
+    discard(inside, centres)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "component", "alone", "sketch", "bits")]
-    left = inside.join(most, ["band", "value"]).where("component <> most").select("band", "value", "most", *side("a"))
-    others = inside.select("band", "value", *side("b"))
+    left = placed.join(most, ["band", "value"]).where("component <> most").select("band", "value", "most", *side("a"))
+    others = placed.select("band", "value", *side("b"))
     rest = left.join(others, ["band", "value"]).where("component_a <> component_b AND (component_b = most OR node_a < node_b)")
     rest = rest.where(alike_in_size(F.col("size_a"), F.col("size_b"), threshold)).where(may_reach(threshold))
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.lit(0).cast("long").alias("weight")).distinct()
-    labels = connected_components(links.unionByName(links_of(compared(rest, found), threshold)))
-    named = firsts.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    return marked.select("doc_id", "digest").join(written(named, "named"), "digest").select("doc_id", "class_id")
+    more = compared(rest, found)
+    discard(placed, most, found)
+    labels = connected_components(links.unionByName(links_of(more, threshold)))
+    named = written(firsts.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id")), "named")
+    discard(star, more, labels, firsts)
+    return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
 
 
 def _open_buckets(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Rows of the buckets that hold more than one class so far, with the class of each row."""
+    stored = None
     if labels is None:
         labelled = nodes.withColumn("component", F.col("node"))
     else:
         labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = written(labelled, "labelled")
+        labelled = stored = written(labelled, "labelled")
     mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return written(labelled.join(written(mixed.select("band", "value"), "mixed"), ["band", "value"], "left_semi"), "open")
+    mixed = written(mixed.select("band", "value"), "mixed")
+    opened = written(labelled.join(mixed, ["band", "value"], "left_semi"), "open")
+    discard(stored, mixed)
+    return opened
 
 
 def keep_first(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,21 +15,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import cache
+from array import array
 
 import numpy as np
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paneltide.llm.common import Memo, map_texts, written
+from paneltide.llm.common import Memo, map_texts, per_partition, written
+from paneltide.llm.token_count import byte_letters
 
-#: Words remembered with their ids by one worker at most.
-REMEMBERED = 500_000
 #: Outside of these, lower case and composition are left to the library.
 PLAIN = re.compile("[^\x00-\x1b\x20-\u024f]")
+#: The vocabulary's own pattern: fixed value.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BYTE_LETTERS = dict(enumerate(byte_letters()))
 #: Rows of one length that are ranked in one group, about.
 RANKED_TOGETHER = 20_000
 
@@ -38,7 +41,8 @@ class WordIds:
     """Token ids of whole texts, by remembering the library's ids of each space-separated word.
 
     The vocabulary drops white space, and its pattern never joins across it, so the ids of a
-    text are those of its words in order. Texts with unusual controls go to the library whole.
+    text are those of its words in order. A word of plain letters goes to the library's merge model
+    piece by piece; other words, and texts with unusual controls, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -46,28 +50,25 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.fresh: dict[str, bytes] = {}
-        self.ids = Memo(self._fresh, REMEMBERED)
-
-    def _fresh(self, word: str) -> bytes:
-        return self.fresh[word]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: the library gets them as one text, and its offsets tell them apart."""
-        if words:
-            made = self.library.encode(" ".join(words), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in words])
-            owner = np.searchsorted(ends, np.array([a for a, _ in made.offsets], np.int64), side="right")
-            cuts = 4 * np.searchsorted(owner, np.arange(len(words) + 1))
-            ids = np.array(made.ids, "<u4").tobytes()
-            self.fresh = {w: ids[a:b] for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+        self.model = self.library.model
+        self.piece = Memo(self._piece, 8 << 20)
+        self.word = Memo(self._word, 40 << 20)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if "<|" in word or PLAIN.search(word) or not word.isprintable():
+            return self._whole(word)
+        return b"".join(map(self.piece.__getitem__, PIECE.findall(word.lower())))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [self._words(t) for t in texts]
-        self._learn(list(set().union(*(w for w in words if w)) - self.ids.keys()))
-        ids = self.ids.__getitem__
-        return [b"".join(map(ids, w)) if w is not None else self._whole(t) for t, w in zip(texts, words)]
+        ids = self.word.__getitem__
+        return [self._whole(t) if (words := self._words(t)) is None else b"".join(map(ids, words)) for t in texts]
 
     def _words(self, text: str) -> list[str] | None:
         if "<|" in text or PLAIN.search(text):
@@ -78,7 +79,7 @@ class WordIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@cache
+@per_partition
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 

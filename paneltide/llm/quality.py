@@ -15,10 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import map_texts, mix64
+from paneltide.llm.common import map_texts, mix64, pieces, release
 
 #: Rows that training may use, at most; the only bounds here, and on training alone.
 MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
@@ -181,6 +182,11 @@ class Model:
     prior: float
 
 
+def drawn(share: float) -> Column:
+    """Whether a row is in a sample of about this share, by all 64 bits of a hash: for any number of rows."""
+    return F.xxhash64("doc_id", F.lit(1)).cast("double") < share * 2.0**64 - 2.0**63 if share < 1 else F.lit(True)
+
+
 def train(docs: DataFrame, positives: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """docs: rows to learn from; positives: one column of ids trusted as good.
 
@@ -189,8 +195,7 @@ def train(docs: DataFrame, positives: DataFrame, prior: float | None = None, mos
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     trusted = positives.toDF("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive)
     n = rows.count()
-    share = min(1.0, most_unlabelled / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = rows.where(drawn(most_unlabelled / max(1, n)))
     # The ids are `most_positive` at most, so they may be broadcast.
     good = rows.join(F.broadcast(trusted), "doc_id")
 
@@ -202,6 +207,8 @@ def train(docs: DataFrame, positives: DataFrame, prior: float | None = None, mos
         return np.array(sorted(made.tolist())).reshape(-1, WIDTH)
 
     p, u = collected(good), collected(chosen)
+    if n > most_unlabelled and not len(u):
+        raise ValueError(f"none of {n} rows was drawn as unlabelled")
     if len(p) < 2 or len(u) < 2:
         return Model(None, 1.0)
     rng = np.random.default_rng(3)
@@ -226,15 +233,12 @@ def predict(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 def keep_good(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that reach the threshold."""
-    import pyarrow as pa
-
-    from paneltide.llm.common import pieces
-
     text = df.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
             for part in pieces(batch, text, 1 << 19):
                 yield part.filter(pa.array(score_texts(model, part.column(text).to_pylist()) >= threshold))
+        release()
 
     return df.mapInArrow(keep, df.schema)

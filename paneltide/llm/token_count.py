@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
 from heapq import heapify, heappop, heappush
 
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from paneltide.llm.common import Memo, map_texts
+from paneltide.llm.common import Memo, map_texts, per_partition
 
 #: Code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,7 +38,7 @@ def byte_letters() -> list[str]:
 
 
 class MergeCounter:
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         number = {letter: b for b, letter in enumerate(byte_letters())}
@@ -50,8 +49,8 @@ class MergeCounter:
             self.merge[number[a] << 20 | number[b]] = r << 20 | number.setdefault(a + b, len(number))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.piece = Memo(self._merged, remembered)
-        self.chunk = Memo(self._chunk, remembered)
+        self.piece = Memo(self._merged)
+        self.chunk = Memo(self._chunk)
 
     def _merged(self, piece: str) -> int:
         symbols = list(piece.encode("utf-8", "surrogatepass"))
@@ -106,7 +105,7 @@ class MergeCounter:
         return sum(map(self.chunk.__getitem__, CHUNK.findall(text)))
 
 
-@cache
+@per_partition
 def counter(path: str) -> MergeCounter:
     return MergeCounter(path)
 

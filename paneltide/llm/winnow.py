@@ -23,8 +23,10 @@ K, WINDOW = 5, 8
 #: Bits of a position; the hash has the other 33 of 63. A string holds fewer words than this.
 POSITION_BITS = 30
 POSITIONS = (1 << POSITION_BITS) - 1
-#: Rows of one bucket of neighbours, about, and how many buckets there are at most.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 100_000
+#: Rows of one bucket of neighbours, about, and buckets that are numbered together.
+BUCKET_ROWS, NUMBERED_TOGETHER = 200, 5000
+#: The first rows of so many buckets (16 bytes each) are broadcast at most; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Stretches of ids, each with about as many rows, within which ids are spread evenly enough.
 STRETCHES = 64
 
@@ -110,7 +112,7 @@ def buckets(rows: DataFrame) -> tuple[Column, int]:
     if not n:
         return F.lit(0).cast("long"), 0
     bounds = sorted({low, *cuts})
-    per = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) // len(bounds))
+    per = max(1, n // (BUCKET_ROWS * len(bounds)))
     bucket, last = F.lit(0), 0
     for i, (a, b) in enumerate(zip(bounds, [*bounds[1:], high + 1])):
         width = -(-(b - a) // per)
@@ -119,6 +121,16 @@ def buckets(rows: DataFrame) -> tuple[Column, int]:
     return bucket.cast("long"), last
 
 
+def first_rows(rows: DataFrame, last: int) -> DataFrame:
+    """The lowest id of each bucket, and the bucket in use before it (before the first: the last)."""
+    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).withColumn("together", F.floor(F.col("bucket") / NUMBERED_TOGETHER))
+    # One row for about a million rows of the table.
+    ends = firsts.groupBy("together").agg(F.max("bucket").alias("end"))
+    ends = ends.select("together", F.lag("end", 1, last).over(Window.orderBy("together")).alias("before"))
+    into = F.coalesce(F.lag("bucket").over(Window.partitionBy("together").orderBy("bucket")), F.col("before"))
+    return firsts.join(F.broadcast(ends) if last < MOST_BROADCAST else ends, "together").select("doc_id", into.alias("into"))
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, WindowSpec]:
     """Rows (doc_id, text, bucket, copy) and the window in which the next row by id is one ahead.
 
@@ -129,11 +141,11 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bucket, last = buckets(rows)
     rows = rows.withColumn("bucket", bucket)
-    into = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(last))
-    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).select("doc_id", into.alias("into"))
-    # One row per bucket, and MOST_BUCKETS bounds these, so they may be broadcast.
+    firsts = first_rows(rows, last)
+    if last < MOST_BROADCAST:
+        firsts = F.broadcast(firsts)
     copies = (
-        rows.join(F.broadcast(firsts), "doc_id")
+        rows.join(firsts, "doc_id")
         .withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("n = 1")
         .select("doc_id", "text", F.col("into").alias("bucket"), F.lit(1).alias("copy"))
     )
