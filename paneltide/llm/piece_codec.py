@@ -5,8 +5,8 @@ with scores or merges, and byte fallback are rebuilt as a tokenizers pipeline: a
 keeps its scores; for a merge model, each way to join a piece from two others becomes a merge,
 ranked by the piece's score. Batches are encoded by several threads, and the ids of every text can
 be held against those of the sentencepiece library. Where no piece crosses a marker and the
-normaliser changes nothing else, a batch's distinct runs between markers are encoded and decoded
-once each.
+normaliser changes nothing else, a batch's distinct runs between markers are encoded, decoded and
+compared once each.
 
 Defined results: null counts as the empty text, which has no ids; special and control pieces in a
 text are ordinary characters, as in sentencepiece; decoding gives the normalised text, and spaces
@@ -23,14 +23,18 @@ import struct
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from paneltide.llm.common import Memo, map_texts, per_partition, release
+from paneltide.llm.common import map_texts, release
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+STEP = 1 << 21
+#: Bytes that runs, their ids and texts take at most in a worker, of one of them, and letters of the longest that is kept.
+KEPT_BYTES, ENTRY_BYTES, LONGEST_KEPT = 80 << 20, 400, 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
 
@@ -133,12 +137,17 @@ class Codec:
 
     RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, threads: int = 1):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.judge, self.threads = sentencepiece.SentencePieceProcessor(model_file=path), threads
         model = PieceModel.read(path)
         self.tool = model.backend()
         self.by_runs = model.cut_at_marks() and model.dummy_prefix and not (model.charsmap or model.squeeze)
-        self.fresh: dict[str, tuple[bytes, str]] = {}
-        self.run = Memo(lambda r: self.fresh[r], 24 << 20, slot=250)
+        #: The same model for runs that are normalised and cut already.
+        self.bare = Tokenizer(self.tool.model)
+        self.ids, self.back, self.apart, self.room = {}, {}, set(), KEPT_BYTES
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,35 +155,45 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tool.decode_batch(ids, skip_special_tokens=False)
 
-    def there_and_back(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of each text as little-endian 32-bit integers, and what they are decoded to."""
+    def checked(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """Ids of each text as little-endian 32-bit integers, what they are decoded to, and whether sentencepiece gives the same ids.
+
+        A run begins with a marker, and where no piece has a marker behind another character neither
+        library joins anything across runs, so a text's ids agree where those of all its runs do.
+        """
         if not self.by_runs:
             ids = self.encode(texts)
-            return [(array("I", i).tobytes(), back) for i, back in zip(ids, self.decode(ids))]
+            return [(array("I", i).tobytes(), back, i == e) for i, back, e in zip(ids, self.decode(ids), self.expected(texts))]
         runs = [self.RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        # The prefix that the pipeline puts before a text is the first marker of a run.
-        new = list(set().union(*runs) - self.run.keys() - {MARK})
-        ids = [*self.encode([r[1:] for r in new]), [t.id for t in self.tool.model.tokenize(MARK)]]
-        self.fresh = {r: (array("I", i).tobytes(), " " + back) for r, i, back in zip([*new, MARK], ids, self.decode(ids))}
-        made = []
-        for r in runs:
-            each = list(map(self.run.__getitem__, r))
-            made.append((b"".join([i for i, _ in each]), "".join([back for _, back in each])[1:]))
-        return made
-
-
-@per_partition
+        new = list(set().union(*runs) - self.ids.keys())
+        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
+        # The prefix that a library puts before a text is a run's first marker; decoding takes its space away.
+        self.apart.update(r for r, i, e in zip(new, ids, self.expected([r[1:] for r in new])) if i != e)
+        fresh_ids = {r: array("I", i).tobytes() for r, i in zip(new, ids)}
+        fresh_back = {r: " " + back for r, back in zip(new, self.decode(ids))}
+        ids_of, back_of = (self.ids | fresh_ids).__getitem__, (self.back | fresh_back).__getitem__
+        if self.room > 0:
+            self.keep(fresh_ids, fresh_back)
+        return [(b"".join(map(ids_of, r)), "".join(map(back_of, r))[1:], self.apart.isdisjoint(r)) for r in runs]
+
+    def expected(self, texts: list[str]) -> list[list[int]]:
+        return self.judge.encode(texts, num_threads=self.threads)
+
+    def keep(self, ids: dict[str, bytes], back: dict[str, str]) -> None:
+        """Remember short runs while there is room: the frequent come early."""
+        for r, i in ids.items():
+            if len(r) <= LONGEST_KEPT:
+                self.ids[r], self.back[r] = i, back[r]
+                self.room -= ENTRY_BYTES
+                if self.room <= 0:
+                    return
+
+
+@cache
 def codec(path: str, threads: int) -> Codec:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
-    return Codec(path)
-
-
-@per_partition
-def judge(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return Codec(path, threads)
 
 
 def encoded(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,15 +230,14 @@ def round_trips(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", threads:
 
     def kernel(ids, texts):
         path, texts = public_tokenizers.path(vocabulary), [t or "" for t in texts]
-        made = codec(path, threads).there_and_back(texts)
-        expected = judge(path).encode(texts, num_threads=threads)
+        made = codec(path, threads).checked(texts)
         return {
-            "doc_id": ids, "n_chars": [len(t) for t in texts], "n_tokens": [len(m) // 4 for m, _ in made],
-            "ids_crc32": [zlib.crc32(m) for m, _ in made],
-            "decoded_sha256": [hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in made],
-            "round_trip": [t == back for t, (_, back) in zip(texts, made)],
-            "parity": [array("I", e).tobytes() == m for e, (m, _) in zip(expected, made)],
+            "doc_id": ids, "n_chars": [len(t) for t in texts], "n_tokens": [len(m) // 4 for m, _, _ in made],
+            "ids_crc32": [zlib.crc32(m) for m, _, _ in made],
+            "decoded_sha256": [hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back, _ in made],
+            "round_trip": [t == back for t, (_, back, _) in zip(texts, made)],
+            "parity": [same for _, _, same in made],
         }
 
     schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean"
-    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, schema, step=1 << 20)
+    return map_texts(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), kernel, schema, step=STEP)
