@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from paneltide.operators import aggregates as A
 from paneltide.operators import iterative as I
+from paneltide.operators import portfolios as P
 from paneltide.operators import windows as W
 from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.plans.relational_queries import PREDS, TOP, VIX, changes, preds, top_weights, vix
@@ -14,6 +17,7 @@ from paneltide.plans.window_queries import MKT, RET, fr, roll, scores
 
 @query("b01_spillover")
 def _(t):
+    # Tickers of this panel trade on few sessions: 0.15 of a window is what most of them have.
     return shown(I.spillover(t.panel, least=0.15))
 
 
@@ -81,33 +85,42 @@ def _(t):
 
 
 def picks_with_vol(t):
-    vol = I.rolled_vol(t.panel).select("date", "ticker", "vol")
+    vol = P.rolled_vol(t.panel).select("date", "ticker", "vol")
     return top_weights(t).select("date", "ticker").join(vol, ["date", "ticker"]).where("vol IS NOT NULL")
 
 
-@query("b11_inverse_volatility")
+VOLS = f"SELECT date, ticker, 1 / greatest(vol, 1e-6::double) AS share FROM ({TOP}) JOIN (SELECT date, ticker, {roll('stddev_samp', 'ret', 63, 40)} * sqrt(252) AS vol FROM ({RET})) USING (date, ticker) WHERE vol IS NOT NULL"
+#: At the right number of names on the cap, the weights of the others sum up to what the cap leaves.
+INVERSE = f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY share DESC, ticker) AS n, count(*) OVER (PARTITION BY date) AS names FROM ({VOLS})),
+ m AS (SELECT a.date, a.n - 1 AS at_cap, (1 - 0.4::double * (a.n - 1)) / sum(b.share) AS level, max(b.share) AS most FROM v a JOIN v b ON a.date = b.date AND b.n >= a.n GROUP BY a.date, a.n),
+ f AS (SELECT date, arg_min(level, at_cap) AS level FROM m WHERE most * level <= 0.4::double + 1e-12 GROUP BY date)
+ SELECT v.date, v.ticker, round(least(0.4::double, coalesce(share * level, 0.4::double)), 6) + 0.0 AS weight FROM v LEFT JOIN f USING (date)"""
+
+
+@query("b11_inverse_volatility", INVERSE, ["panel"])
 def _(t):
-    return shown(I.inverse_volatility(picks_with_vol(t), 0.4))
+    return shown(P.inverse_volatility(picks_with_vol(t), 0.4))
 
 
-PAST = f"SELECT date, ticker, list_reverse(list(coalesce(ret, 0)) OVER {fr(63)}) AS past FROM ({RET})"
-SCALE = f"""SELECT date, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT date, k, sum(w * r) AS r FROM (SELECT date, w, unnest(past) AS r, unnest(range(len(past))) AS k FROM ({TOP}) JOIN ({PAST}) USING (date, ticker)) GROUP BY date, k) GROUP BY date"""
+SESSIONS = "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM panel)"
+SCALE = f"""SELECT date, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT p.date, k.idx, sum(w * coalesce(ret, 0)) AS r FROM ({TOP}) p JOIN ({SESSIONS}) s USING (date) JOIN ({SESSIONS}) k ON k.idx BETWEEN s.idx - 62 AND s.idx
+ LEFT JOIN ({RET}) x ON x.date = k.date AND x.ticker = p.ticker GROUP BY p.date, k.idx) GROUP BY date"""
 
 
 @query("b12_vol_target", shown_sql(f"SELECT date, vol, CASE WHEN vol > 0 THEN least(1.0, 0.15::double / vol) ELSE 1.0 END AS scale FROM ({SCALE})", ["date"], ["vol", "scale"]), ["panel"])
 def _(t):
-    return shown(I.vol_target(top_weights(t).withColumnRenamed("w", "weight"), t.panel, 0.15))
+    return shown(P.vol_target(top_weights(t).withColumnRenamed("w", "weight"), t.panel, 0.15))
 
 
 @query("b13_trade_band", shown_sql(f"""SELECT date, ticker, weight FROM (SELECT coalesce(n.date, o.date) AS date, coalesce(n.ticker, o.ticker) AS ticker, CASE WHEN abs(coalesce(n.w, 0) - coalesce(o.w, 0)) < 0.05 THEN coalesce(o.w, 0) ELSE coalesce(n.w, 0) END AS weight
  FROM (SELECT date, ticker, 0.04::double AS w FROM panel WHERE ticker < 'T00020') o FULL JOIN (SELECT date, ticker, w FROM ({TOP})) n ON o.date = n.date AND o.ticker = n.ticker) WHERE weight > 0""", ["date", "ticker"], ["weight"]), ["panel"])
 def _(t):
     old = t.panel.where("ticker < 'T00020'").select("date", "ticker", F.lit(0.04).alias("weight"))
-    return shown(I.trade_band(top_weights(t).withColumnRenamed("w", "weight"), old, 0.05))
+    return shown(P.trade_band(top_weights(t).withColumnRenamed("w", "weight"), old, 0.05))
 
 
 def scheme(t, name):
-    return shown(I.scheme_weights(t.panel, top_weights(t).select("date", "ticker"), name))
+    return shown(P.scheme_weights(t.panel, top_weights(t).select("date", "ticker"), name))
 
 
 @query("b14_risk_parity")
@@ -128,24 +141,26 @@ REGIME = f"SELECT date, CASE WHEN mkt < -0.01 THEN 1 ELSE 0 END AS state FROM ({
  FROM (SELECT coalesce(v.date, r.date) AS date, vix, vix3m, state, vix3m / nullif(CASE WHEN vix > 0 THEN vix END, 0) < 1 AS inv FROM ({VIX}) v FULL JOIN ({REGIME}) r ON v.date = r.date)""", ["panel", "macro"])
 def _(t):
     states = W.market_return(t.panel).where("mkt IS NOT NULL").select("date", F.when(F.col("mkt") < -0.01, 1).otherwise(0).alias("state"))
-    return I.gates(vix(t), states)
+    return P.gates(vix(t), states)
+
+
+#: Cadences, weightings and bands that are compared with each other, over the same picks.
+BASE = P.Strategy(top_k=5, max_weight=0.4, vol_target=0.15, band=0.02)
+VARIANTS = {
+    "daily": BASE, "weekly": replace(BASE, every=5), "monthly": replace(BASE, every=21), "wide band": replace(BASE, band=0.05),
+    "weekly hrp": replace(BASE, every=5, weighting="hrp"), "weekly min variance": replace(BASE, every=5, weighting="rmt_minvar"), "tight halt": replace(BASE, halt=0.03),
+}
 
 
-def book(t, variants: list[tuple[str, int]]):
-    held = I.rolled_vol(t.panel).select("date", "ticker", "vol", F.collect_list(F.coalesce("ret", F.lit(0.0))).over(W.trailing(63)).alias("past"), (W.over(F.lead("close").over(W.by_ticker()), F.col("close")) - 1).alias("next_ret"))
-    days = t.panel.select("date").distinct().withColumn("next_date", F.lead("date").over(W.Window.orderBy("date")))
-    types = t.universe.select("ticker", F.when(F.col("asset_type") == "etf", 3.0).otherwise(7.5).alias("bps"))
-    rows = shown(scores(t)).join(held, ["date", "ticker"]).where("vol IS NOT NULL AND size(past) = 63").join(days, "date").where("next_date IS NOT NULL").join(types, "ticker")
-    gate = I.gates(vix(t), W.market_return(t.panel).select("date", F.lit(0).alias("state"))).select("date", F.col("exposure_scale").alias("exposure"), F.col("allow_new_entries").alias("entries"))
-    rows = rows.join(gate, "date")
-    named = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(e).alias("rebalance_every")) for n, e in variants)))
-    return rows.withColumn("_v", named).select("_v.*", *rows.columns)
+def days(t):
+    types = t.universe.select("ticker", F.when(F.col("asset_type") == "etf", P.ETF_BPS).otherwise(P.USUAL_BPS).alias("bps"))
+    gate = P.gates(vix(t), W.market_return(t.panel).select("date", F.lit(0).alias("state")))
+    return P.strategy_days(shown(scores(t)), t.panel, types, BASE.top_k, BASE.lookback, gate)
 
 
 @query("b16_b18_b20_backtest_variants")
 def _(t):
-    made = I.backtest(book(t, [("daily", 1), ("weekly", 5), ("monthly", 21)]), 5, 0.4, 0.02, 0.15)
-    return shown(made)
+    return shown(P.replay(days(t), VARIANTS))
 
 
 _HEAD, _, _TAIL = CAL.rpartition("SELECT a.date")
@@ -154,7 +169,7 @@ SIZED = f"{_HEAD}SELECT date, ticker, round(coalesce(least(1.0, greatest(0.0, (p
 
 @query("b19_meta_sizing", SIZED, ["panel"])
 def _(t):
-    return shown(I.sized(shown(I.calibrated(probs(t))), "sized").select("date", "ticker", "size_mult"), digits=5)
+    return shown(P.sized(shown(I.calibrated(probs(t))), "sized").select("date", "ticker", "size_mult"), digits=5)
 
 
 @query("b21_eval_with_costs", shown_sql(f"SELECT d.date, sum(abs(delta)) * 7.5 / 1e4 AS cost FROM (SELECT date, ticker, coalesce(n.w, 0) - coalesce(o.w, 0) AS delta FROM (SELECT x.next AS date, ticker, w FROM ({TOP}) JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM panel)) x USING (date) WHERE x.next IS NOT NULL) o FULL JOIN ({TOP}) n USING (date, ticker)) d GROUP BY 1", ["date"], ["cost"]), ["panel"])
@@ -169,4 +184,4 @@ def _(t):
 
 @query("x05_deflated_by_variant")
 def _(t):
-    return shown(A.deflated_sharpe(I.backtest(book(t, [("daily", 1), ("weekly", 5)]), 5, 0.4, 0.02, 0.15), "net", "variant", trials=7))
+    return shown(A.deflated_sharpe(P.replay(days(t), VARIANTS), "net", "variant", trials=len(VARIANTS)))
