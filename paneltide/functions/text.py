@@ -12,9 +12,10 @@ def plain_text(html: Column, most: int = 2000) -> Column:
 
 
 def signal_kind(source: Column, title: Column) -> Column:
-    """8-K filings first, then words of mergers, else news."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    return F.when(F.lower(source).contains("8-k") | low.contains("8-k"), "sec_8k").when(low.rlike("acqui|merger|deal|takeover|buyout"), "ma").otherwise("news")
+    """8-K filings first, then mergers by the source's name or words of the title, else news."""
+    low, where = F.lower(F.coalesce(title, F.lit(""))), F.lower(source)
+    merger = where.contains("merger") | low.rlike("acqui|merger|deal|takeover|buyout")
+    return F.when(where.contains("8-k") | low.contains("8-k"), "sec_8k").when(merger, "ma").otherwise("news")
 
 
 def host(url: Column) -> Column:
@@ -22,11 +23,17 @@ def host(url: Column) -> Column:
 
 
 def score_reply(reply: Column) -> Column:
-    """The score of a JSON object in a reply, else its first number, else 50; from 0 to 100."""
+    """The whole-number score of a JSON object in a reply (50 where the object has none).
+
+    Without such an object, the first number of up to three digits that stands alone, else 50; from 0 to 100.
+    """
     found = F.nullif(F.regexp_extract(reply, r"\{[\s\S]*\}", 0), F.lit(""))
-    parsed = F.try_variant_get(F.try_parse_json(found), "$.score", "double")
-    number = F.nullif(F.regexp_extract(reply, r"(\d{1,3})", 1), F.lit("")).cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(parsed, number, F.lit(50.0))))
+    parsed = F.try_parse_json(found)
+    given = F.try_variant_get(parsed, "$.score", "string")
+    whole = F.when(given.isNull(), 50.0).otherwise(F.signum(given.try_cast("double")) * F.floor(F.abs(given.try_cast("double"))))
+    number = F.nullif(F.regexp_extract(reply, r"\b([0-9]{1,3})\b", 1), F.lit("")).cast("double")
+    score = F.coalesce(F.when(parsed.isNotNull(), whole), number, F.lit(50.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 
 def tag_value(text: Column, name: str, usual: str) -> Column:
@@ -53,16 +60,25 @@ def action(score: Column) -> Column:
     return F.when(score >= 80, "pursue").when(score >= 60, "watch").when(score.isNotNull(), "pass")
 
 
+def status(score: Column) -> Column:
+    return F.when(score.isNull(), "Watch").when(score >= 70, "On Track").when(score >= 45, "Watch").otherwise("Alert")
+
+
+def badge(score: Column) -> Column:
+    return F.when(score >= 75, "green").when(score >= 50, "yellow").when(score.isNotNull(), "red")
+
+
 def decision_weight(action_: Column, conviction: Column, previous: Column) -> Column:
     """BUY by conviction (LOW, MEDIUM, HIGH: 0.33, 0.66, 1), SELL none, HOLD what was there."""
     by = F.when(conviction == "HIGH", 1.0).when(conviction == "MEDIUM", 0.66).otherwise(0.33)
     return F.when(action_ == "BUY", by).when(action_ == "SELL", 0.0).otherwise(previous)
 
 
-SPLITS = (2, 3, 4, 5, 6, 7, 8, 10, 15, 20)
+#: Ratios of usual splits: fixed values.
+SPLITS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 3 / 2, 4 / 3, 5 / 4)
 
 
 def looks_like_split(ratio: Column, tolerance: float = 0.005) -> Column:
     """Whether a price ratio lies at a usual split, either way."""
-    near = lambda k: (F.abs(ratio - 1 / k) * k < tolerance) | (F.abs(ratio - k) / k < tolerance)
-    return (ratio > 0) & F.exists(F.array(*(F.lit(float(k)) for k in SPLITS)), near)
+    off = lambda k: F.least(F.abs(ratio * k - 1), F.abs(ratio / k - 1))
+    return (ratio > 0) & F.exists(F.array(*map(F.lit, SPLITS)), lambda k: off(k) < tolerance)

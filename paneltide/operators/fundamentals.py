@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paneltide.operators.joins import as_of
-from paneltide.operators.windows import by_ticker, over, with_returns
+from paneltide.operators.windows import by_ticker, with_returns
 
 
 def known(facts: DataFrame, tags: list[str]) -> DataFrame:
@@ -57,12 +56,13 @@ def trailing_year(quarters: DataFrame) -> DataFrame:
 
 
 def year_on_year(series: DataFrame, value: str, sign_safe: bool = False) -> DataFrame:
-    """Change to the row four before, where that lies about a year back."""
+    """Change to the row four before, where that lies about a year back; sign_safe: against its size."""
     w = Window.partitionBy("ticker").orderBy("end")
     base = F.lag(value, 4).over(w)
-    size: Column = F.abs(base) if sign_safe else F.when(base > 0, base)
-    made = series.withColumn("yoy", (F.col(value) - base) / F.nullif(size, F.lit(0.0))).withColumn("_span", F.datediff("end", F.lag("end", 4).over(w)))
-    return made.where("_span BETWEEN 300 AND 430").select("ticker", "end", "filed", "yoy")
+    size: Column = F.nullif(F.abs(base) if sign_safe else base, F.lit(0.0))
+    change = (F.col(value) - base) / size
+    made = series.withColumn("yoy", change).withColumn("_span", F.datediff("end", F.lag("end", 4).over(w)))
+    return made.where("_span BETWEEN 300 AND 430 AND yoy IS NOT NULL").select("ticker", "end", "filed", "yoy")
 
 
 def instants(facts: DataFrame) -> DataFrame:
@@ -72,23 +72,50 @@ def instants(facts: DataFrame) -> DataFrame:
     return first.withColumn("_top", F.max("end").over(w)).where("end >= _top").drop("_top")
 
 
-def ratios(sessions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Seven ratios on each session, from what was filed before it; NULL where a base is not positive."""
-    quarters = lambda tag: merged_quarters(direct_quarters(known(facts.where("start IS NOT NULL"), [tag])))
-    ni, rev, cfo = (trailing_year(quarters(x)) for x in ("NetIncomeLoss", "Revenues", "OperatingCash"))
-    assets, equity = (instants(facts.where(F.col("tag") == x)) for x in ("Assets", "StockholdersEquity"))
-    parts = {
-        "ni": (ni, "ttm"), "cfo": (cfo, "ttm"), "assets": (assets, "val"), "equity": (equity, "val"), "rev_yoy": (year_on_year(rev, "ttm"), "yoy"),
-        "ni_yoy": (year_on_year(ni, "ttm", sign_safe=True), "yoy"), "asset_yoy": (year_on_year(assets, "val"), "yoy"),
+def quarterly(facts: DataFrame, tags: list[str]) -> DataFrame:
+    """Quarters of a flow by three ways, in order of trust: as reported, by differences of running totals, a year less its others."""
+    flows = known(facts.where("start IS NOT NULL"), tags)
+    direct = direct_quarters(flows)
+    return merged_quarters(direct, differenced_quarters(flows), last_quarters(flows, direct))
+
+
+def latest_known(sessions: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Sessions with the last value of each source (ticker, end, filed, value) that was filed before the day.
+
+    All sources run through one sort by ticker: a filing lies behind the sessions of its own day.
+    """
+    parts = sessions.withColumns({"_day": F.col("date"), "_late": F.lit(0), "_end": F.lit(None).cast("date")})
+    for name, (source, column) in sources.items():
+        mine = source.where(F.col(column).isNotNull()).select("ticker", F.col("filed").alias("_day"), F.lit(1).alias("_late"), F.col("end").alias("_end"), F.col(column).alias(name))
+        parts = parts.unionByName(mine, allowMissingColumns=True)
+    w = Window.partitionBy("ticker").orderBy("_day", "_late", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    made = parts.withColumns({name: F.last(name, ignorenulls=True).over(w) for name in sources})
+    return made.where("_late = 0").select(*sessions.columns, *sources)
+
+
+def figures(facts: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+    """The series that ratios are made of, each with the column of its value."""
+    ni, rev, cfo = (trailing_year(quarterly(facts, tags)) for tags in (["NetIncomeLoss"], ["Revenues"], ["OperatingCash"]))
+    assets, equity, traded = (instants(facts.where(F.col("tag") == x)) for x in ("Assets", "StockholdersEquity", "EntityPublicFloat"))
+    return {
+        "ni": (ni, "ttm"), "rev": (rev, "ttm"), "cfo": (cfo, "ttm"), "assets": (assets, "val"), "equity": (equity, "val"), "float": (traded, "val"),
+        "rev_yoy": (year_on_year(rev, "ttm"), "yoy"), "ni_yoy": (year_on_year(ni, "ttm", sign_safe=True), "yoy"), "asset_yoy": (year_on_year(assets, "val"), "yoy"),
     }
-    made = sessions
-    for name, (source, column) in parts.items():
-        made = as_of(made, source.withColumnRenamed(column, name), "ticker", "date", "filed", [name], ties=["end"])
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    worth = F.when(F.col("close") > 0, F.col("close") * 1000)
+
+
+def against(value: Column, base: str) -> Column:
+    """NULL where the base is not positive."""
+    return value / F.when(F.col(base) > 0, F.col(base))
+
+
+def ratios(sessions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Seven ratios on each session, from what was filed before it; yields are against the public float."""
+    made = latest_known(sessions.select("date", "ticker"), figures(facts))
+    ni, cfo = F.col("ni"), F.col("cfo")
     return made.select(
-        "date", "ticker", (F.col("ni") / worth).alias("fund_ey"), (F.col("cfo") / worth).alias("fund_cfo_yield"), (F.col("ni") / positive("equity")).alias("fund_roe"), F.col("rev_yoy").alias("fund_rev_yoy"),
-        F.col("ni_yoy").alias("fund_ni_growth"), F.col("asset_yoy").alias("fund_asset_growth"), ((F.col("ni") - F.col("cfo")) / positive("assets")).alias("fund_accruals"),
+        "date", "ticker", against(ni, "float").alias("fund_ey"), against(cfo, "float").alias("fund_cfo_yield"), against(ni, "equity").alias("fund_roe"),
+        F.col("rev_yoy").alias("fund_rev_yoy"), F.col("ni_yoy").alias("fund_ni_growth"), F.col("asset_yoy").alias("fund_asset_growth"),
+        against(ni - cfo, "assets").alias("fund_accruals"),
     )
 
 
@@ -110,9 +137,14 @@ def drift(panel: DataFrame, market: DataFrame, reactions: DataFrame, sessions: i
 
 
 def snapshot(facts: DataFrame, asof: str) -> DataFrame:
-    """Latest trailing figures per ticker from what was filed before a day."""
-    seen = facts.where(F.col("filed") < F.lit(asof).cast("date"))
-    ttm = lambda tag, name: trailing_year(merged_quarters(direct_quarters(known(seen.where("start IS NOT NULL"), [tag])))).groupBy("ticker").agg(F.max_by("ttm", "end").alias(name), F.max("filed").alias(f"{name}_filed"))
-    eq = instants(seen.where("tag = 'StockholdersEquity'")).groupBy("ticker").agg(F.max_by("val", "end").alias("equity"))
-    made = ttm("Revenues", "rev").join(ttm("NetIncomeLoss", "ni"), "ticker", "left").join(eq, "ticker", "left")
-    return made.select("ticker", "rev", "ni", over(F.col("ni"), F.col("equity")).alias("roe"), F.datediff(F.lit(asof).cast("date"), F.greatest("rev_filed", "ni_filed")).cast("long").alias("days_since"))
+    """Latest figures and ratios per ticker from what was filed before a day, and the age of the last filing."""
+    day = F.lit(asof).cast("date")
+    seen = facts.where(F.col("filed") < day)
+    last = seen.groupBy("ticker").agg(F.max("filed").alias("last_filed")).withColumn("date", day)
+    made = latest_known(last, figures(seen))
+    billions = lambda x: F.format_string("$%.1fB", F.col(x) / 1e9)
+    return made.select(
+        "ticker", "rev", "ni", "rev_yoy", "ni_yoy", against(F.col("ni"), "equity").alias("roe"), against(F.col("ni"), "float").alias("earnings_yield"),
+        against(F.col("ni") - F.col("cfo"), "assets").alias("accruals"), F.datediff(day, "last_filed").cast("long").alias("days_since"),
+        F.when(F.col("rev").isNotNull(), billions("rev")).alias("rev_text"),
+    )

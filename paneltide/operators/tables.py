@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paneltide.functions.text import looks_like_split
+
 
 def append_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows, and new ones whose key is not there yet (of equal new keys, one)."""
@@ -87,3 +89,55 @@ def limit_price(close: Column, side: Column) -> Column:
     """A little through the close, in whole cents, halves away from zero."""
     exact = close.cast("decimal(18,6)")
     return F.round(F.when(side == "BUY", exact * F.lit("1.002").cast("decimal(6,3)")).otherwise(exact * F.lit("0.998").cast("decimal(6,3)")), 2).cast("decimal(18,2)")
+
+
+def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the last in order."""
+    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def series_checks(panel: DataFrame, least: int = 260, move: float = 0.40, most: int = 8, gap: int = 7) -> DataFrame:
+    """Per ticker: rows, faults and whether the series is usable.
+
+    Large moves over a gap in the listing do not count; one at the ratio of a split, or `most` of
+    any kind, make a series unusable. panel holds one row per ticker and date (see keep_last).
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    ratio = F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0))
+    near = F.datediff("date", F.lag("date").over(w)) <= gap
+    jump = (F.abs(ratio - 1) > move) & near
+    rows = panel.select(
+        "ticker", (F.least("open", "high", "low", "close") <= 0).alias("bad"), (F.col("high") < F.col("low")).alias("crossed"),
+        jump.alias("jump"), (jump & looks_like_split(ratio)).alias("split"),
+    )
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    made = rows.groupBy("ticker").agg(F.count("*").alias("n"), n("bad").alias("bad"), n("crossed").alias("crossed"), n("jump").alias("jumps"), n("split").alias("splits"))
+    ok = (F.col("n") >= least) & (F.col("bad") == 0) & (F.col("crossed") == 0) & (F.col("splits") == 0) & (F.col("jumps") < most)
+    return made.withColumn("ok", ok)
+
+
+def surviving(checks: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """The usable tickers; an error where fewer than this share are. One row is brought to the driver."""
+    n, usable = checks.agg(F.count("*"), F.count(F.when(F.col("ok"), 1))).first()
+    if usable < least_share * n:
+        raise ValueError(f"only {usable} of {n} series are usable")
+    return checks.where("ok").select("ticker")
+
+
+def promoted(candidates: DataFrame, key: str = "version") -> DataFrame:
+    """Candidates in order of version, each with the version in use after it.
+
+    A candidate takes over where its `sharpe` is above that of the one in use; where either has none,
+    where its `ic` is; the first always does. One short row per version, folded in order.
+    """
+    row = F.struct(key, "sharpe", "ic")
+    past = F.array_sort(F.collect_list(row).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+
+    def later(best: Column, x: Column) -> Column:
+        both = x["sharpe"].isNotNull() & best["sharpe"].isNotNull()
+        better = F.when(both, x["sharpe"] > best["sharpe"]).otherwise(best["ic"].isNull() | (x["ic"] > best["ic"]))
+        return F.when(F.coalesce(better, F.lit(False)), x).otherwise(best)
+
+    current = F.aggregate(F.slice(past, F.lit(2), F.size(past) - 1), past[0], later)
+    return candidates.select(key, current[key].alias("in_use"))

@@ -6,6 +6,7 @@ it holds enough values that are not NULL; a division by zero gives NULL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -185,8 +186,9 @@ def annual_volatility(panel: DataFrame) -> DataFrame:
     return with_returns(panel).select("date", "ticker", (rolled(F.stddev_samp, F.col("ret"), 63, 40) * YEAR**0.5).alias("vol63"))
 
 
-def smoothed(df: DataFrame, x: str, halflife: float, rows: int = 160, out: str = "smooth") -> DataFrame:
-    """Exponential mean with weights that add up to one; rows bounds the memory (160 for a half-life of 3)."""
+def smoothed(df: DataFrame, x: str, halflife: float, rows: int | None = None, out: str = "smooth") -> DataFrame:
+    """Exponential mean with weights that add up to one, over so many rows: by default 53 half-lives, beyond which weights are below 2^-53."""
+    rows = rows or math.ceil(53 * halflife)
     keep = 0.5 ** (1.0 / halflife)
     held = F.collect_list(x).over(trailing(rows))
     return df.withColumn(out, F.aggregate(

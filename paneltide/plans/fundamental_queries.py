@@ -19,8 +19,8 @@ TTM = lambda tag: f"""SELECT ticker, "end", filed, ttm FROM (SELECT ticker, "end
 
 
 def YOY(inner: str, value: str, safe: bool = False) -> str:
-    size = "abs(base)" if safe else "CASE WHEN base > 0 THEN base END"
-    return f"""SELECT ticker, "end", filed, (v - base) / nullif({size}, 0) AS yoy FROM (SELECT *, {value} AS v, lag({value}, 4) OVER w AS base, date_diff('day', lag("end", 4) OVER w, "end") AS span FROM ({inner}) WINDOW w AS (PARTITION BY ticker ORDER BY "end")) WHERE span BETWEEN 300 AND 430"""
+    size = "abs(base)" if safe else "base"
+    return f"""SELECT ticker, "end", filed, (v - base) / nullif({size}, 0) AS yoy FROM (SELECT *, {value} AS v, lag({value}, 4) OVER w AS base, date_diff('day', lag("end", 4) OVER w, "end") AS span FROM ({inner}) WINDOW w AS (PARTITION BY ticker ORDER BY "end")) WHERE span BETWEEN 300 AND 430 AND base <> 0"""
 
 
 INST = lambda tag: f"""SELECT ticker, "end", filed, val FROM (SELECT *, max("end") OVER (PARTITION BY ticker ORDER BY filed, "end" ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT ticker, "end", min(filed) AS filed, arg_min(val, filed) AS val FROM facts WHERE tag = '{tag}' GROUP BY ALL)) WHERE "end" >= top"""
@@ -81,23 +81,27 @@ def asof(name: str, inner: str, column: str) -> str:
     return f"ASOF LEFT JOIN (SELECT ticker, filed, arg_max({column}, \"end\") AS {name} FROM ({inner}) GROUP BY ALL) {name}_ ON p.ticker = {name}_.ticker AND p.date > {name}_.filed"
 
 
-RATIOS = f"""SELECT p.date, p.ticker, ni / (close * 1000) AS fund_ey, cfo / (close * 1000) AS fund_cfo_yield, ni / CASE WHEN equity > 0 THEN equity END AS fund_roe, rev_yoy AS fund_rev_yoy, ni_yoy AS fund_ni_growth, asset_yoy AS fund_asset_growth,
- (ni - cfo) / CASE WHEN assets > 0 THEN assets END AS fund_accruals FROM panel p {asof('ni', TTM('NetIncomeLoss'), 'ttm')} {asof('cfo', TTM('OperatingCash'), 'ttm')} {asof('assets', INST('Assets'), 'val')} {asof('equity', INST('StockholdersEquity'), 'val')}
+RATIOS = f"""SELECT p.date, p.ticker, ni / CASE WHEN pf > 0 THEN pf END AS fund_ey, cfo / CASE WHEN pf > 0 THEN pf END AS fund_cfo_yield, ni / CASE WHEN equity > 0 THEN equity END AS fund_roe, rev_yoy AS fund_rev_yoy, ni_yoy AS fund_ni_growth, asset_yoy AS fund_asset_growth,
+ (ni - cfo) / CASE WHEN assets > 0 THEN assets END AS fund_accruals FROM panel p {asof('ni', TTM('NetIncomeLoss'), 'ttm')} {asof('cfo', TTM('OperatingCash'), 'ttm')} {asof('assets', INST('Assets'), 'val')} {asof('equity', INST('StockholdersEquity'), 'val')} {asof('pf', INST('EntityPublicFloat'), 'val')}
  {asof('rev_yoy', YOY(TTM('Revenues'), 'ttm'), 'yoy')} {asof('ni_yoy', YOY(TTM('NetIncomeLoss'), 'ttm', True), 'yoy')} {asof('asset_yoy', YOY(INST('Assets'), 'val'), 'yoy')}"""
 FUND = ["fund_ey", "fund_cfo_yield", "fund_roe", "fund_rev_yoy", "fund_ni_growth", "fund_asset_growth", "fund_accruals"]
 
 
 @query("f05_f06_fundamental_ratios", shown_sql(RATIOS, ["date", "ticker"], FUND), ["panel", "facts"])
 def _(t):
-    return shown(X.ratios(t.panel.select("date", "ticker", "close"), t.facts))
+    return shown(X.ratios(t.panel.select("date", "ticker"), t.facts))
 
 
 SEEN = lambda sql: sql.replace("FROM facts WHERE", "FROM facts WHERE filed < DATE '2000-01-01' AND")
-LATEST = lambda tag, name: f'SELECT ticker, arg_max(ttm, "end") AS {name}, max(filed) AS {name}_filed FROM ({SEEN(TTM(tag))}) GROUP BY ticker'
+#: The value with the latest filing, and of these the latest end.
+NEWEST = lambda inner, column, name: f'LEFT JOIN (SELECT ticker, arg_max({column}, (filed, "end")) AS {name} FROM ({SEEN(inner)}) GROUP BY ticker) USING (ticker)'
+SNAPSHOT = f"""SELECT ticker, rev, ni, rev_yoy, ni_yoy, ni / CASE WHEN equity > 0 THEN equity END AS roe, ni / CASE WHEN pf > 0 THEN pf END AS earnings_yield, (ni - cfo) / CASE WHEN assets > 0 THEN assets END AS accruals,
+ date_diff('day', last_filed, DATE '2000-01-01') AS days_since, printf('$%.1fB', rev / 1e9) AS rev_text FROM (SELECT ticker, max(filed) AS last_filed FROM facts WHERE filed < DATE '2000-01-01' GROUP BY ticker)
+ {NEWEST(TTM('Revenues'), 'ttm', 'rev')} {NEWEST(TTM('NetIncomeLoss'), 'ttm', 'ni')} {NEWEST(TTM('OperatingCash'), 'ttm', 'cfo')} {NEWEST(INST('Assets'), 'val', 'assets')} {NEWEST(INST('StockholdersEquity'), 'val', 'equity')}
+ {NEWEST(INST('EntityPublicFloat'), 'val', 'pf')} {NEWEST(YOY(TTM('Revenues'), 'ttm'), 'yoy', 'rev_yoy')} {NEWEST(YOY(TTM('NetIncomeLoss'), 'ttm', True), 'yoy', 'ni_yoy')}"""
 
 
-@query("f07_fundamental_snapshot", shown_sql(f"""SELECT ticker, rev, ni, ni / nullif(equity, 0) AS roe, date_diff('day', greatest(rev_filed, ni_filed), DATE '2000-01-01') AS days_since FROM ({LATEST('Revenues', 'rev')}) LEFT JOIN ({LATEST('NetIncomeLoss', 'ni')}) USING (ticker)
- LEFT JOIN (SELECT ticker, arg_max(val, "end") AS equity FROM ({SEEN(INST('StockholdersEquity'))}) GROUP BY ticker) USING (ticker)""", ["ticker", "days_since"], ["rev", "ni", "roe"], 3), ["facts"])
+@query("f07_fundamental_snapshot", shown_sql(SNAPSHOT, ["ticker", "days_since", "rev_text"], ["rev", "ni", "rev_yoy", "ni_yoy", "roe", "earnings_yield", "accruals"], 3), ["facts"])
 def _(t):
     return shown(X.snapshot(t.facts, "2000-01-01"), digits=3)
 

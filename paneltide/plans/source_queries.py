@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paneltide.functions import text as X
 from paneltide.plans.registry import query, shown, shown_sql
@@ -98,3 +99,106 @@ def _(t):
 
     E.merge_batches(E.read_stream(t.spark, t.folder), f"{place}/progress", merge)
     return t.spark.read.schema("user_id long, event_id long").parquet(f"{place}/rows").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+@query("s05b_open_intervals", """SELECT ticker, start, "end" FROM membership""", ["membership"])
+def _(t):
+    path = _shared(t, "windows")
+    t.membership.write.option("header", True).option("dateFormat", "MM/dd/yyyy").csv(path)
+    raw = files.csv_table(t.spark, path, "ticker string, start string, end string")
+    return raw.select("ticker", *(F.to_date(c, "MM/dd/yyyy").alias(c) for c in ("start", "end")))
+
+
+@query("s06_fills_with_text_prices", "SELECT id, cast(round(value * 100) / 100 AS double) AS price FROM signals", ["signals"])
+def _(t):
+    path = _shared(t, "fills")
+    t.signals.select("id", F.format_string("%.2f", F.round("value", 2)).alias("price")).write.option("header", True).csv(path)
+    return files.csv_table(t.spark, path, "id long, price string").select("id", F.col("price").cast("decimal(18, 2)").cast("double").alias("price"))
+
+
+@query("s09_continued_filings", "SELECT DISTINCT ticker, form, filed FROM filings WHERE filed >= DATE '1997-06-01'", ["filings"])
+def _(t):
+    def arrays(rows):
+        held = F.collect_list(F.struct("form", "filed"))
+        return rows.groupBy("ticker", F.year("filed").alias("year")).agg(held.alias("r")).select("ticker", F.col("r.form").alias("form"), F.col("r.filed").alias("filed"))
+
+    recent, older = arrays(t.filings.where("filed >= date'1999-01-01'")), arrays(t.filings.where("filed < date'1999-03-01'"))
+    rows = files.parallel_arrays(recent.unionByName(older), "ticker", ["form", "filed"])
+    return rows.where("filed >= date'1997-06-01'").distinct().orderBy("ticker", "filed")
+
+
+@query("s10_cik_map", "SELECT upper(name) AS ticker, lpad(cast(id AS varchar), 10, '0') AS cik FROM companies", ["companies"])
+def _(t):
+    entry = F.struct(F.col("id").alias("cik_str"), F.col("name").alias("ticker"))
+    objects = t.companies.groupBy("country", F.pmod("id", F.lit(64))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), entry)))).alias("json"))
+    return files.map_rows(objects, "json", "cik_str: long, ticker: string").select(F.upper("ticker").alias("ticker"), X.padded_cik(F.col("cik_str")).alias("cik"))
+
+
+OHLC = ["open", "high", "low", "close", "volume"]
+
+
+@query("s14_adjusted_bars", shown_sql("SELECT date, ticker, open / 2 AS open, high / 2 AS high, low / 2 AS low, close / 2 AS close, volume * 2 AS volume FROM panel", ["date", "ticker"], OHLC), ["panel"])
+def _(t):
+    adjusted = {f"adj{c.capitalize()}": F.col(c) * 2 if c == "volume" else F.col(c) / 2 for c in OHLC}
+    return shown(files.adjusted_bars(t.panel.withColumns(adjusted).withColumn("date", F.date_format("date", "yyyy-MM-dd'T'00:00:00.000'Z'"))))
+
+
+@query("s15_text_bars", shown_sql("SELECT date, ticker, open, high, low, close, CASE WHEN day(date) = 3 THEN 0.0 ELSE volume END AS volume FROM panel WHERE day(date) <> 7", ["date", "ticker"], OHLC), ["panel"])
+def _(t):
+    volume = F.when(F.dayofmonth("date") == 3, "").otherwise(F.col("volume").cast("string"))
+    line = F.when(F.dayofmonth("date") == 7, "Exceeded the daily hits limit").otherwise(F.concat_ws(",", "date", "open", "high", "low", "close", volume))
+    return shown(files.bars_from_text(t.panel.select("ticker", line.alias("line"))))
+
+
+@query("s16_inclusive_range", "SELECT date, ticker FROM panel WHERE date BETWEEN DATE '1996-02-01' AND DATE '1996-03-15'", ["panel"])
+def _(t):
+    return files.between_inclusive(t.panel.select("date", "ticker"), "1996-02-01", "1996-03-15")
+
+
+#: Which series tells the employment of a sector.
+EMPLOYMENT = {"BUILDING": "VIX", "MACHINERY": "DGS10", "FURNITURE": "T10Y2Y"}
+
+
+@query("s23_sector_series", shown_sql("""SELECT sector, series, date, value FROM (SELECT s.sector, m.*, row_number() OVER (PARTITION BY s.sector ORDER BY date DESC) AS n FROM macro m
+ JOIN (VALUES ('BUILDING', 'VIX'), ('MACHINERY', 'DGS10'), ('FURNITURE', 'T10Y2Y')) s(sector, series) USING (series)) WHERE n <= 12""", ["sector", "series", "date"], ["value"]), ["macro"])
+def _(t):
+    names = t.spark.createDataFrame([*EMPLOYMENT.items()], "sector string, series string")
+    w = Window.partitionBy("sector").orderBy(F.col("date").desc())
+    rows = t.macro.join(F.broadcast(names), "series").withColumn("n", F.row_number().over(w)).where("n <= 12")
+    return shown(rows, "sector", "series", "date", "value")
+
+
+@query("s24_feed_items", """SELECT 'https://feeds/' || CASE WHEN user_id % 3 = 0 THEN 'merger' ELSE 'news' END AS source_url, event_type || ' & ' || event_id AS title, 'https://x/' || event_id AS link,
+ 'a  b' || value AS summary, date_trunc('second', ts) AS published, CASE WHEN user_id % 3 = 0 THEN 'ma' ELSE 'news' END AS signal_type FROM events""")
+def _(t):
+    part = lambda tag, x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
+    said = F.concat(F.lit("&lt;p&gt;a &lt;b&gt;b"), F.col("value").cast("string"), F.lit("&lt;/p&gt;"))
+    at = F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    fields = [part("title", F.concat("event_type", F.lit(" &amp; "), "event_id")), part("link", F.concat(F.lit("https://x/"), "event_id")), part("description", said), part("pubDate", at)]
+    url = F.concat(F.lit("https://feeds/"), F.when(F.col("user_id") % 3 == 0, "merger").otherwise("news"))
+    items = t.raw("events").select(url.alias("source_url"), F.pmod("event_id", F.lit(100)).alias("g"), part("item", F.concat(*fields)).alias("item"))
+    feeds = items.groupBy("source_url", "g").agg(part("rss", part("channel", F.array_join(F.collect_list("item"), ""))).alias("xml"))
+    return files.feed_items(feeds).withColumn("published", F.col("published").cast("timestamp_ntz"))
+
+
+@query("w03_snapshot_once", shown_sql("SELECT date, series, value FROM macro WHERE date < DATE '1998-01-01'", ["date", "series"], ["value"]), ["macro"])
+def _(t):
+    path = _shared(t, "macro-1998-01-01")
+    files.write_once(t.macro.where("date < date'1998-01-01'"), path)
+    files.write_once(t.macro, path)
+    return shown(t.spark.read.schema(t.macro.schema).parquet(path))
+
+
+@query("w15_json_artifacts", shown_sql("SELECT ticker, count(*) AS n, max(close) AS top FROM panel GROUP BY ticker", ["ticker", "n"], ["top"]), ["panel"])
+def _(t):
+    path = _shared(t, "summary")
+    made = t.panel.groupBy("ticker").agg(F.struct(F.count("*").alias("n"), F.max("close").alias("top")).alias("summary"))
+    made.write.json(path)
+    return shown(files.json_lines(t.spark, path, "ticker string, summary struct<n: long, top: double>").select("ticker", "summary.n", "summary.top"))
+
+
+@query("k08_newest_decision", """SELECT user_id, arg_max(event_id, (cast(ts AS date), CASE WHEN event_type = 'error' THEN strftime(ts, '_r%H%M') ELSE '' END, event_id)) AS event_id FROM events GROUP BY user_id""")
+def _(t):
+    # A revision's file name goes on behind the daily one's, so it is the later of the two.
+    rank = F.struct(F.to_date("ts"), F.when(F.col("event_type") == "error", F.date_format("ts", "'_r'HHmm")).otherwise(""), "event_id")
+    return t.raw("events").groupBy("user_id").agg(F.max_by("event_id", rank).alias("event_id"))

@@ -7,11 +7,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from paneltide.operators import aggregates as A
+from paneltide.operators import families as X1
 from paneltide.operators import iterative as I
 from paneltide.operators import portfolios as P
+from paneltide.operators import tables as K
 from paneltide.operators import windows as W
 from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.plans.relational_queries import PREDS, TOP, VIX, changes, preds, top_weights, vix
+from paneltide.plans.source_queries import _shared as shared
 from paneltide.plans.window_queries import MKT, RET, fr, roll, scores
 
 
@@ -185,3 +188,52 @@ def _(t):
 @query("x05_deflated_by_variant")
 def _(t):
     return shown(A.deflated_sharpe(P.replay(days(t), VARIANTS), "net", "variant", trials=len(VARIANTS)))
+
+
+FAMILY_COLUMNS = ["rev_ret_1d", "rev_ret_5d", "rev_z_5d", "cal_dow", "cal_month"]
+
+
+@query("x01_p03_u04_feature_families", shown_sql(f"""SELECT date, ticker, rev_ret_1d, rev_ret_5d, rev_z_5d, cal_dow, cal_month, 'trend_sma50_gap' AS lacking FROM (
+ SELECT date, ticker, ret AS rev_ret_1d, r5 AS rev_ret_5d, CASE WHEN count(r5) OVER w21 >= 15 THEN (r5 - avg(r5) OVER w21) / nullif(stddev_samp(r5) OVER w21, 0) END AS rev_z_5d, isodow(date) - 1 AS cal_dow, month(date) AS cal_month
+ FROM (SELECT *, close / lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r5 FROM ({RET})) WINDOW w21 AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING))""", ["date", "ticker", "cal_dow", "cal_month", "lacking"], FAMILY_COLUMNS[:3]), ["panel"])
+def _(t):
+    made = X1.with_prefix(X1.build(t.panel, t.macro, ["reversal", "calendar"]), ["rev_", "cal_dow", "cal_month"])
+    lacking = X1.missing(made, [*FAMILY_COLUMNS, "trend_sma50_gap"])
+    return shown(made.withColumn("lacking", F.lit(",".join(lacking))), "date", "ticker", *FAMILY_COLUMNS, "lacking")
+
+
+@query("u05b_all_tickers", "SELECT DISTINCT ticker FROM (SELECT ticker FROM panel WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker FROM membership)", ["panel", "membership"])
+def _(t):
+    return t.panel.where("date < date'1996-01-01'").select("ticker").unionByName(t.membership.select("ticker")).distinct()
+
+
+#: Yearly versions of a model: the Sharpe ratio and mean return of the market in their year stand for their figures.
+VERSIONS = f"SELECT version, CASE WHEN version <> 1997 THEN sharpe END AS sharpe, ic FROM (SELECT year(date) AS version, avg(mkt) / stddev_samp(mkt) AS sharpe, avg(mkt) AS ic FROM ({MKT}) WHERE mkt IS NOT NULL GROUP BY 1)"
+
+
+def versions(t):
+    f = W.market_return(t.panel).where("mkt IS NOT NULL").groupBy(F.year("date").alias("version"))
+    return f.agg(F.when(F.col("version") != 1997, F.avg("mkt") / F.stddev_samp("mkt")).alias("sharpe"), F.avg("mkt").alias("ic"))
+
+
+GATE = f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (ORDER BY version) AS n FROM ({VERSIONS})),
+ g AS (SELECT n, version, version AS in_use, sharpe, ic FROM v WHERE n = 1
+ UNION ALL SELECT v.n, v.version, CASE WHEN better THEN v.version ELSE in_use END, CASE WHEN better THEN v.sharpe ELSE g_sharpe END, CASE WHEN better THEN v.ic ELSE g_ic END
+ FROM (SELECT v.*, g.in_use, g.sharpe AS g_sharpe, g.ic AS g_ic, CASE WHEN v.sharpe IS NOT NULL AND g.sharpe IS NOT NULL THEN v.sharpe > g.sharpe ELSE v.ic > g.ic END AS better FROM v JOIN g ON v.n = g.n + 1) v)
+ SELECT version, in_use FROM g"""
+
+
+@query("b10_promotion_gate", GATE, ["panel"])
+def _(t):
+    return K.promoted(versions(t))
+
+
+@query("w12_registry", f"SELECT version, in_use AS current FROM ({GATE}) QUALIFY row_number() OVER (ORDER BY version DESC) = 1", ["panel"])
+def _(t):
+    """Every version is written to its own place, the pointer names the one in use, and the current one is loaded by it."""
+    path = shared(t, "registry")
+    versions(t).write.partitionBy("version").parquet(f"{path}/artifacts")
+    saved = t.spark.read.parquet(f"{path}/artifacts")
+    K.promoted(saved).agg(F.max_by("in_use", "version").alias("current"), F.max("version").alias("version")).write.parquet(f"{path}/pointer")
+    pointer = t.spark.read.parquet(f"{path}/pointer")
+    return pointer.join(saved.select(F.col("version").alias("current")), "current").select("version", "current")

@@ -101,7 +101,7 @@ def _(t):
     return W.labels(t.panel).where("fwd_ret IS NOT NULL AND date BETWEEN date'1996-01-01' AND date'1999-12-31'").select("date", "ticker")
 
 
-SPLIT = " OR ".join(f"abs(g - 1.0 / {k}) * {k} < 0.005 OR abs(g - {k}) / {k} < 0.005" for k in X.SPLITS)
+SPLIT = " OR ".join(f"abs(g * {k} - 1) < 0.005 OR abs(g / {k} - 1) < 0.005" for k in ("2.0", "3.0", "4.0", "5.0", "6.0", "8.0", "10.0", "1.5::double", "(4.0::double / 3)", "1.25::double"))
 
 
 @query("p04_splits", f"SELECT date, ticker FROM (SELECT date, ticker, ret + 1 AS g FROM ({RET})) WHERE g > 0 AND ({SPLIT})", ["panel"])
@@ -109,12 +109,39 @@ def _(t):
     return W.with_returns(t.panel).where(X.looks_like_split(F.col("ret") + 1)).select("date", "ticker")
 
 
-@query("p05_valid_series", f"SELECT ticker, count(*) AS n, count(*) FILTER (high < low OR close <= 0) AS bad_prices, max(gap) AS longest_gap, count(*) FILTER (abs(ret) > 0.4) AS jumps, (count(*) >= 260 AND count(*) FILTER (high < low OR close <= 0) = 0 AND count(*) FILTER (abs(ret) > 0.4) < 8) AS ok FROM (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) AS gap FROM ({RET})) GROUP BY ticker", ["panel"])
+#: A bar as two vendors deliver it, the later one corrected on every eleventh day of the year.
+FEED = """SELECT date, ticker, open, high, low, CASE WHEN dayofyear(date) % 29 = 0 THEN close * 2 WHEN dayofyear(date) % 31 = 0 THEN close * 1.53::double ELSE close END AS close, 1 AS seq FROM panel
+ UNION ALL SELECT date, ticker, open, high, low, close, 2 FROM panel WHERE dayofyear(date) % 29 = 0 AND ticker > 'T00030'"""
+
+
+def feed(t):
+    day = F.dayofyear("date")
+    wrong = F.when(day % 29 == 0, F.col("close") * 2).when(day % 31 == 0, F.col("close") * 1.53).otherwise(F.col("close"))
+    bars = t.panel.select("date", "ticker", "open", "high", "low", "close")
+    again = bars.where((day % 29 == 0) & (F.col("ticker") > "T00030")).withColumn("seq", F.lit(2))
+    return bars.withColumns({"close": wrong, "seq": F.lit(1)}).unionByName(again)
+
+
+KEPT = f"SELECT date, ticker, open, high, low, arg_max(close, seq) AS close FROM ({FEED}) GROUP BY ALL"
+CHECKS = f"""SELECT ticker, n, bad, crossed, jumps, splits, n >= 260 AND bad = 0 AND crossed = 0 AND splits = 0 AND jumps < 8 AS ok FROM (
+ SELECT ticker, count(*) AS n, count(*) FILTER (least(open, high, low, close) <= 0) AS bad, count(*) FILTER (high < low) AS crossed,
+ count(*) FILTER (abs(g - 1) > 0.40 AND near) AS jumps, count(*) FILTER (abs(g - 1) > 0.40 AND near AND ({SPLIT})) AS splits FROM (
+ SELECT *, close / lag(close) OVER w AS g, date_diff('day', lag(date) OVER w, date) <= 7 AS near FROM ({KEPT}) WINDOW w AS (PARTITION BY ticker ORDER BY date)) GROUP BY ticker)"""
+
+
+@query("k06_keep_last", shown_sql(KEPT, ["date", "ticker"], ["close"]), ["panel"])
 def _(t):
-    rows = W.with_returns(t.panel).withColumn("gap", F.datediff("date", F.lag("date").over(W.by_ticker())).cast("long"))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    made = rows.groupBy("ticker").agg(F.count("*").alias("n"), n((F.col("high") < F.col("low")) | (F.col("close") <= 0)).alias("bad_prices"), F.max("gap").alias("longest_gap"), n(F.abs("ret") > 0.4).alias("jumps"))
-    return made.withColumn("ok", (F.col("n") >= 260) & (F.col("bad_prices") == 0) & (F.col("jumps") < 8))
+    return shown(K.keep_last(feed(t), ["date", "ticker"], "seq"), "date", "ticker", "close")
+
+
+@query("p05_valid_series", CHECKS, ["panel"])
+def _(t):
+    return K.series_checks(K.keep_last(feed(t), ["date", "ticker"], "seq"))
+
+
+@query("p06_surviving_series", f"SELECT ticker FROM (SELECT ticker, count(*) AS n FROM panel GROUP BY ticker) WHERE n >= 260", ["panel"])
+def _(t):
+    return K.surviving(K.series_checks(t.panel, move=1e9), least_share=0.0)
 
 
 @query("p10_unscored", "SELECT id, name FROM companies WHERE score IS NULL", ["companies"])
@@ -122,22 +149,44 @@ def _(t):
     return t.companies.where("score IS NULL").select("id", "name")
 
 
-@query("p11_p12_p13_actions", "SELECT id, CASE WHEN score >= 80 THEN 'pursue' WHEN score >= 60 THEN 'watch' WHEN score IS NOT NULL THEN 'pass' END AS action, coalesce(score >= 60, false) AS monitored FROM companies", ["companies"])
+@query("p11_p12_p13_actions", """SELECT id, CASE WHEN score >= 80 THEN 'pursue' WHEN score >= 60 THEN 'watch' WHEN score IS NOT NULL THEN 'pass' END AS action, coalesce(score >= 60, false) AS monitored,
+ CASE WHEN score >= 70 THEN 'On Track' WHEN score < 45 THEN 'Alert' ELSE 'Watch' END AS status, CASE WHEN score >= 75 THEN 'green' WHEN score >= 50 THEN 'yellow' WHEN score < 50 THEN 'red' END AS badge FROM companies""", ["companies"])
 def _(t):
-    return t.companies.select("id", X.action(F.col("score")).alias("action"), F.coalesce(F.col("score") >= 60, F.lit(False)).alias("monitored"))
+    score = F.col("score")
+    return t.companies.select("id", X.action(score).alias("action"), F.coalesce(score >= 60, F.lit(False)).alias("monitored"), X.status(score).alias("status"), X.badge(score).alias("badge"))
 
 
-@query("p14_search", "SELECT id FROM companies WHERE (contains(lower(name), '12') OR contains(lower(country), 'an')) AND sector = 'BUILDING'", ["companies"])
+def search(companies, text: str, **filters: str):
+    """Companies whose name or country holds the text, and whose columns have the given values; "all" is any."""
+    low = text.lower()
+    made = companies.where(F.lower("name").contains(low) | F.lower("country").contains(low))
+    for column, value in filters.items():
+        made = made if value == "all" else made.where(F.col(column) == value)
+    return made
+
+
+@query("p14_search", "SELECT id, 'one' AS which FROM companies WHERE (contains(lower(name), 'r#0000000') OR contains(lower(country), 'r#0000000')) AND sector = 'BUILDING' UNION ALL SELECT id, 'all' FROM companies WHERE contains(lower(country), '1') OR contains(lower(name), '1')", ["companies"])
 def _(t):
-    return t.companies.where((F.lower("name").contains("12") | F.lower("country").contains("an")) & (F.col("sector") == "BUILDING")).select("id")
+    one = search(t.companies, "R#0000000", sector="BUILDING", country="all")
+    return one.select("id", F.lit("one").alias("which")).unionByName(search(t.companies, "1", sector="all").select("id", F.lit("all").alias("which")))
+
+
+#: Of a company's ten newest figures the three oldest are looked at.
+KPI_ALERTS = """SELECT company_id::varchar AS key, cast(recorded_at::date AS varchar) AS at, 'growth' AS severity FROM (
+ SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY recorded_at, id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY recorded_at DESC, id DESC) AS n FROM kpis) WHERE n <= 10)
+ WHERE m <= 3 AND metric_name = 'revenue_growth' AND value < -0.1"""
 
 
-@query("p15_alerts", f"SELECT ticker AS key, cast(date AS varchar) AS at, CASE WHEN abs(ret) >= 0.10 THEN 'high' ELSE 'medium' END AS severity FROM ({RET}) WHERE abs(ret) >= 0.05 UNION ALL SELECT company_id::varchar, cast(created_at::date AS varchar), 'filing' FROM signals WHERE signal_type = 'sec_8k' UNION ALL SELECT company_id::varchar, cast(recorded_at::date AS varchar), 'growth' FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY recorded_at DESC, id DESC) AS n FROM kpis) WHERE n <= 3 AND metric_name = 'revenue_growth' AND value < -0.1", ["panel", "signals", "kpis"])
+@query("p15_alerts", f"""SELECT ticker AS key, cast(date AS varchar) AS at, CASE WHEN abs(ret) >= 0.10 THEN 'high' ELSE 'medium' END AS severity FROM ({RET}) WHERE abs(ret) >= 0.05
+ UNION ALL SELECT company_id::varchar, cast(created_at::date AS varchar), 'filing' FROM signals WHERE signal_type = 'sec_8k' UNION ALL {KPI_ALERTS}""", ["panel", "signals", "kpis"])
 def _(t):
     text = lambda c: F.col(c).cast("string")
-    moves = W.with_returns(t.panel).where(F.abs("ret") >= 0.05).select(F.col("ticker").alias("key"), text("date").alias("at"), F.when(F.abs("ret") >= 0.10, "high").otherwise("medium").alias("severity"))
+    size = F.when(F.abs("ret") >= 0.10, "high").otherwise("medium").alias("severity")
+    moves = W.with_returns(t.panel).where(F.abs("ret") >= 0.05).select(F.col("ticker").alias("key"), text("date").alias("at"), size)
     filed = t.signals.where("signal_type = 'sec_8k'").select(text("company_id").alias("key"), F.to_date("created_at").cast("string").alias("at"), F.lit("filing").alias("severity"))
-    low = W.last_values(t.kpis, "company_id", ["recorded_at", "id"], 3).where("metric_name = 'revenue_growth' AND value < -0.1")
+    w = W.Window.partitionBy("company_id").orderBy("recorded_at", "id")
+    oldest = W.last_values(t.kpis, "company_id", ["recorded_at", "id"], 10).withColumn("m", F.row_number().over(w)).where("m <= 3")
+    low = oldest.where("metric_name = 'revenue_growth' AND value < -0.1")
     return moves.unionByName(filed).unionByName(low.select(text("company_id").alias("key"), F.to_date("recorded_at").cast("string").alias("at"), F.lit("growth").alias("severity")))
 
 
@@ -159,10 +208,14 @@ def _(t):
     return t.companies.select("id", X.ticker_symbol(F.col("name")).alias("symbol"), X.padded_cik(F.col("id")).alias("cik"), X.signal_kind(F.lit("rss"), F.col("name")).alias("kind"))
 
 
-@query("x04_reply_scores", "SELECT event_id, greatest(0.0, least(100.0, coalesce(CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN cast(event_id % 150 AS double) END, 50.0))) AS score FROM events")
+@query("x04_reply_scores", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN greatest(0.0, least(100.0, trunc(value))) WHEN 1 THEN least(100.0, (event_id % 150)::double) WHEN 2 THEN 85.0 ELSE 50.0 END::double AS score FROM events""")
 def _(t):
-    e = t.raw("events")
-    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('well: {"score": '), F.col("value").cast("string"), F.lit("} so"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("I say "), (F.col("event_id") % 150).cast("string"), F.lit(" here"))).otherwise("none")
+    e, k = t.raw("events"), F.col("event_id") % 5
+    number = (F.col("event_id") % 150).cast("string")
+    reply = (
+        F.when(k == 0, F.concat(F.lit('well: {"score": '), F.col("value").cast("string"), F.lit("} so"))).when(k == 1, F.concat(F.lit("I say "), number, F.lit(" here")))
+        .when(k == 2, "in 2024 I say 85, or 90").when(k == 3, '{"risk": 7}').otherwise("none of 1000")
+    )
     return e.select("event_id", X.score_reply(reply).alias("score"))
 
 

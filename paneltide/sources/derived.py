@@ -82,7 +82,7 @@ class Tables:
         """Fact vintages: ticker, tag, start, end, filed, val; every fifth quarter is restated later."""
         q = self.quarters.withColumn("filed", F.expr("date_add(end, cast(30 + l_suppkey % 20 AS int))"))
         base = q.selectExpr("l_suppkey", "ticker", "filed", "end", "start",
-            "stack(5, 'NetIncomeLoss', ni, 0, 'Revenues', rev, 0, 'Assets', qty * 900.0D, 1, 'StockholdersEquity', qty * 400.0D, 1, 'OperatingCash', cfo, 0) AS (tag, val, instant)")
+            "stack(6, 'NetIncomeLoss', ni, 0, 'Revenues', rev, 0, 'Assets', qty * 900.0D, 1, 'StockholdersEquity', qty * 400.0D, 1, 'OperatingCash', cfo, 0, 'EntityPublicFloat', rev * 3.0D, 1) AS (tag, val, instant)").where("tag <> 'EntityPublicFloat' OR quarter(end) = 4")
         made = base.selectExpr("l_suppkey", "ticker", "tag", "CASE WHEN instant = 0 THEN start END AS start", "end", "filed", "val")
         again = made.where("(l_suppkey + quarter(end)) % 5 = 0").selectExpr("l_suppkey", "ticker", "tag", "start", "end", "date_add(filed, 90) AS filed", "val * 1.01D AS val")
         return made.unionByName(again).drop("l_suppkey")
@@ -139,8 +139,8 @@ SQL: dict[str, str] = {
   cast(sum({_H.format('l_extendedprice')}) AS double) / 100 AS rev, cast(sum({_H.format('l_extendedprice * (l_discount - 0.04::double)')}) AS double) / 100 AS ni, cast(sum({_H.format('l_extendedprice * l_tax')}) AS double) / 100 AS cfo, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL""",
     "facts": """SELECT ticker, tag, start, "end", filed, val FROM (
   WITH base AS (SELECT l_suppkey, ticker, t.tag, CASE WHEN t.instant = 0 THEN start END AS start, "end", "end" + cast(30 + l_suppkey % 20 AS int) AS filed,
-    CASE t.tag WHEN 'NetIncomeLoss' THEN ni WHEN 'Revenues' THEN rev WHEN 'Assets' THEN qty * 900.0::double WHEN 'StockholdersEquity' THEN qty * 400.0::double ELSE cfo END AS val
-    FROM quarters, (VALUES ('NetIncomeLoss', 0), ('Revenues', 0), ('Assets', 1), ('StockholdersEquity', 1), ('OperatingCash', 0)) t(tag, instant))
+    CASE t.tag WHEN 'NetIncomeLoss' THEN ni WHEN 'Revenues' THEN rev WHEN 'Assets' THEN qty * 900.0::double WHEN 'StockholdersEquity' THEN qty * 400.0::double WHEN 'EntityPublicFloat' THEN rev * 3.0::double ELSE cfo END AS val
+    FROM quarters, (VALUES ('NetIncomeLoss', 0), ('Revenues', 0), ('Assets', 1), ('StockholdersEquity', 1), ('OperatingCash', 0), ('EntityPublicFloat', 1)) t(tag, instant) WHERE t.tag <> 'EntityPublicFloat' OR quarter("end") = 4)
   SELECT * FROM base UNION ALL SELECT l_suppkey, ticker, tag, start, "end", filed + 90, val * 1.01::double FROM base WHERE (l_suppkey + quarter("end")) % 5 = 0)""",
     "filings": """SELECT ticker, form, filed, CASE WHEN l_suppkey % 6 <> 0 THEN cast(filed AS timestamp) + to_hours(cast(7 + l_suppkey % 12 AS int)) END AS accepted, items FROM (
   SELECT ticker, '10-Q' AS form, "end" + cast(30 + l_suppkey % 20 AS int) AS filed, l_suppkey, '' AS items FROM quarters
@@ -162,5 +162,9 @@ def with_bases(sql: str, bases: tuple[str, ...]) -> str:
                 wanted.append(x)
     if not wanted:
         return sql
-    head = "WITH " + ", ".join(f"{x} AS ({SQL[x]})" for x in wanted)
-    return head + (", " + sql.lstrip()[5:] if sql.lstrip()[:5].upper() == "WITH " else " " + sql)
+    bases = ", ".join(f"{x} AS ({SQL[x]})" for x in wanted)
+    text = sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            return f"{start}{bases}, {text[len(start):]}"
+    return f"WITH {bases} {sql}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paneltide.functions.text import plain_text, signal_kind
+
 
 def curated(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Panel rows of a Parquet folder; every filter reaches the scan."""
@@ -48,3 +50,46 @@ def parallel_arrays(raw: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:
     """Replaces a dataset: few sorted files per partition value."""
     df.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def map_rows(objects: DataFrame, column: str, value: str, key: str = "key") -> DataFrame:
+    """Rows of JSON objects of objects: each entry's key and the fields of its value (a DDL schema)."""
+    parsed = objects.select(F.from_json(column, f"map<string, struct<{value}>>").alias("m"))
+    return parsed.select(F.explode("m").alias(key, "_v")).select(key, "_v.*")
+
+
+BAR = ("open", "high", "low", "close", "volume")
+
+
+def adjusted_bars(raw: DataFrame) -> DataFrame:
+    """Bars from rows that hold raw and adjusted columns: the adjusted ones are taken before any gets its name."""
+    return raw.select(F.to_date("date").alias("date"), "ticker", *(F.col(f"adj{c.capitalize()}").cast("double").alias(c) for c in BAR))
+
+
+def bars_from_text(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Bars from CSV lines (ticker, line) of a vendor that answers errors as text; a missing volume is 0."""
+    fields = F.from_csv(F.col(column), "date date, open double, high double, low double, close double, volume double")
+    parsed = lines.where(~F.lower(column).rlike("no data|exceeded|apikey")).select("ticker", fields.alias("b"))
+    rows = parsed.where("b.date IS NOT NULL AND b.close IS NOT NULL")
+    return rows.select("b.date", "ticker", *(F.col(f"b.{c}") for c in BAR[:4]), F.coalesce("b.volume", F.lit(0.0)).alias("volume"))
+
+
+def between_inclusive(rows: DataFrame, start: str, end: str, at: str = "date") -> DataFrame:
+    """Rows of a half-open source range whose end is meant to be in it."""
+    return rows.where((F.col(at) >= F.lit(start).cast("date")) & (F.col(at) < F.date_add(F.lit(end).cast("date"), 1)))
+
+
+ITEM = "title string, link string, description string, pubDate string"
+
+
+def feed_items(feeds: DataFrame, column: str = "xml") -> DataFrame:
+    """Items of feeds (source_url, xml): title, link, summary as plain text, time in UTC and kind of signal."""
+    items = feeds.select("source_url", F.explode(F.from_xml(column, f"channel struct<item: array<struct<{ITEM.replace(' string', ': string')}>>>")["channel"]["item"]).alias("i"))
+    without_day = F.regexp_replace("i.pubDate", r"^[A-Za-z]{3},\s*", "")
+    at = F.coalesce(F.try_to_timestamp(without_day, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("i.pubDate"))
+    return items.select("source_url", "i.title", "i.link", plain_text(F.col("i.description")).alias("summary"), at.alias("published"), signal_kind(F.col("source_url"), F.col("i.title")).alias("signal_type"))
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """A dated snapshot: what is there already stays as it is."""
+    df.write.mode("ignore").parquet(path)
