@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paneltide.functions import text as X
-from paneltide.plans.registry import query, shown, shown_sql
+from paneltide.plans.registry import query, shared_path, shown, shown_sql
 from paneltide.sources import files
 from paneltide.streaming import events as E
 
@@ -56,8 +54,7 @@ def _(t):
 
 
 def _shared(t, name: str) -> str:
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 @query("s28_s29_json_lines", "SELECT id, company_id, signal_type FROM signals", ["signals"])
@@ -94,11 +91,12 @@ def _(t):
     place = _shared(t, "merged")
 
     def merge(batch, epoch):
+        # Each epoch has its own folder: a batch that is run again replaces what it wrote.
         first = batch.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-        first.write.mode("append").parquet(f"{place}/rows")
+        first.write.mode("overwrite").parquet(f"{place}/rows/epoch={epoch}")
 
     E.merge_batches(E.read_stream(t.spark, t.folder), f"{place}/progress", merge)
-    return t.spark.read.schema("user_id long, event_id long").parquet(f"{place}/rows").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return t.spark.read.schema("user_id long, event_id long").parquet(f"{place}/rows").groupBy("user_id").agg(F.min("event_id").alias("event_id")).select("user_id", "event_id")
 
 
 @query("s05b_open_intervals", """SELECT ticker, start, "end" FROM membership""", ["membership"])

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from paneltide.functions import text as X
 from paneltide.operators import tables as K
 from paneltide.operators import windows as W
-from paneltide.plans.registry import query, shown, shown_sql
+from paneltide.plans.registry import query, shared_path, shown, shown_sql
 from paneltide.plans.relational_queries import TOP, top_weights
 from paneltide.plans.window_queries import MKT, RET
 from paneltide.streaming import events as E
@@ -267,8 +265,7 @@ def _(t):
 
 @query("t05_cooldown_stream")
 def _(t):
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_path(t.spark, "stream")
     E.run_once(E.with_cooldown(E.read_stream(t.spark, t.folder), 90.0, 90), f"{place}/progress", f"{place}/rows")
     return t.spark.read.schema(E.FIRED).parquet(f"{place}/rows")
 
