@@ -2,7 +2,9 @@
 
 A record is JSON. The set of its nested field paths is hashed, and the hash selects a declarative
 mapping to turns; a layout is known by its paths alone, so a mapping lists the paths that it
-expects. Unknown layouts give no turns and are reported by their hash.
+expects. Where no mapping has the hash, the paths that no mapping names (a source's own metadata)
+are left out and the rest is hashed again. Layouts that are unknown even so give no turns and are
+reported by their hash.
 
 The template writes each turn as `### Role: text</turn>` and a line end. In texts and roles the
 escape character, the turn marks and the colon behind a role are replaced by two-character codes,
@@ -63,7 +65,7 @@ class Mapping:
 
     def apply(self, record: dict) -> list[Turn]:
         if self.turns:
-            return [(self.roles.get(r := as_text(t.get(self.role)), r), as_text(t.get(self.text))) for t in record[self.turns]]
+            return [(self.roles.get(r := as_text(t.get(self.role)), r), as_text(t.get(self.text))) for t in record[self.turns] if isinstance(t, dict)]
         made = []
         for name, role in self.fields:
             parts = [as_text(record.get(name)), *(as_text(record.get(x)) for x, behind in self.joined.items() if behind == name)]
@@ -94,6 +96,14 @@ MAPPINGS = [
 REGISTRY = {fingerprint(m.paths()): m for m in MAPPINGS}
 
 
+def named_paths(paths: set[str], registry: dict[str, Mapping]) -> set[str]:
+    """The paths that some mapping names; an empty list of turns has those of a turn."""
+    made = set()
+    for m in registry.values():
+        made |= m.paths() if m.turns and f".{m.turns}[]" in paths else m.paths() & paths
+    return made
+
+
 def canonical(record: str | None, registry: dict[str, Mapping] | None = None) -> tuple[str, str, list[Turn]]:
     """(fingerprint, name of the mapping or empty, turns) of a record."""
     try:
@@ -102,8 +112,9 @@ def canonical(record: str | None, registry: dict[str, Mapping] | None = None) ->
         value = None
     if not isinstance(value, dict):
         return "", "", []
-    mark = fingerprint(field_paths(value))
-    found = (REGISTRY if registry is None else registry).get(mark)
+    paths, known = field_paths(value), REGISTRY if registry is None else registry
+    mark = fingerprint(paths)
+    found = known.get(mark) or known.get(fingerprint(named_paths(paths, known)))
     return (mark, found.name, found.apply(value)) if found else (mark, "", [])
 
 
@@ -160,6 +171,11 @@ def format_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
     return map_texts(df.selectExpr(f"`{id_col}` AS id", f"`{record_col}` AS record"), kernel, schema, ["id", "record"])
 
 
+def unmapped(made: DataFrame) -> DataFrame:
+    """Layouts of format_records() that no mapping knows, and how many records have them."""
+    return made.where("mapping = ''").groupBy("layout").agg(F.count("*").alias("n"))
+
+
 def digests(made: DataFrame) -> DataFrame:
     """What the formatted texts hold, read back from them and their masks."""
 

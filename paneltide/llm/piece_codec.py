@@ -159,7 +159,8 @@ class Codec:
         """Ids of each text as little-endian 32-bit integers, what they are decoded to, and whether sentencepiece gives the same ids.
 
         A run begins with a marker, and where no piece has a marker behind another character neither
-        library joins anything across runs, so a text's ids agree where those of all its runs do.
+        library joins anything across runs, so a text's ids agree where those of all its runs do. A
+        marker alone can only be a text's end, and is no text of its own; such texts are compared whole.
         """
         if not self.by_runs:
             ids = self.encode(texts)
@@ -168,13 +169,17 @@ class Codec:
         new = list(set().union(*runs) - self.ids.keys())
         ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
         # The prefix that a library puts before a text is a run's first marker; decoding takes its space away.
-        self.apart.update(r for r, i, e in zip(new, ids, self.expected([r[1:] for r in new])) if i != e)
+        self.apart.update(r for r, i, e in zip(new, ids, self.expected([r[1:] for r in new])) if i != e and r != MARK)
         fresh_ids = {r: array("I", i).tobytes() for r, i in zip(new, ids)}
         fresh_back = {r: " " + back for r, back in zip(new, self.decode(ids))}
         ids_of, back_of = (self.ids | fresh_ids).__getitem__, (self.back | fresh_back).__getitem__
         if self.room > 0:
             self.keep(fresh_ids, fresh_back)
-        return [(b"".join(map(ids_of, r)), "".join(map(back_of, r))[1:], self.apart.isdisjoint(r)) for r in runs]
+        made = [(b"".join(map(ids_of, r)), "".join(map(back_of, r))[1:], self.apart.isdisjoint(r)) for r in runs]
+        whole = [k for k, r in enumerate(runs) if r and r[-1] == MARK]
+        for k, e in zip(whole, self.expected([texts[k] for k in whole])):
+            made[k] = (*made[k][:2], made[k][0] == array("I", e).tobytes())
+        return made
 
     def expected(self, texts: list[str]) -> list[list[int]]:
         return self.judge.encode(texts, num_threads=self.threads)

@@ -70,14 +70,22 @@ def name_score(name: str) -> float:
     return best
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret rather than a placeholder or a word, 0 to 1."""
-    return score_of(len(value), Counter(value), value)
+def takes_phrases(name: str) -> bool:
+    """Whether a value of several words may be the secret itself: the name ends in a word for one that people type."""
+    return [p.lower() for p in PARTS.findall(name)][-1:] in (["passphrase"], ["password"], ["passwd"], ["pwd"])
 
 
-def score_of(size: int, counts: Counter, value: str) -> float:
+def literal_score(value: str, phrases: bool = False) -> float:
+    """How much a literal looks like a secret rather than a placeholder or a word, 0 to 1.
+
+    A value with more than three spaces is taken for prose, unless the name takes phrases.
+    """
+    return score_of(len(value), Counter(value), value, phrases)
+
+
+def score_of(size: int, counts: Counter, value: str, phrases: bool) -> float:
     """The same of a value by its size and letters; of `value` only what tells a placeholder counts."""
-    if size < MIN_LITERAL or HARMLESS.match(value) or counts[" "] > 3:
+    if size < MIN_LITERAL or HARMLESS.match(value) or (counts[" "] > 3 and not phrases):
         return 0.0
     bits = -sum(c / size * math.log2(c / size) for c in counts.values() if c / size)
     return min(1.0, 0.4 + bits / 5)
@@ -104,7 +112,7 @@ class Value:
                 todo.extend(x.parts)
         return out
 
-    def looks_secret(self, text: str) -> float:
+    def looks_secret(self, text: str, phrases: bool) -> float:
         todo = [self]
         while todo:
             x = todo[-1]
@@ -115,7 +123,7 @@ class Value:
         whole = self.size <= 2 * ENDS
         middle = "" if whole else "".join(self.counts)  # as good as the letters between, to a placeholder's pattern
         tail = self.tail[max(0, len(self.tail) - self.size + len(self.head)) :] if whole else self.tail
-        return score_of(self.size, self.counts, self.head + middle + tail)
+        return score_of(self.size, self.counts, self.head + middle + tail, phrases)
 
     def sum_up(self, text: str) -> None:
         counts, head, tail = Counter(), "", ""
@@ -306,7 +314,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 mine = [bound[name], *parts] if op == "+=" and name in bound else parts
                 value = bound[name] = mine[0] if len(mine) == 1 and isinstance(mine[0], Value) else Value(mine)
                 if (s := name_score(name)) and not value.reported:
-                    if any(isinstance(x, Value) and x.reported for x in value.parts) or s * value.looks_secret(text) >= MIN_SCORE:
+                    if any(isinstance(x, Value) and x.reported for x in value.parts) or s * value.looks_secret(text, takes_phrases(name)) >= MIN_SCORE:
                         found.update(x for x in value.new_spans() if x[1] > x[0])
                         value.reported = True
                 reported |= value.reported

@@ -356,6 +356,8 @@ FORMS = [
     ("PWD=\nexport FOO=bar-value", []),
     ("credential:\n  user: bob-marley\n  auth:\n    - x", []),
     ("auth: string;", []),
+    ('db_passphrase = "correct horse battery staple again"', ["correct horse battery staple again"]),
+    ('token_help = "please ask one of the admins for it"', []),
 ]
 
 
@@ -396,3 +398,193 @@ def test_rows_without_an_id_stay(spark):
     a, b, c = ("%s one two three four five six seven eight nine" % x for x in ("red", "green apple", "blue sky over"))
     docs = spark.createDataFrame([(1, a), (None, a), (None, b + " ten"), (None, b + " ten"), (None, c * 2)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in near_dup.keep_first(docs).collect()) == sorted([(1, a), (0, b + " ten"), (0, c * 2)])
+
+
+@here
+def test_media_digests_by_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op3_flac_media(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for doc, text in docs:
+        raw = (text or "").encode()
+        whole = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got[doc]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+    some = spark.createDataFrame([(1, docs[0].text), (2, None)], "doc_id long, text string")
+    media = flac.stored(some).cache()
+    blocks = sorted((r.doc_id, r.block, r.first_sample, bytes(r.pcm)) for r in flac.blocks(media).collect())
+    for doc, text in ((1, docs[0].text), (2, None)):
+        whole, at = flac.payload(text), 0
+        for _, _, first, pcm in (b for b in blocks if b[0] == doc):
+            assert first == at and bytes(x ^ 128 for x in pcm) == whole[at : at + len(pcm)]
+            at += len(pcm)
+        assert at == len(whole)
+        row = media.where(f"doc_id = {doc}").first()
+        assert hashlib.sha256(row.media).hexdigest() and row.n_bytes == len((text or "").encode())
+
+
+def ranked_above(scores, labels):
+    pos, neg = scores[labels == 1], scores[labels == 0]
+    return (pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2
+
+
+@here
+def test_quality_on_held_out_labels(spark):
+    big = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    rows = [r for r in queries.op5_quality(spark, big).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    s, y = np.array([r.score for r in rows]), np.array([labels[r.doc_id] for r in rows])
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows) and len(rows) > 50
+    assert ranked_above(s, y) > 0.9
+
+
+def test_risk_falls_and_prior_is_found():
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1.5, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4))
+    p, u = good[:1500], np.concatenate([good[1500:2400], bad[:2100]])  # three tenths are good
+    u = u[rng.permutation(len(u))]
+    assert quality.estimate_prior(p, u) == pytest.approx(0.3, abs=0.07)
+    net = quality.fit(p, u, 0.3)
+    risk = lambda f, g, y: quality.softplus(-y * (f if g is p else f)).mean()
+    fp, fu = net.logits(p), net.logits(u)
+    rest = risk(fu, u, -1) - 0.3 * risk(fp, p, -1)
+    assert 0.3 * risk(fp, p, 1) + max(0.0, rest) < 0.2 and rest > -0.05
+    held = np.concatenate([good[3000:], bad[3000:]])
+    assert ((net.scores(held) > 0.5) == (np.arange(2000) < 1000)).mean() > 0.97
+
+
+def test_samples_at_any_number_of_rows(spark):
+    ids = spark.range(1, 200_001).withColumnRenamed("id", "doc_id")
+    for share in (1.0, 0.1, 1e-4):
+        assert ids.where(quality.drawn(share)).count() == pytest.approx(200_000 * share, rel=0.05, abs=20)
+    n = 30_000_000_000
+    lowest = ids.agg(F.min(F.xxhash64("doc_id", F.lit(1)).cast("double"))).first()[0]
+    assert ids.where(quality.drawn(20_000 / n)).count() == int(lowest < 20_000 / n * 2.0**64 - 2.0**63)
+
+
+def test_metadata_and_odd_conversations(spark, empty):
+    layouts = [
+        ({"prompt": "a", "response": "b", "meta": {"source": "x"}, "n": 1}, [("user", "a"), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": "a", "ts": 1}], "id": 4, "tags": []}, [("user", "a")]),
+        ({"messages": []}, []),
+        ({"meta": 1}, []),
+    ]
+    for record, turns in layouts:
+        assert chat_format.canonical(json.dumps(record))[2] == turns
+    schema = "conv_id long, turn long, role string, text string, id long, record string"
+    rows = [(1, 1, "assistant", None, 9, "r"), (1, 0, None, "a", 9, "r"), (2, 0, "user", "x" * 300_000, 9, "r"), (2, 0, "user", "x" * 300_000, 9, "r"), (None, 0, "user", "n", 9, "r")]
+    got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, schema), spark).collect()}
+    assert set(got) == {1, 2, None, -7} and got[1].n_turns == 2 and got[1].loss_chars == 0 and got[2].n_turns == 2
+    assert chat_format.format_conversations(spark.createDataFrame([], schema), spark).count() == 1
+    made = chat_format.format_records(spark.createDataFrame([(1, '{"meta": 1}'), (2, None)], "id long, record string"), "id", "record")
+    assert sum(r.n for r in chat_format.unmapped(made).collect()) == 2
+
+
+def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, odd.unionByName(odd), empty):
+        n = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns and kept.count() <= n
+        assert dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, str(tmp_path)).count() >= n
+
+
+def wire(*fields):
+    """A protocol-buffer message of (number, value): ints, floats, bytes and texts."""
+    out = b""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    for number, value in fields:
+        if isinstance(value, float):
+            import struct
+
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(data)) + data
+    return out
+
+
+def unigram_model(path, fallback, squeeze, extra=()):
+    words = ["\u2581the", "\u2581", "the", "h", "t", "e", "cat", "\u2581cat", "s", "a", "c", "at", "\u2581c"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((w, -1.0 - i / 3, 1) for i, w in enumerate(words)), *extra]
+    pieces += [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)] if fallback else []
+    trainer = wire((3, 1), *([(35, 1)] if fallback else []))
+    rules = wire((1, "identity"), (2, b""), (3, 1), (4, int(squeeze)), (5, 1))
+    path.write_bytes(b"".join(wire((1, wire((1, p), (2, s), (3, k)))) for p, s, k in pieces) + wire((2, trainer), (3, rules)))
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback,squeeze", [(True, False), (False, False), (True, True)])
+def test_unigram_models(tmp_path, fallback, squeeze):
+    codec = piece_codec.Codec(unigram_model(tmp_path / "u.model", fallback, squeeze))
+    sample = ["the cat", "thecats  at", " the ", "", "tea \u00e9\u6f22", "cc the\u2581cat"]
+    for text, (ids, back, same) in zip(sample, codec.checked(sample)):
+        assert same and ids == np.array(codec.expected([text])[0], "<u4").tobytes(), text
+        if fallback and not squeeze and "\u2581" not in text:
+            assert back == text
+
+
+def test_user_defined_pieces_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        piece_codec.Codec(unigram_model(tmp_path / "u.model", True, False, [("<x>", 0.0, 4)]))
+
+
+def test_runs_give_the_ids_of_whole_texts():
+    codec = piece_codec.codec(public_tokenizers.path("piece_bpe_32k.model"), 1)
+    sample = [t or "" for t in ODD] + texts()[:60]
+    for text, (ids, back, same), whole in zip(sample, codec.checked(sample), codec.expected(sample)):
+        assert same and back == text and ids == np.array(whole, "<u4").tobytes()
+
+
+@here
+def test_query_figures_by_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op6_token_counts(spark, SF).collect():
+        assert r.n_bytes == len(docs[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 512)
+    for r in queries.op7_secret_scan(spark, SF).collect():
+        base = [s for s in secret_scan.spans_of(docs[r.doc_id])[0] if s[1] < 3]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    bins = collections.defaultdict(list)
+    for r in queries.op8_best_fit_packing(spark, SF).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+@here
+def test_likeness_by_force(spark):
+    sets = lambda s: {e.split("@")[0] for e in s.split(",")} - {""}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    rows = sorted(queries.op9_winnowing(spark, SF).collect(), key=lambda r: r.doc_id)
+    for r, n in zip(rows, rows[1:] + rows[:1]):
+        assert r.near_edited == pytest.approx(share(sets(r.fingerprint), sets(r.edited_fingerprint)))
+        assert r.near_next == pytest.approx(share(sets(r.fingerprint), sets(n.fingerprint)))
+
+
+def test_neighbours_over_many_empty_buckets(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(winnow, "NUMBERED_TOGETHER", 7)
+    for most in (1_000_000, 1):  # with and without a broadcast
+        monkeypatch.setattr(winnow, "MOST_BROADCAST", most)
+        ids = sorted({int(x) for x in np.random.default_rng(3).integers(0, 10**9, 200)} | set(range(40)))
+        rows = spark.createDataFrame([(i, f"text {i} " * 6) for i in ids], "doc_id long, text string")
+        got = {r.doc_id: r.edited_sha256 for r in winnow.fingerprints(rows).collect()}
+        for i, n in zip(ids, ids[1:] + ids[:1]):
+            t, half = f"text {i} " * 6, len(f"text {i} " * 6) // 2
+            assert got[i] == hashlib.sha256((t[: len(t) - half] + (f"text {n} " * 6)[:half]).encode()).hexdigest()
+
+
+def test_memory_of_remembered_values_is_bounded():
+    from paneltide.llm.common import Memo
+
+    memo = Memo(lambda k: k * 2, most_bytes=50_000)
+    assert all(memo[w] == w * 2 for w in [f"{i}" for i in range(5000)] + ["x" * 20_000])
+    assert len(memo) < 400 and "x" * 20_000 not in memo
