@@ -40,10 +40,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder or "/tmp/checkpoints"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -500,4 +500,4 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return {"doc_id": ids, "n_bytes": sizes} | out
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks int"
-    return map_texts(written(stored(df, id_col, text_col), "media"), kernel, schema, ["doc_id", "n_bytes", "media"])
+    return map_texts(written(stored(df, id_col, text_col), "media", "zstd"), kernel, schema, ["doc_id", "n_bytes", "media"])
