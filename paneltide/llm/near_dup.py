@@ -10,7 +10,8 @@ sum(min)/sum(max) of the weights.
 Registers are banded. A bucket of the bands compares its documents with one of them (a star), so
 a group of n copies costs n comparisons; the centre is the document that shares most buckets. Of
 what still lies in one bucket but in different classes, documents outside the centre's class meet
-all others, unless an exact bound from both's comparison with their centre rules the pair out.
+all others, unless an exact bound from both's comparison with their centre rules the pair out;
+large buckets are cut into a grid of cells for this, so no task holds a whole one.
 Every comparison that counts is on the bags themselves.
 
 Defined results: words are runs of ASCII letters, digits and other code points above 127, in lower
@@ -41,6 +42,8 @@ THRESHOLD = 0.8
 FILTER_BITS = 1 << 26
 #: Words of 64 bits that sketch what a document has beyond its bucket's centre.
 SKETCH = 16
+#: Rows of one side that meet in one cell of a bucket; larger buckets are cut into a grid of cells.
+CELL = 1024
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -267,22 +270,30 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     labels = connected_components(links)
     inside = _open_buckets(weighted.drop("component"), labels)
     discard(weighted, labels)
-    most = written(inside.groupBy("band", "value").agg(F.max_by("component", F.struct(F.col("weight"), -F.col("node"))).alias("most")), "most")
+    most = written(inside.groupBy("band", "value").agg(
+        F.max_by("component", F.struct(F.col("weight"), -F.col("node"))).alias("most"), F.count("*").alias("n")
+    ), "most")
+    outside = inside.join(most, ["band", "value"]).groupBy("band", "value", "most", "n").agg(F.count_if(F.expr("component <> most")).alias("m"))
+    hubs = outside.select("band", "value", "most", F.ceil(F.col("m") / CELL).alias("across"), F.ceil(F.col("n") / CELL).alias("down"))
+    hubs = written(hubs.join(centres.select("band", "value", F.col("centre.node").alias("hub")), ["band", "value"]), "hubs")
     beyond = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), (F.col("size_a") - F.col("shared")).alias("alone"), "sketch")
     blank = F.array_repeat(F.lit(0).cast("long"), SKETCH)  # of the centre itself
-    apart = inside.join(centres.select("band", "value", F.col("centre.node").alias("hub")), ["band", "value"]).join(beyond, ["node", "hub"], "left")
+    apart = inside.join(hubs, ["band", "value"]).join(beyond, ["node", "hub"], "left")
     placed = written(apart.select(
-        "band", "value", "node", "size", "component", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("sketch", blank).alias("sketch")
+        "band", "value", "most", "across", "down", "node", "size", "component", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("sketch", blank).alias("sketch")
     ).withColumn("bits", F.aggregate("sketch", F.lit(0), lambda n, w: n + F.bit_count(w))), "placed")
-    discard(inside, centres)
+    discard(inside, centres, most, hubs)
+    # A cell of the grid holds some of the documents outside (by row) and some of all (by column).
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "component", "alone", "sketch", "bits")]
-    left = placed.join(most, ["band", "value"]).where("component <> most").select("band", "value", "most", *side("a"))
-    others = placed.select("band", "value", *side("b"))
-    rest = left.join(others, ["band", "value"]).where("component_a <> component_b AND (component_b = most OR node_a < node_b)")
+    spot = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    left = placed.where("component <> most").select("band", "value", "most", spot("across").alias("row"), every("down").alias("column"), *side("a"))
+    others = placed.select("band", "value", every("across").alias("row"), spot("down").alias("column"), *side("b"))
+    rest = left.join(others, ["band", "value", "row", "column"]).where("component_a <> component_b AND (component_b = most OR node_a < node_b)")
     rest = rest.where(alike_in_size(F.col("size_a"), F.col("size_b"), threshold)).where(may_reach(threshold))
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.lit(0).cast("long").alias("weight")).distinct()
     more = compared(rest, found)
-    discard(placed, most, found)
+    discard(placed, found)
     labels = connected_components(links.unionByName(links_of(more, threshold)))
     named = written(firsts.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id")), "named")
     discard(star, more, labels, firsts)

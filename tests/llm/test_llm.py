@@ -150,6 +150,24 @@ def test_large_group_of_copies_stays_one_class(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+@here
+@pytest.mark.parametrize("cell", [1024, 2])
+def test_links_of_queries_by_force(spark, monkeypatch, cell):
+    """Documents whose id is divisible by 100 against all of a larger table, whatever the cells of a bucket."""
+    folder = SF.replace("0.001", "0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no larger table")
+    monkeypatch.setattr(near_dup, "CELL", cell)
+    bags = {r.doc_id: bag(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    sizes = {i: b.total() for i, b in bags.items()}
+    got = {r.doc_id: r.class_id for r in queries.op2_near_dup(spark, folder).collect()}
+    links = [
+        (a, b) for a in bags if a % 100 == 0 for b in bags
+        if a != b and sizes[a] and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and (s := (bags[a] & bags[b]).total()) >= 0.8 * (sizes[a] + sizes[b] - s)
+    ]
+    assert links and all(got[a] == got[b] for a, b in links)
+
+
 def test_flac_round_trip_and_checks():
     payloads = [flac.payload(t) for t in ODD] + [bytes(range(256)) * 40, bytes(4096), os.urandom(8192)]
     media = flac.encode(payloads)
