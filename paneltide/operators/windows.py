@@ -244,11 +244,37 @@ def mood_snapshot(panel: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def macro_snapshot(macro: DataFrame, asof: str, back: int = 21) -> DataFrame:
-    """Last value of each series before a date and its change over `back` rows."""
+    """Last value of each series before a date and its change over `back` rows, where more than back + 1 are there."""
     w = Window.partitionBy("series").orderBy(F.col("date").desc())
     n = macro.where(F.col("date") < F.lit(asof).cast("date")).withColumn("n", F.row_number().over(w))
     pick = lambda k: F.max(F.when(F.col("n") == k, F.col("value")))
-    return n.where(F.col("n").isin(1, back + 1)).groupBy("series").agg(pick(1).alias("last"), (pick(1) - pick(back + 1)).alias("change"))
+    change = F.when(F.max("n") > back + 1, pick(1) - pick(back + 1))
+    return n.where(F.col("n").isin(1, back + 1, back + 2)).groupBy("series").agg(pick(1).alias("last"), change.alias("change"))
+
+
+def vix_term(snapshot: DataFrame) -> DataFrame:
+    """One row: last VIX over last VIX3M, and whether that is inverted; NULLs where one is missing or VIX3M is not above 0."""
+    last = lambda name: F.max(F.when(F.col("series") == name, F.col("last")))
+    term = F.when(last("VIX3M") > 0, last("VIX") / F.nullif(last("VIX3M"), F.lit(0.0)))
+    return snapshot.agg(term.alias("vix_term")).withColumn("inverted", F.col("vix_term") > 1)
+
+
+def last_reaction(panel: DataFrame, market: DataFrame, reactions: DataFrame) -> DataFrame:
+    """Abnormal return on the session that could first trade a ticker's newest announcement, and the sessions since.
+
+    reactions: (ticker, filed, session). Only what was filed by the ticker's last session counts; a ticker
+    whose newest announcement has no session yet has no row, whatever came before.
+    """
+    ends = panel.groupBy("ticker").agg(F.max("date").alias("asof"))
+    known = reactions.join(ends, "ticker").where("filed <= asof")
+    newest = known.groupBy("ticker").agg(F.max(F.struct("filed", "session")).getField("session").alias("date"))
+    every = Window.partitionBy("ticker")
+    numbered = with_returns(panel).select(
+        "ticker", "date", "ret", (F.count("*").over(every) - F.row_number().over(by_ticker())).alias("sessions_since_earnings")
+    )
+    both = numbered.join(newest, ["ticker", "date"]).join(market, "date", "left")
+    abnormal = F.col("ret") - F.coalesce("mkt", F.lit(0.0))
+    return both.select("ticker", abnormal.alias("last_earnings_reaction"), "sessions_since_earnings")
 
 
 def calendar(panel: DataFrame) -> DataFrame:

@@ -114,6 +114,23 @@ REACT = f"""SELECT DISTINCT f.ticker, p.date FROM (SELECT *, {DAY} AS day FROM (
  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS idx FROM ({RET}) JOIN ({MKT}) USING (date)) a LEFT JOIN ({REACT}) h ON a.ticker = h.ticker AND a.date = h.date)
  WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING))""", ["date", "ticker", "pead_days_since"], ["pead_surprise", "pead_surprise_decay"]), ["panel", "filings"])
 def _(t):
-    events = reaction_day(J.earnings_events(t.filings)).select("ticker", "day")
-    react = J.as_of(events, t.panel.select("ticker", F.col("date").alias("session")), "ticker", "day", "session", ["session"], strict=False, forward=True)
-    return shown(X.drift(t.panel, W.market_return(t.panel), react))
+    return shown(X.drift(t.panel, W.market_return(t.panel), reactions(t)))
+
+
+def reactions(t):
+    """The first session on which each announcement could be traded."""
+    events = reaction_day(J.earnings_events(t.filings)).select("ticker", "filed", "day")
+    sessions = t.panel.select("ticker", F.col("date").alias("session"))
+    return J.as_of(events, sessions, "ticker", "day", "session", ["session"], strict=False, forward=True)
+
+
+NEWEST_REACTION = f"""SELECT ticker, session FROM (SELECT f.ticker, f.filed, p.date AS session FROM (SELECT *, {DAY} AS day FROM ({EVENTS})) f
+ ASOF LEFT JOIN panel p ON f.ticker = p.ticker AND f.day <= p.date) JOIN (SELECT ticker, max(date) AS final FROM panel GROUP BY ticker) USING (ticker)
+ WHERE filed <= final QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed DESC, session DESC NULLS LAST) = 1"""
+
+
+@query("n17b_last_reaction", shown_sql(f"""SELECT r.ticker, ret - mkt AS last_earnings_reaction, n - idx AS sessions_since_earnings FROM ({NEWEST_REACTION}) r
+ JOIN (SELECT ticker, date, ret, row_number() OVER (PARTITION BY ticker ORDER BY date) AS idx, count(*) OVER (PARTITION BY ticker) AS n FROM ({RET})) x ON x.ticker = r.ticker AND x.date = r.session
+ LEFT JOIN ({MKT}) m ON m.date = r.session""", ["ticker", "sessions_since_earnings"], ["last_earnings_reaction"]), ["panel", "filings"])
+def _(t):
+    return shown(W.last_reaction(t.panel, W.market_return(t.panel), reactions(t)))

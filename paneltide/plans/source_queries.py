@@ -53,6 +53,57 @@ def _(t):
     return shown(t.raw("pages").select("page_id", F.substring("html", 1, 500).alias("text"), (F.length("html") / 7.0).cast("double").alias("size")), digits=4)
 
 
+@query("s20b_filing_hits", """SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE name END AS entity_name, CASE WHEN id % 7 <> 0 AND id % 3 <> 0 THEN 'ABCD' END AS ticker, CASE WHEN id % 11 = 0 THEN '' ELSE cast(id AS varchar) END AS cik,
+ CASE id % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '8-K' ELSE '' END AS form_type, '2024-01-26' AS file_date, CASE WHEN id % 2 = 0 THEN 'n-' ELSE 'id-' END || id AS accession_number,
+ CASE WHEN id % 5 <> 0 THEN '7372' END AS sic, CASE WHEN id % 4 <> 0 THEN country || ', X' END AS location FROM companies""", ["companies"])
+def _(t):
+    k = lambda n: F.col("id") % n
+    some = lambda when, *x: F.when(when, F.array(*x)).otherwise(F.array().cast("array<string>"))
+    display = F.concat("name", F.when(k(3) != 0, "  (ABCD)").otherwise(""), F.lit("  (CIK "), X.padded_cik(F.col("id")), F.lit(")"))
+    source = F.struct(
+        some(k(7) != 0, display).alias("display_names"), some(k(11) != 0, X.padded_cik(F.col("id"))).alias("ciks"), F.when(k(3) == 0, "10-K").alias("form"),
+        some(k(3) == 1, F.lit("8-K")).alias("root_forms"), F.lit("2024-01-26").alias("file_date"), F.when(k(2) == 0, F.concat(F.lit("n-"), "id")).alias("adsh"),
+        some(k(5) != 0, F.lit("7372")).alias("sics"), some(k(4) != 0, F.concat("country", F.lit(", X"))).alias("biz_locations"),
+    )
+    return files.filing_hits(t.companies.select("id", F.to_json(F.struct(F.concat(F.lit("id-"), "id").alias("_id"), source.alias("_source"))).alias("hit")))
+
+
+@query("s25_posts", """SELECT cast(page_id AS varchar) AS id, substring(html, 1, 500) AS selftext, url FROM pages""")
+def _(t):
+    post = F.struct(F.col("page_id").cast("string").alias("id"), F.col("html").alias("selftext"), "url", F.lit(1.7e9).alias("created_utc"))
+    pages = t.raw("pages").groupBy(F.pmod("page_id", F.lit(64)).alias("g")).agg(F.collect_list(F.struct(post.alias("data"))).alias("children"))
+    listing = F.to_json(F.struct(F.struct("children").alias("data")))
+    return files.posts(pages.select(listing.alias("listing"))).select("id", "selftext", "url")
+
+
+@query("s26_price_history", shown_sql("SELECT ticker, cast(date AS varchar) AS date, open, high, low, close, cast(volume AS bigint) AS volume FROM panel", ["ticker", "date", "volume"], ["open", "high", "low", "close"], 4), ["panel"])
+def _(t):
+    return shown(files.price_history(t.panel.withColumn("date", F.date_format("date", "yyyy-MM-dd 00:00:00-05:00"))), digits=4)
+
+
+@query("s26b_quotes", shown_sql("""SELECT cast(id AS varchar) AS symbol, CASE WHEN id % 2 = 0 THEN name WHEN id % 3 = 0 THEN sector ELSE cast(id AS varchar) END AS name,
+ CASE WHEN id % 5 = 0 THEN id * 2.0 ELSE id * 1.0 END AS price FROM companies""", ["symbol", "name"], ["price"]), ["companies"])
+def _(t):
+    k = lambda n: F.col("id") % n
+    info = t.companies.select(
+        F.col("id").cast("string").alias("symbol"), F.when(k(2) == 0, F.col("name")).alias("longName"), F.when(k(3) == 0, F.col("sector")).otherwise("").alias("shortName"),
+        F.when(k(5) == 0, 0.0).otherwise(F.col("id").cast("double")).alias("currentPrice"), (F.col("id") * 2.0).alias("regularMarketPrice"),
+    )
+    return shown(files.quote(info))
+
+
+@query("s18_newest_filings", """SELECT ticker, filed FROM filings WHERE form = '10-Q' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed DESC) <= 5""", ["filings"])
+def _(t):
+    return files.newest(t.filings.where("form = '10-Q'"), "ticker", "filed", 5).select("ticker", "filed")
+
+
+@query("s29_folder_of_json", "SELECT id, 'signal_type=' || signal_type AS folder FROM signals WHERE signal_type IN ('ma', 'news', 'rss')", ["signals"])
+def _(t):
+    path = _shared(t, "folder")
+    t.signals.select("id", "signal_type").write.partitionBy("signal_type").json(path)
+    return files.json_folder(t.spark, f"{path}/signal_type=[mnr]*/*.json", "id long").select("id", "folder")
+
+
 def _shared(t, name: str) -> str:
     return shared_path(t.spark, name)
 

@@ -275,6 +275,17 @@ def _(t):
     return E.changes_only(t.raw("events"), "user_id", "ts", "event_type").select("event_id", "user_id", "event_type")
 
 
+ACTIONS = "SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'SELL' ELSE 'HOLD' END AS action FROM events"
+
+
+@query("t06b_decision_alerts", f"""SELECT event_id, user_id, action FROM (SELECT *, lag(action) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM ({ACTIONS}))
+ WHERE action IN ('BUY', 'SELL') AND action IS DISTINCT FROM before""")
+def _(t):
+    act = F.when(F.col("event_type") == "purchase", "BUY").when(F.col("event_type") == "error", "SELL").otherwise("HOLD")
+    decisions = t.raw("events").select("event_id", "user_id", "ts", act.alias("action"))
+    return E.decision_alerts(decisions, "user_id", ["ts", "event_id"], "action").select("event_id", "user_id", "action")
+
+
 @query("t08_only_newer", "SELECT event_id FROM events WHERE cast(ts AS date) > (SELECT max(cast(ts AS date)) FROM events WHERE event_id < 5000)")
 def _(t):
     e = t.raw("events").withColumn("day", F.to_date("ts"))

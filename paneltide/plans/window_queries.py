@@ -181,12 +181,18 @@ def _(t):
     return shown(W.mood_snapshot(t.panel, W.market_return(t.panel)))
 
 
-@query("n18_macro_snapshot", shown_sql("""SELECT series, max(value) FILTER (n = 1) AS last, max(value) FILTER (n = 1) - max(value) FILTER (n = 22) AS change FROM (
+@query("n18_macro_snapshot", shown_sql("""SELECT series, max(value) FILTER (n = 1) AS last, CASE WHEN count(*) > 22 THEN max(value) FILTER (n = 1) - max(value) FILTER (n = 22) END AS change FROM (
  SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS n FROM macro WHERE date < DATE '2000-01-01') GROUP BY series""", ["series"], ["last", "change"]), ["macro"])
 def _(t):
     return shown(W.macro_snapshot(t.macro, "2000-01-01"))
 
 
+@query("n18b_vix_term", shown_sql("""SELECT v / m AS vix_term, v / m > 1 AS inverted FROM (
+ SELECT arg_max(value, date) FILTER (series = 'VIX') AS v, arg_max(value, date) FILTER (series = 'VIX3M') AS m FROM macro WHERE date < DATE '2000-01-01')""", ["inverted"], ["vix_term"]), ["macro"])
+def _(t):
+    return shown(W.vix_term(W.macro_snapshot(t.macro, "2000-01-01")))
+
+
 @query("n19_calendar", "SELECT date, ticker, cast(isodow(date) - 1 AS bigint) AS cal_dow, cast(month(date) AS bigint) AS cal_month, cast(CASE WHEN day(date) <= 3 OR day(date) >= day(last_day(date)) - 2 THEN 1 ELSE 0 END AS bigint) AS cal_turn_of_month FROM panel", ["panel"])
 def _(t):
     return W.calendar(t.panel)

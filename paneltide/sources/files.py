@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paneltide.functions.text import plain_text, signal_kind
 
@@ -93,3 +94,67 @@ def feed_items(feeds: DataFrame, column: str = "xml") -> DataFrame:
 def write_once(df: DataFrame, path: str) -> None:
     """A dated snapshot: what is there already stays as it is."""
     df.write.mode("ignore").parquet(path)
+
+
+HIT = """_id string, _source struct<display_names: array<string>, ciks: array<string>, form: string, root_forms: array<string>,
+ file_date: string, adsh: string, sics: array<string>, biz_locations: array<string>>"""
+
+
+def filing_hits(raw: DataFrame, column: str = "hit") -> DataFrame:
+    """Hits of a filing search (JSON) as rows: name, ticker and CIK from the display name, form, date, number, SIC, place.
+
+    The name loses its CIK and then its ticker in brackets; a hit without a display name has an empty name.
+    """
+    hit = raw.withColumn("_h", F.from_json(column, HIT))
+    source = lambda name: F.col(f"_h._source.{name}")
+    first = lambda name: F.get(source(name), F.lit(0))
+    named = F.trim(F.regexp_replace(F.coalesce(first("display_names"), F.lit("")), r"\s*\(CIK\s+\d+\)\s*$", ""))
+    ticker = F.nullif(F.regexp_extract(named, r"\(([A-Z]{1,5})\)\s*$", 1), F.lit(""))
+    return hit.select(
+        *(c for c in raw.columns if c != column),
+        F.when(ticker.isNull(), named).otherwise(F.trim(F.regexp_replace(named, r"\([A-Z]{1,5}\)\s*$", ""))).alias("entity_name"),
+        ticker.alias("ticker"),
+        F.ltrim(F.coalesce(first("ciks"), F.lit("")), F.lit("0")).alias("cik"),
+        F.coalesce(source("form"), first("root_forms"), F.lit("")).alias("form_type"),
+        F.coalesce(source("file_date"), F.lit("")).alias("file_date"),
+        F.coalesce(source("adsh"), F.col("_h._id"), F.lit("")).alias("accession_number"),
+        first("sics").alias("sic"), first("biz_locations").alias("location"),
+    )
+
+
+POST = "id string, title string, selftext string, score long, url string, created_utc double"
+
+
+def posts(raw: DataFrame, column: str = "listing", most: int = 500) -> DataFrame:
+    """Posts of search listings (JSON: data.children[].data), their text cut."""
+    listing = F.from_json(column, f"data struct<children: array<struct<data: struct<{POST.replace(' ', ': ').replace(',:', ',')}>>>>")
+    rows = raw.select(F.explode(listing["data"]["children"]["data"]).alias("p")).select("p.*")
+    return rows.withColumn("selftext", F.substring("selftext", 1, most)).withColumn("created_utc", F.timestamp_seconds("created_utc"))
+
+
+def price_history(bars: DataFrame) -> DataFrame:
+    """Bars as a quote service lists them: the day of the time stamp, prices to four places, whole volumes."""
+    prices = (F.round(F.col(c).cast("double"), 4).alias(c) for c in BAR[:4])
+    return bars.select("ticker", F.substring(F.col("date").cast("string"), 1, 10).alias("date"), *prices, F.col("volume").cast("long").alias("volume"))
+
+
+def quote(info: DataFrame) -> DataFrame:
+    """A quote from a vendor's fields: the long name, else the short one, else the symbol; the current price, else the market's.
+
+    Empty names and prices of 0 count as missing.
+    """
+    name = F.coalesce(F.nullif("longName", F.lit("")), F.nullif("shortName", F.lit("")), "symbol")
+    price = F.coalesce(F.nullif("currentPrice", F.lit(0.0)), "regularMarketPrice")
+    return info.select("symbol", name.alias("name"), price.alias("price"))
+
+
+def newest(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The `most` newest rows of each key."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def json_folder(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """All JSON files that match a pattern, with the name of the folder that each row came from."""
+    rows = spark.read.schema(schema).json(pattern)
+    return rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))

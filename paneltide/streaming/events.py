@@ -66,6 +66,17 @@ def changes_only(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
     return rows.withColumn("_before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
+def decision_alerts(rows: DataFrame, key: str, order: list[str], action: str, notify_all: bool = False) -> DataFrame:
+    """Decisions to BUY or SELL that differ from the one before of their key; all of them with notify_all.
+
+    The one before may be any action: a BUY after a HOLD is told again.
+    """
+    before = F.lag(action).over(Window.partitionBy(key).orderBy(*order))
+    told = F.col(action).isin("BUY", "SELL")
+    fires = told if notify_all else told & ~F.col(action).eqNullSafe(before)
+    return rows.withColumn("_fires", fires).where("_fires").drop("_fires")
+
+
 def run_once(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> None:
     """Works off what is there and stops; progress is kept in the checkpoint."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
