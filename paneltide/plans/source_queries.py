@@ -82,7 +82,7 @@ def _(t):
 
 
 @query("s26b_quotes", shown_sql("""SELECT cast(id AS varchar) AS symbol, CASE WHEN id % 2 = 0 THEN name WHEN id % 3 = 0 THEN sector ELSE cast(id AS varchar) END AS name,
- CASE WHEN id % 5 = 0 THEN id * 2.0 ELSE id * 1.0 END AS price FROM companies""", ["symbol", "name"], ["price"]), ["companies"])
+ CASE WHEN id % 5 = 0 THEN id * 2.0::double ELSE id * 1.0::double END AS price FROM companies""", ["symbol", "name"], ["price"]), ["companies"])
 def _(t):
     k = lambda n: F.col("id") % n
     info = t.companies.select(
