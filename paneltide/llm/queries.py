@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import chat_format, flac, lang_id, near_dup, packing, piece_codec, quality, secret_scan, token_count, winnow
+from paneltide.llm import (
+    chat_format, filter_audit, flac, lang_id, near_dup, packing, piece_codec, quality, secret_scan, suffix_dedup, token_count,
+    vector_codes, winnow,
+)
 from paneltide.llm.common import crc_of_id, documents
 
 
@@ -61,5 +64,20 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trips(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dup, op3_flac_media, op4_chat_format, op5_quality, op6_token_counts, op7_secret_scan, op8_best_fit_packing, op9_winnowing, op10_piece_codec)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_near_dup, op3_flac_media, op4_chat_format, op5_quality, op6_token_counts, op7_secret_scan,
+    op8_best_fit_packing, op9_winnowing, op10_piece_codec, op11_suffix_dedup, op12_filter_audit, op13_vector_codes,
+)}
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": suffix_dedup.SQL, "op12_filter_audit": filter_audit.SQL, "op13_vector_codes": vector_codes.SQL}
