@@ -1,7 +1,7 @@
 """Removes every byte of a text that lies in a 200-byte string which starts anywhere else as well.
 
 The suffixes are sorted by a distributed difference-cover algorithm, over a shorter string than the
-bytes. Of the 50 blocks of 151 bytes in any 200 bytes, the one with the lowest hash (all of them on
+bytes. Of the 80 blocks of 121 bytes in any 200 bytes, the one with the lowest hash (all of them on
 a tie) is an anchor, whatever stands around the 200 bytes; so two equal strings hold equal anchors
 at equal places. Only strings around an anchor that is there twice can be repeated. Maximal
 stretches of such starts ("runs", kept once each, with how often they occur) are the strings to
@@ -12,14 +12,15 @@ come before them; the strings of names are ranked by recursion; the remaining su
 others again, are merged by two keys of fixed size, (symbol, rank of the next) against places 1 and
 (symbol, symbol, rank of the one after) against places 2. Every sort is a range partitioning in which
 equal keys may be split over tasks; a task counts on its own, and the driver adds up one row per task.
-The recursion ends when names cover as many symbols as the longest comparison below can read.
+The recursion ends when names cover as many symbols as all but a thousandth of the comparisons below read.
 
 Then adjacent prefixes are compared. Where the anchors around a start are the same as those of a
 neighbour in suffix order, its 200 bytes are repeated: the blocks overlap and cover them. What the
-anchors leave open, some 50 starts at the ends of each run, is compared by 128-bit digests of
-the 200 bytes themselves, among each other and with one representative of each settled stretch that
-has the same lowest block. A cut of a run or of the sorted order only moves starts into that second
-comparison, so long texts are cut into chunks, and nothing depends on how tasks are cut.
+anchors leave open, some 80 starts at the ends of each run, is compared by 128-bit digests of
+the 200 bytes themselves, among each other and with one representative of each settled stretch (sent
+only where a filter of fixed size has its digest among the open ones). A cut of a run, of the sorted
+order or of the recursion only moves starts into that second comparison, so long texts are cut into
+chunks, and no result depends on how tasks are cut.
 
 Defined results: a null text is empty; texts under 200 bytes lose nothing; rows with one id, or none,
 are texts of their own; equal texts of at least 200 bytes are removed whole, all of them; an empty
@@ -42,15 +43,17 @@ from paneltide.llm.common import discard, map_texts, mix64, release, written
 
 LENGTH = 200
 #: Blocks that compete for an anchor, and bytes of a block: together they span LENGTH.
-WINDOW = 50
+WINDOW = 80
 BLOCK = LENGTH - WINDOW + 1
 #: Starts of a text that are worked on at once; a longer text is cut, with LENGTH - 1 bytes of overlap.
 CHUNK = 1 << 20
+#: Bytes whose hashes are made together: what is worked on at once fits a processor's cache.
+GROUP = 1 << 18
 #: Bits of the filter that tells repeated anchors; its 16 MB do not grow. A full filter costs time, not results.
 FILTER_BITS = 1 << 27
 GAP_BITS = 7
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-NUMBERS = ("string long, pos int, kind int, own long, a long, b long, c long")
+NUMBERS = "string long, pos int, kind int, own long, a long, b long, c long"
 
 
 @lru_cache(maxsize=8)
@@ -96,19 +99,26 @@ def slide(x: np.ndarray, width: int, extreme: np.ufunc, backwards: bool) -> np.n
     return x
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start, the lowest block hash of its 200 bytes (0: they cross an end); the places of anchors.
+def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start, the lowest block hash of its 200 bytes (0: they cross an end); the places and hashes of anchors.
 
     ends: for each byte, where its text ends.
     """
+    low, hashes = lowest(raw, ends)
+    at = np.flatnonzero(slide(low, WINDOW, np.maximum, backwards=True) == hashes)
+    return low, at, hashes[at]
+
+
+def lowest(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start, the lowest block hash of its 200 bytes; the hash of each block (above all others where none fits)."""
     n = len(raw)
-    if n < LENGTH:
-        return np.zeros(n, np.uint64), np.zeros(0, np.int64)
     hashes = np.full(n, np.uint64(2**64 - 1))
+    if n < LENGTH:
+        return np.zeros(n, np.uint64), hashes
     hashes[: n - BLOCK + 1] = np.maximum(Rolling(raw, 0).all(BLOCK), np.uint64(1))
     low = slide(hashes, WINDOW, np.minimum, backwards=False)
     low[np.arange(n) + LENGTH > ends] = 0
-    return low, np.flatnonzero(slide(low, WINDOW, np.maximum, backwards=True) == hashes)
+    return low, hashes
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +135,7 @@ def chunks(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
         for at in range(0, max(0, len(text or b"") - LENGTH + 1), CHUNK):
             group.append((row, at, text[at : at + CHUNK + LENGTH - 1]))
             size += len(group[-1][2])
-            if size >= CHUNK:
+            if size >= GROUP:
                 yield group
                 group, size = [], 0
     if group:
@@ -139,8 +149,7 @@ def repeated_anchors(texts: DataFrame) -> np.ndarray:
         found = []
         for group in chunks(texts):
             raw, _, ends = joined([t for _, _, t in group])
-            low, at = anchors(raw, ends)
-            found.append(slide(low, WINDOW, np.maximum, backwards=True)[at])
+            found.append(anchors(raw, ends)[2])
         value, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         return {"anchor": value.view(np.int64), "twice": n > 1}
 
@@ -180,7 +189,7 @@ def runs(texts: DataFrame, bits: np.ndarray) -> DataFrame:
         out = {"key": [], "first": [], "digest": [], "bytes": []}
         for group in chunks(texts):
             raw, begins, ends = joined([t for _, _, t in group])
-            low, _ = anchors(raw, ends)
+            low, _ = lowest(raw, ends)
             start, stop = stretches((low > 0) & marked(sent.value, low))
             for a, b, g in zip(start.tolist(), stop.tolist(), (np.searchsorted(begins, start, side="right") - 1).tolist()):
                 row, offset, text = group[g]
@@ -195,18 +204,17 @@ def runs(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def anchored(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of runs laid end to end: bytes, begins, lowest blocks, places of anchors, first anchor of each run (and the end)."""
+    """Of runs laid end to end: bytes, begins, lowest blocks, places and hashes of anchors, first anchor of each run (and the end)."""
     raw, begins, ends = joined(parts)
-    low, at = anchors(raw, ends)
-    return raw, begins, low, at, np.append(np.searchsorted(at, begins), len(at))
+    low, at, own = anchors(raw, ends)
+    return raw, begins, low, at, own, np.append(np.searchsorted(at, begins), len(at))
 
 
 def symbols(stored: DataFrame) -> DataFrame:
     """string, its symbols, and how many of them each place's comparisons read."""
 
     def kernel(strings, parts):
-        raw, begins, low, at, cut = anchored(parts)
-        own = slide(low, WINDOW, np.maximum, backwards=True)[at]
+        _, _, _, at, own, cut = anchored(parts)
         run = np.repeat(np.arange(len(parts)), np.diff(cut))
         after = np.append(at[1:], 0)
         final = np.append(run[1:] != run[:-1], True)[: len(at)]
@@ -483,8 +491,8 @@ class Settled:
     """Of runs laid end to end: which starts are known to be repeated, and which of them stand for others."""
 
     def __init__(self, times: list[int], shares: list, parts: list[bytes]):
-        self.raw, self.begins, self.low, at, cut = anchored(parts)
-        self.starts = np.flatnonzero(self.low)
+        self.raw, self.begins, low, at, _, cut = anchored(parts)
+        self.starts = np.flatnonzero(low)
         self.run = np.searchsorted(self.begins, self.starts, side="right") - 1
         share = np.concatenate([np.asarray(s, np.int64) for s in shares]) if shares else np.zeros(0, np.int64)
         here = np.searchsorted(at, self.starts, side="right") - 1
@@ -496,12 +504,12 @@ class Settled:
         self.known = copied | inner & (mine % 4096 >= asked)
         self.stands = self.known & ~(inner & (mine // 4096 >= asked))
 
-    def digests(self, chosen: np.ndarray) -> list[np.ndarray]:
-        return [Rolling(self.raw, which).at(self.starts[chosen], LENGTH).view(np.int64) for which in (0, 1)]
+    def digests(self, chosen: np.ndarray, half: int) -> np.ndarray:
+        return Rolling(self.raw, half).at(self.starts[chosen], LENGTH).view(np.int64)
 
 
 def open_starts(judged: DataFrame) -> DataFrame:
-    """Per string: known starts as stretches, and the others with both halves of a digest and their lowest block."""
+    """Per string: known starts as stretches, and the others with both halves of a digest."""
 
     def kernel(strings, times, shares, parts):
         s = Settled(times, shares, parts)
@@ -509,8 +517,8 @@ def open_starts(judged: DataFrame) -> DataFrame:
         known[s.starts[s.known]] = True
         start, stop = stretches(known)
         rest = np.flatnonzero(~s.known)
-        one, two = s.digests(rest)
-        block, place = s.low[s.starts[rest]].view(np.int64), s.starts[rest] - s.begins[s.run[rest]]
+        one, two = s.digests(rest, 0), s.digests(rest, 1)
+        place = s.starts[rest] - s.begins[s.run[rest]]
         a = np.searchsorted(start, np.append(s.begins, len(s.raw)))
         b = np.searchsorted(s.run[rest], np.arange(len(parts) + 1))
         cells, rows = list(zip(a[:-1], a[1:])), list(zip(b[:-1], b[1:]))
@@ -518,23 +526,22 @@ def open_starts(judged: DataFrame) -> DataFrame:
             "string": strings, "known_from": [start[x:y] - s.begins[i] for i, (x, y) in enumerate(cells)],
             "known_to": [stop[x:y] - s.begins[i] for i, (x, y) in enumerate(cells)],
             "place": [place[x:y] for x, y in rows], "one": [one[x:y] for x, y in rows], "two": [two[x:y] for x, y in rows],
-            "block": [block[x:y] for x, y in rows],
         }
 
-    kinds = ", ".join(f"{c} array<long>" for c in ("known_from", "known_to", "place", "one", "two", "block"))
+    kinds = ", ".join(f"{c} array<long>" for c in ("known_from", "known_to", "place", "one", "two"))
     return map_texts(judged, kernel, f"string long, {kinds}", ["string", "times", "shares", "bytes"], step=CHUNK)
 
 
 def stand_ins(judged: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Digests of the starts that stand for all repeated ones, where an open start has the same lowest block."""
+    """Digests of the starts that stand for all repeated ones, where an open start may have the same."""
     sent = judged.sparkSession.sparkContext.broadcast(bits)
 
     def kernel(times, shares, parts):
         s = Settled(times, shares, parts)
         chosen = np.flatnonzero(s.stands)
-        chosen = chosen[marked(sent.value, s.low[s.starts[chosen]])]
-        one, two = s.digests(chosen)
-        return {"one": one, "two": two}
+        one = s.digests(chosen, 0)
+        asked = marked(sent.value, one.view(np.uint64))
+        return {"one": one[asked], "two": s.digests(chosen[asked], 1)}
 
     return map_texts(judged, kernel, "one long, two long", ["times", "shares", "bytes"], step=CHUNK)
 
@@ -549,7 +556,7 @@ def covered(texts: DataFrame) -> DataFrame:
     places = written(stored.select("key", "first", "digest").distinct(), "places")
     discard(stored)
     strings = written(symbols(kept), "symbols", "zstd")
-    need = strings.agg(F.max(F.array_max("need"))).first()[0] or 1
+    need = strings.select(F.explode("need").alias("n")).agg(F.percentile_approx("n", F.lit(0.999), F.lit(100))).first()[0] or 1
     ranked = ranks(strings, need)
     shares = neighbours(strings, ranked)
     judged = written(
@@ -557,8 +564,8 @@ def covered(texts: DataFrame) -> DataFrame:
     )
     discard(kept, strings, ranked)
     opened = written(open_starts(judged), "open")
-    each = opened.select("string", F.explode(F.arrays_zip("place", "one", "two", "block")).alias("o")).select("string", "o.*")
-    slots = each.select((F.col("block").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))
+    each = opened.select("string", F.explode(F.arrays_zip("place", "one", "two")).alias("o")).select("string", "o.*")
+    slots = each.select((F.col("one").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))
     others = stand_ins(judged, bits_of(slots))
     twice = each.select("one", "two").unionByName(others).groupBy("one", "two").count().where("count > 1")
     twice = written(twice.select("one", "two"), "twice")
