@@ -220,6 +220,42 @@ def earnings_exclusions(days: DataFrame, earnings: DataFrame, ahead: int = 2) ->
     return earnings.select("ticker", F.to_date("earnings_date").alias("earnings_date")).join(near, "earnings_date").select("date", "ticker").distinct()
 
 
+def decisions(
+    days: DataFrame, earnings: DataFrame, vix: DataFrame, states: DataFrame, equity: DataFrame, ahead: int = 2, halt: float = 0.10
+) -> DataFrame:
+    """All gates of each date: names left out, exposure, whether new names may enter, and the notes in order.
+
+    days: date; earnings: ticker, earnings_date; vix: date, vix, vix3m; states: date, state; equity: date, equity, high_water_mark.
+    Without any earnings date the first gate says that it is inactive, on every date.
+    """
+    calendar = days.select("date").distinct()
+    excluded = earnings_exclusions(calendar, earnings, ahead).groupBy("date").agg(F.array_sort(F.collect_set("ticker")).alias("_out"))
+    known = earnings.where("earnings_date IS NOT NULL").select(F.lit(True).alias("_known")).limit(1)
+    made = calendar.join(excluded, "date", "left").join(F.broadcast(known), F.lit(True), "left")  # one row, or none
+    for other in (vix, states, equity):
+        made = made.join(other, "date", "left")
+    ratio = over(F.col("vix3m"), F.when(F.col("vix") > 0, F.col("vix")))
+    deep = over(F.col("equity"), F.when(F.col("high_water_mark") > 0, F.col("high_water_mark"))) - 1
+    inverted, stress, halted = (F.coalesce(c, F.lit(False)) for c in (ratio < 1, F.col("state") == 1, deep <= -halt))
+    names = F.concat(F.lit("['"), F.array_join("_out", "', '"), F.lit("']"))
+    notes = F.array_compact(F.array(
+        F.when(F.col("_known").isNull(), "earnings gate INACTIVE (no earnings calendar)")
+        .when(F.col("_out").isNotNull(), F.concat(F.lit("earnings exclusion: "), names)),
+        F.when(ratio.isNull(), "VIX gate INACTIVE (missing VIX/VIX3M data)").when(
+            inverted, F.format_string("VIX term structure inverted (VIX3M/VIX=%.2f) — exposure halved, no new entries", F.round(ratio, 2))
+        ),
+        F.when(F.col("state").isNull(), "jump-model gate INACTIVE (no regime state available)").when(
+            stress, "jump model: STRESS regime — exposure halved, no new entries"
+        ),
+        F.when(halted, F.format_string("drawdown circuit breaker: %.1f%% from HWM — new entries halted", F.round(deep * 100, 1))),
+    ))
+    half = lambda c: F.when(c, 0.5).otherwise(1.0)
+    return made.select(
+        "date", F.coalesce("_out", F.array().cast("array<string>")).alias("excluded"), (half(inverted) * half(stress)).alias("exposure_scale"),
+        (~(inverted | stress | halted)).alias("allow_new_entries"), notes.alias("notes"),
+    )
+
+
 # ------------------------------------------------------------------- sizing
 
 

@@ -141,3 +141,62 @@ def promoted(candidates: DataFrame, key: str = "version") -> DataFrame:
 
     current = F.aggregate(F.slice(past, F.lit(2), F.size(past) - 1), past[0], later)
     return candidates.select(key, current[key].alias("in_use"))
+
+
+#: Fixed texts of a ticket.
+DISCLAIMER = (
+    "> Research decision-support output, not investment advice. Signals are model rankings with substantial uncertainty; losses are "
+    "possible and expected in some periods. Execute manually only if you accept the risks."
+)
+NO_TRADES = "*No trades today — targets unchanged within the minimum-trade band.*"
+TICKET_HEAD = "| # | Action | Ticker | Shares | Limit | Last close | Target wt | Score |\n|---|--------|--------|--------|-------|------------|-----------|-------|"
+
+
+def ticket_lines(changes: DataFrame, scores: DataFrame, closes: DataFrame, capital: float) -> DataFrame:
+    """What to trade on each date: rank, action, shares and limit of each name that is or was held.
+
+    changes: date, ticker, old and new weights; scores: date, ticker, score; closes: date, ticker, close. A name without a
+    score ranks with the lowest of its date; one without a close, or too small for one share, has no line.
+    """
+    day = Window.partitionBy("date")
+    lowest = scores.groupBy("date").agg(F.min("score").alias("_low"))
+    known = changes.join(scores, ["date", "ticker"], "left").join(lowest, "date", "left")
+    known = known.withColumn("_s", F.coalesce("score", "_low", F.lit(0.0)))
+    # The mean place of equal scores, cut to a whole number.
+    first, same = F.rank().over(day.orderBy(F.col("_s").desc())), F.count("*").over(Window.partitionBy("date", "_s"))
+    ranked = known.withColumn("rank", F.floor(first + (same - 1) / 2).cast("long"))
+    delta = F.col("new") - F.col("old")
+    action = F.when(F.abs(delta) < 1e-9, "hold").when(delta > 0, "buy").otherwise("sell")
+    shares = F.floor(F.abs(delta) * capital / F.col("close")).cast("long")
+    made = ranked.join(closes.where("close IS NOT NULL"), ["date", "ticker"]).withColumns({"action": action, "_n": shares})
+    made = made.where(~((F.col("_n") == 0) & (F.abs(delta) > 0)) & ~((F.col("action") == "hold") & (F.col("new") == 0)))
+    limit = limit_price(F.round("close", 6), F.when(F.col("action") == "buy", "BUY").otherwise("SELL"))
+    return made.select(
+        "date", "ticker", "score", "rank", F.col("new").alias("weight"), F.when(F.col("action") == "hold", 0).otherwise(F.col("_n")).alias("shares"),
+        limit.alias("limit_price"), F.col("close").alias("last_close"), "action",
+    )
+
+
+def whole_tickets(days: DataFrame, lines: DataFrame, capital: float, mode: str, title: str) -> DataFrame:
+    """date and markdown of each date of `days`, with its gates' notes and, where a rule stood in for the model, why.
+
+    days: date, notes (array), fallback_mode, reason.
+    """
+    dash = F.lit("—")
+    row = F.format_string(
+        "| %d | %s | %s | %s | $%s | $%,.2f | %.1f%% | %s |", F.col("rank"), F.upper("action"), F.col("ticker"),
+        F.when(F.col("shares") == 0, dash).otherwise(F.col("shares").cast("string")), F.col("limit_price").cast("string"),
+        F.round("last_close", 2), F.round(F.col("weight") * 100, 1), F.coalesce(F.format_string("%+.4f", F.round("score", 4)), F.lit("+nan")),
+    )
+    told = lines.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("rank", "ticker", row.alias("text")))).getField("text").alias("rows"))
+    all_days = days.join(told, "date", "left")
+    banner = F.when(F.col("fallback_mode"), F.concat(F.lit("  |  **FALLBACK MODE** — "), "reason")).otherwise("")
+    notes = F.when(
+        F.size(F.coalesce("notes", F.array().cast("array<string>"))) > 0,
+        F.concat(F.lit("## Gates\n- "), F.array_join("notes", "\n- "), F.lit("\n\n")),
+    ).otherwise("")
+    body = F.when(F.col("rows").isNull(), NO_TRADES).otherwise(F.concat(F.lit(TICKET_HEAD + "\n"), F.array_join("rows", "\n")))
+    return all_days.select("date", F.concat(
+        F.lit(f"# {title} — Trade Ticket for "), F.col("date").cast("string"), F.lit(f"\n\nMode: **{mode}**"), banner,
+        F.lit(f"\nSizing basis: ${capital:,.0f} (paper)\n\n"), notes, body, F.lit(f"\n\n{DISCLAIMER}\n"),
+    ).alias("markdown"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneltide.sources.derived import Tables, with_bases
+from paneltide.sources.shared import shared_path  # noqa: F401  (plans take it from here)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,14 +18,6 @@ ORACLE_SQL: dict[str, str] = {}
 DIGITS = 6
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a default only where they are one process anyway."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str | None = None, uses: Sequence[str] = ()):
     """Registers f(tables) under a name, with SQL over the derived tables that it uses."""
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from paneltide.operators import aggregates as A
+from paneltide.operators import artifacts as A2
+from paneltide.operators import boosting as B
 from paneltide.operators import families as X1
 from paneltide.operators import iterative as I
 from paneltide.operators import portfolios as P
@@ -15,7 +18,7 @@ from paneltide.operators import windows as W
 from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.plans.relational_queries import PREDS, TOP, VIX, changes, preds, top_weights, vix
 from paneltide.plans.source_queries import _shared as shared
-from paneltide.plans.window_queries import MKT, RET, fr, roll, scores
+from paneltide.plans.window_queries import DT, FALL, MKT, RET, chg, fr, roll, scores
 
 
 @query("b01_spillover")
@@ -58,27 +61,71 @@ def _(t):
     return I.folds(I.sessions(t.panel), 500, 10, 10, 63)
 
 
-def fold_plan(t, block: int):
-    numbered = I.sessions(t.panel)
-    return [tuple(r) for r in I.folds(numbered, 1000, 5, 5, block).orderBy("fold").collect()], numbered
+#: Trees of the registered models: fewer rounds at a higher rate than Boosting's own settings.
+QUICK = B.Boosting(rounds=60, rate=0.15, depth=3, bins=16)
 
 
-def features(t):
-    return t.panel.select("date", "ticker", W.change("close").alias("r1"), W.change("close", 5).alias("r5"), W.change("close", 21).alias("r21"))
+def stored(df, t, name):
+    path = shared(t, name)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+def training_rows(t):
+    """All promoted families with the label of each row; rows without a label are left out."""
+    rows = X1.build(t.panel, t.macro, list(X1.FAMILIES))
+    names = X1.feature_columns(rows)
+    known = W.labels(t.panel).where("fwd_ret IS NOT NULL").select("date", "ticker", "fwd_ret")
+    return stored(rows.join(W.grades(known, "fwd_ret").join(known, ["date", "ticker"]), ["date", "ticker"]), t, "training"), names
+
+
+def fold_plan(rows, least: int):
+    numbered = I.sessions(rows)
+    return [tuple(r) for r in I.folds(numbered, least, 5, 2, 63).orderBy("fold").collect()], numbered
 
 
 @query("b07_walk_forward_ranker")
 def _(t):
-    plan, numbered = fold_plan(t, 800)
-    rows = features(t).join(W.labels(t.panel).select("date", "ticker", "label"), ["date", "ticker"])
-    return shown(I.walk_forward(rows, ["r1", "r5", "r21"], "label", plan, numbered, trees=3))
+    rows, names = training_rows(t)
+    return shown(B.walk_forward(rows, names, "grade", *fold_plan(rows, 504), QUICK).scores)
 
 
 @query("b08_walk_forward_classifier")
 def _(t):
-    plan, numbered = fold_plan(t, 800)
-    rows = features(t).join(W.labels(t.panel).select("date", "ticker", F.when(F.col("fwd_ret") > 0, 1.0).when(F.col("fwd_ret").isNotNull(), 0.0).alias("hit")), ["date", "ticker"])
-    return shown(I.walk_forward(rows, ["r1", "r5", "r21"], "hit", plan, numbered, binary=True, trees=3))
+    """Whether a candidate of the pool gains: twice the picks of a date by the rule's score, with the rank of that score."""
+    rows, names = training_rows(t)
+    pool = W.candidates(shown(scores(t)), BASE.top_k).select("date", "ticker", "score_pct")
+    meta = stored(pool.join(rows, ["date", "ticker"]).withColumn("hit", (F.col("fwd_ret") > 0).cast("int")), t, "pool")
+    how = replace(QUICK, objective="binary")
+    return shown(B.walk_forward(meta, [*names, "score_pct"], "hit", *fold_plan(meta, 252), how).scores)
+
+
+STUMP = [(0, 0, 0, "r5", 0.0, None), (0, 0, 1, None, None, 0.25), (0, 0, 2, None, None, -0.5)]
+CASES = {
+    "model": (STUMP, ["r5"], "model"), "constant": ([STUMP[0], STUMP[1], (*STUMP[2][:5], 0.25)], ["r5"], "model produced constant scores"),
+    "schema": (STUMP, ["r5", "other_col"], "feature schema mismatch (missing: other_col)"), "none": (None, None, "no model artifact promoted"),
+}
+RULE = f"SELECT date, ticker, score FROM ({FALL})"
+MODEL_SCORE = f"SELECT date, ticker, CASE WHEN r5 > 0 THEN -0.5 ELSE 0.25 END AS score FROM (SELECT date, ticker, {chg('close', 5)} AS r5 FROM panel)"
+
+
+@query("b09_w12_scored_with_fallback", shown_sql(" UNION ALL ".join(
+    f"SELECT '{case}' AS case_of, date, ticker, score, {str(reason != 'model').lower()} AS fallback_mode, '{reason}' AS reason FROM ({MODEL_SCORE if reason == 'model' else RULE})"
+    for case, (_, _, reason) in CASES.items()), ["case_of", *DT, "fallback_mode", "reason"], ["score"]), ["panel"])
+def _(t):
+    """A registry for each case: a model that is saved, promoted, loaded by its pointer and scored with, or not."""
+    features = t.panel.select("date", "ticker", W.change("close", 5).alias("r5"), W.change("close", 21).alias("r21"))
+    made = []
+    for case, (trees, names, _) in CASES.items():
+        folder = shared(t, f"registry-{case}")
+        if trees is not None:
+            A2.save(t.spark.createDataFrame([], B.TREES), ["r21"], folder, "v1")
+            A2.promote(t.spark, folder, "v1")
+            A2.save(t.spark.createDataFrame(trees, B.TREES), names, folder, "v2")
+            A2.promote(t.spark, folder, "v2")
+        result = A2.score(features, A2.current(t.spark, folder), lambda f: W.fallback_score(f, "r5", "r21"))
+        made.append(shown(result.scores).select(F.lit(case).alias("case_of"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
 @query("b09_fallback_where_thin", shown_sql(f"""SELECT date, avg(CASE WHEN rsq IS NULL THEN 1.0::double ELSE 0.0 END) AS missing, (avg(CASE WHEN rsq IS NULL THEN 1.0::double ELSE 0.0 END) > 0.5) AS fallback FROM (SELECT date, {roll('stddev_samp', 'ret', 63, 40)} AS rsq FROM ({RET})) GROUP BY date""", ["date", "fallback"], ["missing"]), ["panel"])

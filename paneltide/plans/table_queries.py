@@ -11,6 +11,8 @@ from paneltide.plans.registry import query, shared_path, shown, shown_sql
 from paneltide.plans.relational_queries import TOP, top_weights
 from paneltide.plans.window_queries import MKT, RET
 from paneltide.streaming import events as E
+from paneltide.streaming import keyed as KS
+from paneltide.streaming import stored as ST
 
 # ------------------------------------------------------------- tables
 
@@ -308,3 +310,55 @@ def _(t):
 def _(t):
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return t.companies.groupBy("sector").agg(F.count("*").alias("companies"), n(F.col("score") >= 80).alias("pursue"), n(F.col("score").isNull()).alias("unscored"))
+
+
+#: Greedy in order of time: after a row that fired, the next one at least 90 minutes later. Rows from an hour before the newest on still wait.
+COOLED = """WITH RECURSIVE high AS (SELECT user_id, ts, min(value) AS value FROM events WHERE value >= 90 GROUP BY ALL),
+ fired AS (SELECT user_id, min(ts) AS ts FROM high GROUP BY user_id
+ UNION ALL SELECT * FROM (SELECT f.user_id, (SELECT min(h.ts) FROM high h WHERE h.user_id = f.user_id AND h.ts >= f.ts + INTERVAL 90 MINUTE) AS ts FROM fired f) WHERE ts IS NOT NULL)
+ SELECT user_id, ts, round(value, 6) + 0.0 AS value FROM fired JOIN high USING (user_id, ts)
+ WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)"""
+
+
+@query("t05b_cooldown_in_event_time", COOLED)
+def _(t):
+    place = shared_path(t.spark, "cooldown")
+    E.run_once(KS.with_cooldown(E.read_stream(t.spark, t.folder), 90.0, 90, "1 hour"), f"{place}/progress", f"{place}/rows")
+    fired = t.spark.read.schema(KS.FIRED).parquet(f"{place}/rows")
+    return shown(fired.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query("t07b_session_revisions", """SELECT user_id, session, row_number() OVER (PARTITION BY user_id, session ORDER BY event_id) - 1 AS revision, event_id, payload FROM (
+ SELECT user_id, cast(ts AS date) AS session, event_id, event_type AS payload, lag(event_type) OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY event_id) AS before FROM events)
+ WHERE payload IS DISTINCT FROM before""")
+def _(t):
+    place = shared_path(t.spark, "revisions")
+    E.run_once(KS.revisions(E.read_stream(t.spark, t.folder), "event_type", "1 day", 30), f"{place}/progress", f"{place}/rows")
+    return t.spark.read.schema(KS.REVISIONS).parquet(f"{place}/rows")
+
+
+def batches(t, parts: int = 3):
+    """The events as a stream of micro-batches: the ids of each rest by `parts`, one file after the other, so that most days come late."""
+    place = shared_path(t.spark, "arrivals")
+    rows = t.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    for k in range(parts):
+        rows.where(F.col("event_id") % parts == k).coalesce(1).write.mode("append").parquet(place)
+    stream = t.spark.readStream.schema(E.SCHEMA).option("maxFilesPerTrigger", 1).parquet(place)
+    return stream.select("user_id", F.to_date("ts").alias("day"), "event_id", (F.col("event_id") % parts).alias("arrival"), "value"), place
+
+
+def merged_table(t, merge):
+    stream, place = batches(t)
+    path = shared_path(t.spark, "table")
+    E.merge_batches(stream, f"{place}-progress", lambda batch, epoch: merge(batch, path, ["user_id", "day"], "day", ["arrival", "event_id"]))
+    return shown(ST.read(t.spark, path, stream.schema).select("user_id", "day", "event_id", "value"))
+
+
+@query("w01b_t09_stored_insert", shown_sql("SELECT user_id, cast(ts AS date) AS day, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id % 3, event_id) = 1", ["user_id", "day", "event_id"], ["value"]))
+def _(t):
+    return merged_table(t, ST.insert_missing)
+
+
+@query("w08b_stored_upsert", shown_sql("SELECT user_id, cast(ts AS date) AS day, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id % 3 DESC, event_id DESC) = 1", ["user_id", "day", "event_id"], ["value"]))
+def _(t):
+    return merged_table(t, ST.upsert)
