@@ -128,12 +128,12 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), stops - sizes, np.repeat(stops, sizes)
 
 
-def chunks(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(row, offset, bytes) of stretches, in groups of about CHUNK bytes; texts too short are left out."""
+def chunks(texts: list[bytes | None], chunk: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, offset, bytes) of stretches of `chunk` starts, in groups of about GROUP bytes; texts too short are left out."""
     group, size = [], 0
     for row, text in enumerate(texts):
-        for at in range(0, max(0, len(text or b"") - LENGTH + 1), CHUNK):
-            group.append((row, at, text[at : at + CHUNK + LENGTH - 1]))
+        for at in range(0, max(0, len(text or b"") - LENGTH + 1), chunk):
+            group.append((row, at, text[at : at + chunk + LENGTH - 1]))
             size += len(group[-1][2])
             if size >= GROUP:
                 yield group
@@ -142,12 +142,12 @@ def chunks(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-def repeated_anchors(texts: DataFrame) -> np.ndarray:
+def repeated_anchors(texts: DataFrame, chunk: int, filter_bits: int) -> np.ndarray:
     """A bit for each slot that a repeated anchor falls to."""
 
     def kernel(texts):
         found = []
-        for group in chunks(texts):
+        for group in chunks(texts, chunk):
             raw, _, ends = joined([t for _, _, t in group])
             found.append(anchors(raw, ends)[2])
         value, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
@@ -155,23 +155,23 @@ def repeated_anchors(texts: DataFrame) -> np.ndarray:
 
     each = map_texts(texts, kernel, "anchor long, twice boolean", ["text"])
     several = each.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("twice OR n > 1")
-    slot = several.select((F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))
-    return bits_of(slot)
+    return bits_of(several, "anchor", filter_bits)
 
 
-def bits_of(slots: DataFrame) -> np.ndarray:
-    """The slots (from 1) as FILTER_BITS bits on the driver."""
+def bits_of(hashes: DataFrame, column: str, filter_bits: int) -> np.ndarray:
+    """A bit for each slot (a power of two of them) that a hash falls to, on the driver."""
+    slots = hashes.select((F.col(column).bitwiseAND(F.lit(filter_bits - 1)) + 1).alias("slot"))
     rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(filter_bits // 8, np.uint8)
     for r in rows.toLocalIterator():
         bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    slot = (hashes & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -181,13 +181,13 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def runs(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+def runs(texts: DataFrame, bits: np.ndarray, chunk: int) -> DataFrame:
     """key, first start, digest and bytes of each maximal stretch of starts that may be repeated."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def kernel(keys, texts):
         out = {"key": [], "first": [], "digest": [], "bytes": []}
-        for group in chunks(texts):
+        for group in chunks(texts, chunk):
             raw, begins, ends = joined([t for _, _, t in group])
             low, _ = lowest(raw, ends)
             start, stop = stretches((low > 0) & marked(sent.value, low))
@@ -546,9 +546,9 @@ def stand_ins(judged: DataFrame, bits: np.ndarray) -> DataFrame:
     return map_texts(judged, kernel, "one long, two long", ["times", "shares", "bytes"], step=CHUNK)
 
 
-def covered(texts: DataFrame) -> DataFrame:
+def covered(texts: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
     """key, and per run of the text: where it starts, and its removed stretches (relative to that)."""
-    stored = written(runs(texts, repeated_anchors(texts)), "runs", "zstd")
+    stored = written(runs(texts, repeated_anchors(texts, chunk, filter_bits), chunk), "runs", "zstd")
     kept = written(
         stored.groupBy("digest").agg(F.any_value("bytes").alias("bytes"), F.count("*").alias("times"))
         .withColumn("string", F.monotonically_increasing_id()), "distinct-runs", "zstd",
@@ -565,8 +565,7 @@ def covered(texts: DataFrame) -> DataFrame:
     discard(kept, strings, ranked)
     opened = written(open_starts(judged), "open")
     each = opened.select("string", F.explode(F.arrays_zip("place", "one", "two")).alias("o")).select("string", "o.*")
-    slots = each.select((F.col("one").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))
-    others = stand_ins(judged, bits_of(slots))
+    others = stand_ins(judged, bits_of(each, "one", filter_bits))
     twice = each.select("one", "two").unionByName(others).groupBy("one", "two").count().where("count > 1")
     twice = written(twice.select("one", "two"), "twice")
     late = each.join(twice, ["one", "two"], "left_semi").groupBy("string").agg(F.collect_list("place").alias("late"))  # places in one run
@@ -600,11 +599,13 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def kept_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def kept_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk: int = CHUNK, filter_bits: int = FILTER_BITS
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes that are left (binary: a cut may halve a character)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.cast("binary").alias("text"))
-    removed = covered(texts)
+    removed = covered(texts, chunk, filter_bits)
 
     def kernel(ids, runs, texts):
         out = {"doc_id": ids, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
