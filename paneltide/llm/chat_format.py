@@ -2,17 +2,18 @@
 
 A record is JSON. The set of its nested field paths is hashed, and the hash selects a declarative
 mapping to turns; a layout is known by its paths alone, so a mapping lists the paths that it
-expects. Where no mapping has the hash, the paths that no mapping names (a source's own metadata)
-are left out and the rest is hashed again. Layouts that are unknown even so give no turns and are
-reported by their hash.
+requires and those that it takes where they are there. Where no mapping has the hash of all paths,
+each mapping's required paths are hashed out of the record's: the one that requires most of those
+whose hash agrees is taken, and all else (a source's own metadata) is passed over. Layouts that are
+unknown even so give no turns and are reported by their hash.
 
 The template writes each turn as `### Role: text</turn>` and a line end. In texts and roles the
 escape character, the turn marks and the colon behind a role are replaced by two-character codes,
 so no text can open or close a turn, and all can be undone.
 
 Defined results: a null role or text is empty; rows of one conversation are in order of turn, then
-role, then text; a record that is no JSON object, or is null, has no turns; repeated records each
-give their result.
+role, then text; a record that is no JSON object, is null, or is nested too deeply to be parsed has
+no turns; a text in parts is their texts, a line each; repeated records each give their result.
 """
 
 from __future__ import annotations
@@ -31,13 +32,18 @@ from paneltide.llm.common import map_texts
 Turn = tuple[str, str]
 
 
-def field_paths(value, prefix: str = "") -> set[str]:
+def field_paths(value) -> set[str]:
     """Paths of all leaves: .name for a field, [] for what a list holds."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{prefix}.{k}") for k, v in value.items())) if value else {prefix + "{}"}
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
-    return {prefix}
+    found, todo = set(), [("", value)]
+    while todo:
+        prefix, x = todo.pop()
+        if isinstance(x, dict) and x:
+            todo += [(f"{prefix}.{k}", v) for k, v in x.items()]
+        elif isinstance(x, list) and x:
+            todo += [(prefix + "[]", v) for v in x]
+        else:
+            found.add(prefix + ("{}" if isinstance(x, dict) else "[]" if isinstance(x, list) else ""))
+    return found
 
 
 def fingerprint(paths) -> str:
@@ -56,16 +62,26 @@ class Mapping:
     roles: dict[str, str] = field(default_factory=dict, hash=False)
     #: Fields whose text is put behind that of another, after an empty line.
     joined: dict[str, str] = field(default_factory=dict, hash=False)
-    ignored: tuple[str, ...] = ()
+    #: A field that is a turn of its own role before the list of turns, where the record has it.
+    lead: str = "system"
 
     def paths(self) -> set[str]:
+        """What a record must have."""
         if self.turns:
-            return {f".{self.turns}[].{self.role}", f".{self.turns}[].{self.text}", *(f".{x}" for x in self.ignored)}
-        return {f".{name}" for name, _ in self.fields} | {f".{x}" for x in (*self.joined, *self.ignored)}
+            return {f".{self.turns}[].{self.role}", f".{self.turns}[].{self.text}"}
+        return {f".{name}" for name, _ in self.fields} | {f".{x}" for x in self.joined}
+
+    def of(self, paths: set[str]) -> set[str]:
+        """The required paths that a record's paths hold, or lead on from; an empty list of turns has those of a turn."""
+        if self.turns and f".{self.turns}[]" in paths:
+            return self.paths()
+        return {q for q in self.paths() if q in paths or any(p.startswith((q + ".", q + "[", q + "{")) for p in paths)}
 
     def apply(self, record: dict) -> list[Turn]:
         if self.turns:
-            return [(self.roles.get(r := as_text(t.get(self.role)), r), as_text(t.get(self.text))) for t in record[self.turns] if isinstance(t, dict)]
+            said = [t for t in record[self.turns] if isinstance(t, dict)]
+            made = [(self.roles.get(r := as_text(t.get(self.role)), r), as_text(t.get(self.text))) for t in said]
+            return [(self.lead, as_text(record[self.lead])), *made] if record.get(self.lead) is not None else made
         made = []
         for name, role in self.fields:
             parts = [as_text(record.get(name)), *(as_text(record.get(x)) for x, behind in self.joined.items() if behind == name)]
@@ -74,7 +90,14 @@ class Mapping:
 
 
 def as_text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A text, a list of texts or of parts with a text, or the JSON of anything else."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        parts = [x.get("text") if isinstance(x, dict) else x for x in value]
+        if parts and all(isinstance(x, str) for x in parts):
+            return "\n".join(parts)
+    return json.dumps(value, ensure_ascii=False)
 
 
 SPEAKERS = {"human": "user", "gpt": "assistant"}
@@ -88,34 +111,31 @@ MAPPINGS = [
     Mapping("system-instruction", (("system", "system"), ("instruction", "user"), ("output", "assistant"))),
     Mapping("system-instruction-input", (("system", "system"), ("instruction", "user"), ("output", "assistant")), joined={"input": "instruction"}),
     Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("messages-with-id", turns="messages", role="role", text="content", ignored=("id",)),
     Mapping("conversations", turns="conversations", role="from", text="value", roles=SPEAKERS),
-    Mapping("conversations-with-id", turns="conversations", role="from", text="value", roles=SPEAKERS, ignored=("id",)),
     Mapping("dialogue", turns="turns", role="speaker", text="text", roles=SPEAKERS),
 ]
 REGISTRY = {fingerprint(m.paths()): m for m in MAPPINGS}
 
 
-def named_paths(paths: set[str], registry: dict[str, Mapping]) -> set[str]:
-    """The paths that some mapping names; an empty list of turns has those of a turn."""
-    made = set()
-    for m in registry.values():
-        made |= m.paths() if m.turns and f".{m.turns}[]" in paths else m.paths() & paths
-    return made
+def chosen(paths: set[str], registry: dict[str, Mapping]) -> Mapping | None:
+    """The mapping whose hash the paths have, or the one that requires most of those whose hash its own paths have."""
+    if exact := registry.get(fingerprint(paths)):
+        return exact
+    fits = [m for mark, m in registry.items() if fingerprint(m.of(paths)) == mark]
+    return max(fits, key=lambda m: (bool(m.turns), len(m.paths())), default=None)
 
 
 def canonical(record: str | None, registry: dict[str, Mapping] | None = None) -> tuple[str, str, list[Turn]]:
     """(fingerprint, name of the mapping or empty, turns) of a record."""
     try:
         value = json.loads(record) if record else None
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return "", "", []
+        paths = field_paths(value)
+        found = chosen(paths, REGISTRY if registry is None else registry)
+        return fingerprint(paths), found.name if found else "", found.apply(value) if found else []
+    except (ValueError, RecursionError):
         return "", "", []
-    paths, known = field_paths(value), REGISTRY if registry is None else registry
-    mark = fingerprint(paths)
-    found = known.get(mark) or known.get(fingerprint(named_paths(paths, known)))
-    return (mark, found.name, found.apply(value)) if found else (mark, "", [])
 
 
 SHOWN = {"system": "System", "user": "User", "assistant": "Assistant"}
