@@ -2,7 +2,8 @@
 
 Three fixed patterns give the base spans. On top of them a small lexer reads lines that hold
 an assignment, pairs names with literals, follows constants from one name to the next and
-through `+`, and reports literals that reach a name which sounds sensitive.
+through `+`, and reports literals that reach a name which sounds sensitive. It goes over a text once:
+that a quote is not closed on its line is found out once for the line.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each give their
 own result; positions are code points, ends exclusive; ties at one start are listed in the
@@ -28,10 +29,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 STRING = r"""(?:\b[rbfuRBFU]{1,2})?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*')"""
-TOKEN = re.compile(
-    rf"""(?P<str>{STRING})|(?P<op>==|!=|<=|>=|:=|=>|\+=|\?\?=|\?=|[=:+])"""
-    r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<raw>[^\s"'=:+,;(){}\[\]]+)|(?P<other>[^\s])"""
-)
+TRIPLE = r"""\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}"""
+DOUBLE, SINGLE = r'"(?:[^"\\\n]|\\[^\n])*"', r"'(?:[^'\\\n]|\\[^\n])*'"
+
+
+def token_of(*strings: str) -> re.Pattern:
+    return re.compile(
+        rf"""(?P<str>(?:\b[rbfuRBFU]{{1,2}})?(?:{"|".join(strings)}))|(?P<op>==|!=|<=|>=|:=|=>|\+=|\?\?=|\?=|[=:+])"""
+        r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<raw>[^\s"'=:+,;(){}\[\]]+)|(?P<other>[^\s])"""
+    )
+
+
+#: By the quotes that do not close any more on a line: once one is found open, no later one of its kind closes there.
+TOKENS = {"": token_of(TRIPLE, DOUBLE, SINGLE), '"': token_of(TRIPLE, SINGLE), "'": token_of(TRIPLE, DOUBLE), "\"'": token_of(TRIPLE)}
 ASSIGNERS = {"=", ":", ":=", "=>", "+=", "?=", "??="}
 BLANK = re.compile(r"[ \t]*")
 #: Between an operator and its value on a later line: white space, an opened bracket, a line that goes on.
@@ -40,7 +50,18 @@ PLUS = re.compile(r"(?:\s|\\\r?\n)*\+(?![+=])(?:\s|\\\r?\n)*")
 WHOLE_STRING = re.compile(STRING)
 WHOLE_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*")
 #: An unquoted value: to white space, comma, semicolon or line end; strings within it are taken whole.
-UNQUOTED = re.compile(r"""(?:"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|[^\s,;])+""")
+UNQUOTED = re.compile(r"""[^\s,;"']+""")
+QUOTED = {'"': re.compile(DOUBLE), "'": re.compile(SINGLE)}
+#: Words before a credential in a header's value.
+SCHEMES = {"bearer", "basic", "token", "digest", "apikey", "key"}
+SCHEME = re.compile(r"([A-Za-z]+)[ \t]+(?=[^\s,;:=\"'<>(]{6})")
+#: A list, or a call.
+OPENED = re.compile(r"\[|[A-Za-z_$][\w$.:]*\(")
+BRACKET = re.compile(r"[()\[\]{}]")
+#: What stands in for a value that is missing: `env.KEY || "literal"`.
+INSTEAD = re.compile(r"[ \t]*(?:\|\||\?\?|\bor\b)[ \t]*")
+ENV_NAME = re.compile(r"[A-Z][A-Z0-9_]*")
+TAG = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>]{6,})</\1\s*>")
 ASSIGNED = re.compile(r"[ \t]*(?:\?\?=|[?+:]?=(?![=>])|=>|:)")
 NAME_ENDS = re.compile(r"\s|[,;)\]}]|$")
 #: `: type =` between a name and its value.
@@ -59,6 +80,8 @@ HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|exam
 MIN_SCORE, MIN_LITERAL = 0.5, 6
 #: First and last characters kept of a value: more than the longest word in HARMLESS.
 ENDS = 12
+#: Characters of a call or a list that are looked through for literals.
+FARTHEST = 2000
 
 
 def name_score(name: str) -> float:
@@ -172,10 +195,34 @@ class Run:
 
     start = stop = 0
 
+    def __init__(self):
+        self.open = {'"': -1, "'": -1}  # up to where a quote of the kind is known not to close
+
+    def string(self, text: str, at: int) -> int | None:
+        """Where the string that a quote opens ends, if it does on its line."""
+        quote = text[at]
+        if at < self.open[quote]:
+            return None
+        if m := QUOTED[quote].match(text, at):
+            return m.end()
+        end = text.find("\n", at)
+        self.open[quote] = len(text) if end < 0 else end
+        return None
+
+    def walk(self, text: str, at: int) -> int:
+        while at < len(text):
+            if text[at] in QUOTED:
+                at = self.string(text, at) or at + 1
+            elif m := UNQUOTED.match(text, at):
+                at = m.end()
+            else:
+                break
+        return at
+
     def end(self, text: str, start: int) -> int:
         """Where the run from `start` ends, without closing brackets that nothing in it opened."""
         if not self.start <= start < self.stop:
-            self.start, self.stop = start, UNQUOTED.match(text, start).end()
+            self.start, self.stop = start, self.walk(text, start)
             self.opened = {c: text.rfind(o, start, self.stop) for c, o in CLOSERS.items()}
         end = self.stop
         while end > start and text[end - 1] in CLOSERS and self.opened[text[end - 1]] < start:
@@ -183,6 +230,28 @@ class Run:
         return end
 
 
+def enclosed(text: str, at: int) -> tuple[list[tuple[int, int]], int] | None:
+    """The string literals between the bracket that ends before `at` and the one that closes it, and where that is.
+
+    Names of variables in the environment are no literals. A bracket that never closes encloses nothing; neither
+    does one that closes far behind.
+    """
+    parts, depth, stop = [], 1, min(len(text), at + FARTHEST)
+    while at < stop:
+        if m := WHOLE_STRING.match(text, at):
+            a, b = inside(m)
+            if b > a and not ENV_NAME.fullmatch(text, a, b):
+                parts.append((a, b))
+            at = m.end()
+            continue
+        if m := BRACKET.match(text, at):
+            depth += 1 if m.group() in "([{" else -1
+            if not depth:
+                return parts, m.end()
+        at += 1
+    return None
+
+
 def followed(text: str, m: re.Match | None) -> bool:
     """Whether a match is the name of another assignment."""
     return bool(m and ASSIGNED.match(text, m.end()))
@@ -214,10 +283,16 @@ def value_at(text: str, at: int, op: str, bound: dict[str, Value], run: Run) ->
         elif (m := WHOLE_NAME.match(text, start)) and m.group() in bound and ends_name(text, m.end(), bound):
             parts.append(bound[m.group()])
             end = m.end()
+        elif not parts and (m := OPENED.match(text, start)) and (held := enclosed(text, m.end())):
+            return *held, None
         elif start < len(text) and text[start] not in "[{,;" and not text[start].isspace():
             if parts and followed(text, WHOLE_NAME.match(text, start)):
                 break
+            if not parts and (m := SCHEME.match(text, start)) and m[1].lower() in SCHEMES:
+                start = m.end()
             end = run.end(text, start)
+            if not parts and (i := INSTEAD.match(text, end)) and (m := WHOLE_STRING.match(text, i.end())):
+                return [inside(m)], m.end(), None
             if not parts and end > start and (end - start > 9 or text[start:end].lower() not in BUILTIN_TYPES):
                 parts.append((start, end))
                 run_at = start
@@ -280,10 +355,12 @@ def lexed(text: str) -> list[tuple[int, int]]:
     the literals bound to it, so a constant is reported where it was written. `+=` adds to what is
     bound, a type between name and `=` is passed over, and a value may begin or go on in a later
     line. An unquoted value runs to white space, comma, semicolon or line end. What extends a
-    secret that was reported is a secret.
+    secret that was reported is a secret. A list or a call stands for the literals in it, a word such as
+    Bearer for what follows it, and a name that is bound only later for what it is bound to then.
     """
     bound: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
+    waiting: list[tuple[float, bool, str]] = []  # sensitive names that stand for a name which is bound later
     at, pos, run = 0, 0, Run()
     for line in text.split("\n"):
         pos, end = max(at, pos), at + len(line)
@@ -291,8 +368,11 @@ def lexed(text: str) -> list[tuple[int, int]]:
         if "=" not in line and ":" not in line:
             continue
         last: list[tuple[str, str]] = []
-        while pos < end and (m := TOKEN.search(text, pos, end)):
+        open_quotes = ""
+        while pos < end and (m := TOKENS[open_quotes].search(text, pos, end)):
             pos, op = m.end(), m.group()
+            if op in QUOTED and op not in open_quotes:
+                open_quotes = "".join(sorted(open_quotes + op))
             names = targets(last) if m.lastgroup == "op" and op in ASSIGNERS else []
             if not names:
                 last = [*last[-3:], (m.lastgroup, op)]
@@ -310,6 +390,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
             if not parts:
                 continue
             reported = False
+            if run_at is not None and (m := WHOLE_NAME.fullmatch(text, *parts[0])):
+                waiting += [(s, takes_phrases(name), m.group()) for name in names if (s := name_score(name))]
             for name in names:
                 mine = [bound[name], *parts] if op == "+=" and name in bound else parts
                 value = bound[name] = mine[0] if len(mine) == 1 and isinstance(mine[0], Value) else Value(mine)
@@ -322,11 +404,24 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 # A run that is no secret may hold an assignment: `url: http://host?key=value`.
                 pos = run_at
                 if run_at < end:
-                    m = TOKEN.match(text, run_at, end)
+                    m = TOKENS[open_quotes].match(text, run_at, end)
                     pos, last = m.end(), [(m.lastgroup, m.group())]
+    for score, phrases, name in waiting:
+        value = bound.get(name)
+        if value and not value.reported and score * value.looks_secret(text, phrases) >= MIN_SCORE:
+            found.update(x for x in value.new_spans() if x[1] > x[0])
+            value.reported = True
     return sorted(found)
 
 
+def tagged(text: str) -> list[tuple[int, int]]:
+    """Contents of elements with a sensitive name."""
+    return [
+        m.span(2) for m in TAG.finditer(text)
+        if name_score(m[1]) * literal_score(m[2].strip(), takes_phrases(m[1])) >= MIN_SCORE
+    ]
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """(start, kind, end) of all spans in order, and the character ranges that hold the secrets."""
     spans, values = [], []
@@ -340,8 +435,10 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     values += [(a, b) for a, k, b in spans if k]
-    if "=" in text or ":" in text:
-        extra = lexed(text)
+    extra = lexed(text) if "=" in text or ":" in text else []
+    if "</" in text:
+        extra = sorted({*extra, *tagged(text)})
+    if extra:
         spans += [(a, 3, b) for a, b in extra]
         values += extra
     return sorted(spans), values

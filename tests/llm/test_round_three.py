@@ -2,13 +2,15 @@
 
 import hashlib
 import itertools
+import json
 import os
 import re
+import time
 
 import numpy as np
 import pytest
 
-from paneltide.llm import filter_audit, queries, suffix_dedup, vector_codes
+from paneltide.llm import chat_format, filter_audit, queries, secret_scan, suffix_dedup, vector_codes
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -258,3 +260,65 @@ def test_queries_against_their_sql(spark, name):
     made = [r.asDict() for r in frame.select(*names).collect()]
     assert sorted(frame.columns) == sorted(names)
     assert sorted(map(str, made)) == sorted(map(str, want))
+
+
+# ------------------------------------------------------------------ layouts of chat records
+
+
+U, A = ("user", "q"), ("assistant", "a")
+FORMS = [
+    ({"id": 1, "prompt": "q", "response": "a"}, [U, A]), ({"id": 1, "question": "q", "answer": "a", "source": {"x": [1]}}, [U, A]),
+    ({"id": "z", "instruction": "q", "input": "", "output": "a"}, [U, A]), ({"instruction": "q", "input": "more", "output": "a", "n": 2}, [("user", "q\n\nmore"), A]),
+    ({"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, [("system", "s"), U, A]),
+    ({"id": 3, "system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, [("system", "s"), U, A]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "text", "text": "r"}]}, {"role": "assistant", "content": "a", "weight": 1}]}, [("user", "q\nr"), A]),
+    ({"prompt": "q", "response": "a", "answer": None}, [U, A]), ({"prompt": "q", "completion": "a", "system": "s", "id": 1}, [U, A]),
+    ({"messages": [], "id": 1}, []), ({"system": "s", "prompt": "q", "response": "a", "tags": []}, [("system", "s"), U, A]),
+    ({"messages": [{"role": "user", "content": "q"}], "prompt": "p", "response": "r"}, [U]), ({"prompt": "q"}, []), ({"a": {"prompt": "q", "response": "a"}}, []),
+]
+
+
+@pytest.mark.parametrize("k", range(len(FORMS)))
+def test_layouts_with_more_fields_than_a_mapping_names(k):
+    record, turns = FORMS[k]
+    _, name, got = chat_format.canonical(json.dumps(record))
+    assert got == turns and bool(name) == (bool(turns) or "messages" in record)
+
+
+@pytest.mark.parametrize("record", ["[" * 100_000, '{"a":' * 100_000, '{"prompt": ' + "[" * 900 + "]" * 900 + ', "response": "a"}', "[1]", "3", ""])
+def test_deep_or_odd_records_do_not_crash(record):
+    assert chat_format.canonical(record)[0] is not None
+    nested = {"a": None}
+    for _ in range(50_000):
+        nested = {"a": nested}
+    assert len(chat_format.field_paths(nested)) == 1
+
+
+# ------------------------------------------------------------------ secrets that used to stay
+
+
+LEAKS = [
+    ("Authorization: Bearer abcdefGHI123456789", ["abcdefGHI123456789"]), ('auth_token = os.environ.get("TOKEN_NAME_X", "Zx81kQ977tail")', ["Zx81kQ977tail"]),
+    ('credentials = ["Zx81-kQ9ab", "b"]', ["Zx81-kQ9ab", "b"]), ("<password>hunter2xyz</password>", ["hunter2xyz"]),
+    ('private_key = part\npart = "Zx81-kQ9ab"\n', ["Zx81-kQ9ab"]), ("const secretKey = process.env.SECRET_KEY || 'Zx81kQ977tail'", ["Zx81kQ977tail"]),
+    ("api_key: Token 9f8a7b6c5d4e3f2a1b", ["9f8a7b6c5d4e3f2a1b"]), ("<item>plain words here</item> <secret></secret>", []), ("private_key = part\nother = 'Zx81-kQ9ab'", []),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LEAKS)))
+def test_secrets_that_used_to_stay(k):
+    text, want = LEAKS[k]
+    spans, _ = secret_scan.spans_of(text)
+    assert [text[a:b] for a, kind, b in spans if kind == 3] == want
+    assert not any(w in secret_scan.redacted(text) for w in want if len(w) > 1)
+
+
+@pytest.mark.parametrize("line", ['{\\"key\\": \\"value one\\", \\"n\\": 12}, ', "it's; x=\"a ", "x=(\"a' ", "token: ['b', "])
+def test_open_quotes_do_not_make_the_scan_quadratic(line):
+    times = []
+    for n in (2_000, 16_000):
+        text = 'data: "' + line * n
+        began = time.perf_counter()
+        secret_scan.spans_of(text)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * times[0] + 0.5  # eight times the text; 64 if it were quadratic
