@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paneltide.operators import quantiles as Q
 from paneltide.operators.windows import YEAR, over, pct_rank
 
 Z95 = 1.959963984540054
@@ -106,17 +107,13 @@ def ic_summary(ics: DataFrame, fold: Column) -> DataFrame:
 
 
 def payoff_by_quantile(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
-    """Mean outcome in each bin between exact quantiles; equal values share a bin."""
-    cuts = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0] or []
-    binned = df.where(F.col(x).isNotNull()).withColumn("bin", sum((F.when(F.col(x) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)).cast("long"))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(y).alias("rate"))
-
-
-def pair_correlations(df: DataFrame, key: str, on: str, value: str, least: int) -> DataFrame:
-    """Correlation of each pair of keys over the times they share."""
-    a, b = df.select(on, F.col(key).alias("a"), F.col(value).alias("x")), df.select(on, F.col(key).alias("b"), F.col(value).alias("y"))
-    both = a.join(b, on).where("a < b AND x IS NOT NULL AND y IS NOT NULL")
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), correlation("x", "y").alias("corr")).where(F.col("n") >= least)
+    """Mean outcome in each bin between exact quantiles; equal values share a bin. y is not NULL."""
+    part = F.lit(0).cast("long")
+    rows = df.where(F.col(x).isNotNull()).select(part.alias("part"), F.col(x).alias("x"), F.col(y).alias("y"))
+    one = df.sparkSession.range(1).select(F.col("id").alias("block"), F.col("id").alias("part"))
+    made = Q.bins(Q.order_statistics(rows, one, [i / bins for i in range(1, bins)]))
+    each = made.select(F.posexplode(F.arrays_zip(F.col("ns").alias("n"), F.col("rates").alias("rate"))).alias("bin", "b"))
+    return each.select(F.col("bin").cast("long").alias("bin"), "b.n", "b.rate").where("n > 0")
 
 
 def turnover_costs(changes: DataFrame, types: DataFrame, bps: dict[str, float], usual: float) -> DataFrame:

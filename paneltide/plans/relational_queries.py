@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import aggregates as A
 from paneltide.operators import joins as J
+from paneltide.operators import neighbours as N
 from paneltide.operators import windows as W
 from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.plans.window_queries import FALL, FWD, MKT, RET, ROUNDED, fr, rank_share, roll, scores
@@ -277,7 +278,7 @@ def _(t):
 
 @query("a23_pair_correlations", shown_sql(f"SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, corr(x.ret, y.ret) AS corr FROM ({RET}) x JOIN ({RET}) y ON x.date = y.date AND x.ticker < y.ticker WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 60", ["a", "b", "n"], ["corr"]), ["panel"])
 def _(t):
-    return shown(A.pair_correlations(W.with_returns(t.panel), "ticker", "date", "ret", 60))
+    return shown(N.pair_correlations(W.with_returns(t.panel), "ticker", "date", "ret", 60))
 
 
 @query("a24_paired_t", shown_sql(f"SELECT ticker, count(*) AS n, avg(ret - mkt) AS mean_diff, avg(ret - mkt) / nullif(stddev_samp(ret - mkt) / sqrt(count(*)), 0) AS t FROM ({RET}) JOIN ({MKT}) USING (date) WHERE ret IS NOT NULL GROUP BY ticker", ["ticker", "n"], ["mean_diff", "t"]), ["panel"])
@@ -323,9 +324,7 @@ CORR = f"SELECT x.ticker AS a, y.ticker AS b, corr(x.ret, y.ret) AS c FROM ({RET
 
 @query("k04_nearest_neighbours", f"SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS place FROM ({CORR}) QUALIFY place <= 5", ["panel"])
 def _(t):
-    half = A.pair_correlations(W.with_returns(t.panel), "ticker", "date", "ret", 60).select("a", "b", F.round("corr", 6).alias("c"))
-    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-    return both.withColumn("place", F.row_number().over(W.Window.partitionBy("a").orderBy(F.col("c").desc(), "b")).cast("long")).where("place <= 5").select("a", "b", "place")
+    return N.nearest(W.with_returns(t.panel), "ticker", "date", "ret", 5, 60).select("a", "b", "place")
 
 
 @query("k05_k06_first_vintage", shown_sql("""SELECT ticker, tag, "end", val FROM facts QUALIFY row_number() OVER (PARTITION BY ticker, tag, "end" ORDER BY filed) = 1""", ["ticker", "tag", "end"], ["val"]), ["facts"])

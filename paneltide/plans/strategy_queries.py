@@ -227,7 +227,17 @@ def _(t):
     return shown(changes(t).groupBy("date").agg((F.sum(F.abs("delta")) * 7.5 / 1e4).alias("cost")))
 
 
-@query("a24b_block_bootstrap")
+#: 2,000 draws of blocks of 21 sessions; the digest of seed, draw and place is the start of a block.
+BOOT = f"""WITH d AS (SELECT ticker, ret - mkt AS d, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM ({RET}) JOIN ({MKT}) USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL),
+ k AS (SELECT ticker, count(*) AS n, avg(d) AS mean_diff FROM d GROUP BY ticker HAVING count(*) >= 21),
+ b AS (SELECT ticker, i, sum(d) OVER (PARTITION BY ticker ORDER BY i ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) AS s FROM d),
+ g AS (SELECT ticker, list(s ORDER BY i) AS sums FROM b GROUP BY ticker),
+ h AS (SELECT draw, j, ('0x' || substr(md5('42:' || draw || ':' || j), 1, 12))::BIGINT AS h FROM (SELECT unnest(range(2000)) AS draw), (SELECT unnest(range((SELECT max(n) FROM k) // 21 + 1)) AS j)),
+ m AS (SELECT ticker, draw, sum(sums[h % (n - 20) + 1]) AS total FROM k JOIN g USING (ticker) JOIN h ON j < ceil(n / 21) GROUP BY ticker, draw)
+ SELECT ticker, n, mean_diff, p_not_above FROM k JOIN (SELECT ticker, avg(CASE WHEN total <= 0 THEN 1.0 ELSE 0.0 END) AS p_not_above FROM m GROUP BY ticker) USING (ticker)"""
+
+
+@query("a24b_block_bootstrap", shown_sql(BOOT, ["ticker", "n"], ["mean_diff", "p_not_above"]), ["panel"])
 def _(t):
     return shown(I.bootstrap_diff(W.with_returns(t.panel).join(W.market_return(t.panel), "date").where("ret IS NOT NULL"), "ticker", "ret", "mkt"))
 
