@@ -115,13 +115,13 @@ def difference_weights(d: float, taps: int) -> list[float]:
 
 def fractional_difference(panel: DataFrame, orders: tuple[float, ...] = (0.4, 0.7), taps: int = 63) -> DataFrame:
     """Fractionally differenced log prices (newest row first, full windows only), as scores."""
-    w = trailing(taps)
-    logs = panel.select("date", "ticker", F.collect_list(F.log("close")).over(w).alias("logs"))
-    for d in orders:
-        weights = F.array(*(F.lit(x) for x in reversed(difference_weights(d, taps))))
-        dot = F.aggregate(F.zip_with("logs", weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        logs = logs.withColumn(f"raw{d}", F.when(F.size("logs") == taps, dot))
-    return logs.select("date", "ticker", *(zscore(F.col(f"`raw{d}`"), 252, 126).alias(f"ffd_z_d{int(d * 10):02d}") for d in orders))
+    logs = panel.select("date", "ticker", F.log("close").alias("log"))
+    past = [F.lag("log", k).over(by_ticker()) for k in range(taps)]
+    taken = logs.select("date", "ticker", *(p.alias(f"_{k}") for k, p in enumerate(past)))
+    # A sum is NULL where a tap is: before the window is full.
+    sums = [sum((F.col(f"_{k}") * w for k, w in enumerate(difference_weights(d, taps))), F.lit(0.0)).alias(f"raw{d}") for d in orders]
+    made = taken.select("date", "ticker", *sums)
+    return made.select("date", "ticker", *(zscore(F.col(f"`raw{d}`"), 252, 126).alias(f"ffd_z_d{int(d * 10):02d}") for d in orders))
 
 
 def levy_area(df: DataFrame, dx: str, dy: str, n: int, out: str) -> DataFrame:
@@ -186,27 +186,49 @@ def annual_volatility(panel: DataFrame) -> DataFrame:
     return with_returns(panel).select("date", "ticker", (rolled(F.stddev_samp, F.col("ret"), 63, 40) * YEAR**0.5).alias("vol63"))
 
 
-def smoothed(df: DataFrame, x: str, halflife: float, rows: int | None = None, out: str = "smooth") -> DataFrame:
-    """Exponential mean with weights that add up to one, over so many rows: by default 53 half-lives, beyond which weights are below 2^-53."""
-    rows = rows or math.ceil(53 * halflife)
+def scanned(df: DataFrame, inputs: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Adds y, with y = keep * (y before) + u, for each out: (u, keep); rows in order of date per ticker, NULL inputs are passed over.
+
+    The scan of a linear recurrence: rows are cut into blocks so long that `keep` to their length is below 2**-53. In a block
+    y is a running sum of u over a rising power of `keep`, and of earlier blocks only the last value of the one before counts.
+    So a row costs two running sums, whatever the length of the memory, and all of them share the ticker's sort.
+    """
+    made = df
+    running = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    for out, (u, keep) in inputs.items():
+        length = max(1, math.ceil(-53 / math.log2(keep)))
+        made = made.withColumn("_u", u).withColumn("_n", F.greatest(F.count("_u").over(running) - 1, F.lit(0)))
+        made = made.withColumns({"_b": F.floor(F.col("_n") / length), "_p": (F.col("_n") % length).cast("double")})
+        inside = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        power = F.pow(F.lit(keep), F.col("_p"))
+        made = made.withColumn("_own", F.sum(F.col("_u") / power).over(inside) * power)
+        ended = F.when(F.col("_p") == length - 1, F.col("_own"))
+        earlier = F.last(ended, ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, -1))
+        carried = F.when(F.col("_b") > 0, earlier * power * keep)
+        made = made.withColumn(out, F.col("_own") + F.coalesce(carried, F.lit(0.0))).drop("_u", "_n", "_b", "_p", "_own")
+    return made
+
+
+def smoothed(df: DataFrame, x: str, halflife: float, out: str = "smooth") -> DataFrame:
+    """Exponential mean of the values so far, with weights that add up to one; a NULL value changes nothing."""
     keep = 0.5 ** (1.0 / halflife)
-    held = F.collect_list(x).over(trailing(rows))
-    return df.withColumn(out, F.aggregate(
-        held, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")),
-        lambda a, v: F.struct((a["n"] * keep + v).alias("n"), (a["d"] * keep + 1).alias("d")), lambda a: a["n"] / F.nullif(a["d"], F.lit(0.0)),
-    ))
+    number = F.count(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    made = scanned(df, {out: (F.col(x), keep)}).withColumn("_n", number)
+    total = (1 - F.pow(F.lit(keep), F.col("_n"))) / (1 - keep)
+    return made.withColumn(out, F.when(F.col("_n") > 0, F.col(out) / total)).drop("_n")
 
 
-def recursive_mean(x: str, span: int, rows: int) -> Column:
-    """x0, then a*x + (1-a)*before, over the last `rows` rows."""
-    a = 2.0 / (span + 1)
-    held = F.collect_list(x).over(trailing(rows))
-    return F.aggregate(F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))), F.element_at(held, 1), lambda m, v: m * (1 - a) + v * a)
+def recursive_means(df: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds x0, then a * x + (1 - a) * before, with a = 2 / (span + 1), for each out: (x, span)."""
+    first = F.row_number().over(by_ticker()) == 1
+    share = lambda span: 2.0 / (span + 1)
+    return scanned(df, {out: (F.when(first, F.col(x)).otherwise(F.col(x) * share(span)), 1 - share(span)) for out, (x, span) in means.items()})
 
 
-def macd(panel: DataFrame, rows: int = 400) -> DataFrame:
-    base = panel.withColumn("line", recursive_mean("close", 12, rows) - recursive_mean("close", 26, rows))
-    return base.select("date", "ticker", "line", (F.col("line") - recursive_mean("line", 9, rows)).alias("hist"))
+def macd(panel: DataFrame) -> DataFrame:
+    base = recursive_means(panel.select("date", "ticker", "close"), {"fast": ("close", 12), "slow": ("close", 26)})
+    base = recursive_means(base.withColumn("line", F.col("fast") - F.col("slow")), {"signal": ("line", 9)})
+    return base.select("date", "ticker", "line", (F.col("line") - F.col("signal")).alias("hist"))
 
 
 def rsi(panel: DataFrame, n: int = 14) -> DataFrame:

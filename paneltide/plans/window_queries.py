@@ -149,7 +149,17 @@ def _(t):
     return shown(made.where("smooth IS NOT NULL").select("date", "ticker", "smooth"))
 
 
-@query("n14_macd")
+def ema(x: str, span: int) -> str:
+    """The recursive mean over a list of the last 600 rows: older ones weigh less than a double tells apart."""
+    a = repr(2.0 / (span + 1))
+    return f"list_sum(list_transform({x}, lambda v, i: v * pow(1 - {a}::double, len({x}) - i) * CASE WHEN i = 1 THEN 1.0::double ELSE {a}::double END))"
+
+
+MACD = f"""SELECT date, ticker, line, line - {ema("ls", 9)} AS hist FROM (SELECT *, list(line) OVER {fr(600)} AS ls FROM (
+ SELECT date, ticker, {ema("l", 12)} - {ema("l", 26)} AS line FROM (SELECT date, ticker, list(close) OVER {fr(600)} AS l FROM panel)))"""
+
+
+@query("n14_macd", shown_sql(MACD, DT, ["line", "hist"]), ["panel"])
 def _(t):
     return shown(W.macd(t.panel))
 
