@@ -12,7 +12,7 @@ come before them; the strings of names are ranked by recursion; the remaining su
 others again, are merged by two keys of fixed size, (symbol, rank of the next) against places 1 and
 (symbol, symbol, rank of the one after) against places 2. Every sort is a range partitioning in which
 equal keys may be split over tasks; a task counts on its own, and the driver adds up one row per task.
-The recursion ends when names cover as many symbols as all but a thousandth of the comparisons below read.
+The recursion ends when names cover as many symbols as nine in ten of the comparisons below read.
 
 Then adjacent prefixes are compared. Where the anchors around a start are the same as those of a
 neighbour in suffix order, its 200 bytes are repeated: the blocks overlap and cover them. What the
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import discard, map_texts, mix64, release, written
+from paneltide.llm.common import batches_of, discard, map_texts, mix64, pieces, release, written
 
 LENGTH = 200
 #: Blocks that compete for an anchor, and bytes of a block: together they span LENGTH.
@@ -49,8 +49,10 @@ BLOCK = LENGTH - WINDOW + 1
 CHUNK = 1 << 20
 #: Bytes whose hashes are made together: what is worked on at once fits a processor's cache.
 GROUP = 1 << 18
-#: Bits of the filter that tells repeated anchors; its 16 MB do not grow. A full filter costs time, not results.
-FILTER_BITS = 1 << 27
+#: Bits of the filters of anchors and digests; their 32 MB do not grow. A full filter costs time, not results.
+FILTER_BITS = 1 << 28
+#: The recursion covers the symbols that this share of the comparisons reads.
+COVERED = 0.9
 GAP_BITS = 7
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NUMBERS = "string long, pos int, kind int, own long, a long, b long, c long"
@@ -155,12 +157,13 @@ def repeated_anchors(texts: DataFrame, chunk: int, filter_bits: int) -> np.ndarr
 
     each = map_texts(texts, kernel, "anchor long, twice boolean", ["text"])
     several = each.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("twice OR n > 1")
-    return bits_of(several, "anchor", filter_bits)
+    return bits_of(several, ["anchor"], filter_bits)
 
 
-def bits_of(hashes: DataFrame, column: str, filter_bits: int) -> np.ndarray:
-    """A bit for each slot (a power of two of them) that a hash falls to, on the driver."""
-    slots = hashes.select((F.col(column).bitwiseAND(F.lit(filter_bits - 1)) + 1).alias("slot"))
+def bits_of(hashes: DataFrame, columns: list[str], filter_bits: int) -> np.ndarray:
+    """A bit for each slot (a power of two of them) that a hash of one of the columns falls to, on the driver."""
+    slot = lambda c: F.col(c).bitwiseAND(F.lit(filter_bits - 1)) + 1
+    slots = hashes.select(F.explode(F.array(*map(slot, columns))).alias("slot")) if len(columns) > 1 else hashes.select(slot(columns[0]).alias("slot"))
     rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
@@ -213,7 +216,8 @@ def anchored(parts: list[bytes]) -> tuple[np.ndarray, ...]:
 def symbols(stored: DataFrame) -> DataFrame:
     """string, its symbols, and how many of them each place's comparisons read."""
 
-    def kernel(strings, parts):
+    def kernel(batch):
+        parts = batch.column(1).to_pylist()
         _, _, _, at, own, cut = anchored(parts)
         run = np.repeat(np.arange(len(parts)), np.diff(cut))
         after = np.append(at[1:], 0)
@@ -222,11 +226,9 @@ def symbols(stored: DataFrame) -> DataFrame:
         symbol = np.maximum((own >> np.uint64(GAP_BITS + 1)) << np.uint64(GAP_BITS) | gap, np.uint64(1)).view(np.int64)
         last = np.searchsorted(at, np.where(final, at, after[: len(at)] - 1) + WINDOW - 1)
         need = np.minimum(last + 1, cut[run + 1]) - np.arange(len(at))
-        cells = zip(cut[:-1].tolist(), cut[1:].tolist())
-        pairs = [(symbol[a:b], need[a:b]) for a, b in cells]
-        return {"string": strings, "symbols": [s for s, _ in pairs], "need": [n for _, n in pairs]}
+        return {"string": batch.column(0), "symbols": lists(symbol, cut), "need": lists(need, cut)}
 
-    return map_texts(stored.select("string", "bytes"), kernel, "string long, symbols array<long>, need array<long>", ["string", "bytes"], step=CHUNK)
+    return exploded(stored.select("string", "bytes"), kernel, "string long, symbols array<long>, need array<long>")
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,23 +238,41 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exploded(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """kernel(record batch) -> lists by name, batch by batch."""
+    """kernel(record batch) -> lists or arrays by name; it gets slices of about GROUP bytes of the last column."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
 
+    def slices(batch):
+        last = batch.column(batch.num_columns - 1)
+        if pa.types.is_binary(last.type):
+            yield from pieces(batch, batch.num_columns - 1, GROUP)
+            return
+        ends = (last.offsets.to_numpy()[1:] - last.offsets[0].as_py()) // (GROUP // 8)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start], side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
     def run(batches):
         try:
             for batch in batches:
-                for k in range(0, batch.num_rows, 1000):
-                    made = kernel(batch.slice(k, 1000))
-                    yield pa.RecordBatch.from_arrays([pa.array(made[n], t) for n, t in zip(names, types)], names)
+                for part in slices(batch) if batch.num_rows else ():
+                    made = kernel(part)
+                    arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((made[n], t) for n, t in zip(names, types))]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
         finally:
             release()
 
     return df.mapInArrow(run, schema)
 
 
+def lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    """values[cuts[i]:cuts[i + 1]] for each i."""
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int64, copy=False)))
+
+
 def following(values: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
     """The value `step` places on in the same list (stop: where that ends), or 0 behind its end."""
     at = np.arange(len(values)) + step
@@ -445,11 +465,11 @@ def neighbours(strings: DataFrame, ranked: DataFrame) -> DataFrame:
         values, cut = flat(batch.column(1))
         need, _ = flat(batch.column(2))
         rank, _ = flat(batch.column(3))
-        size = np.diff(cut)
+        size, ends = np.diff(cut), np.cumsum(need)
         place = np.arange(len(values)) - np.repeat(cut[:-1], size)
         return {
             "rank": rank, "string": np.repeat(batch.column(0).to_numpy(), size), "pos": place.astype(np.int32),
-            "prefix": [values[k : k + n] for k, n in zip(range(len(values)), need.tolist())],
+            "prefix": lists(values[np.repeat(np.arange(len(values)) - ends + need, need) + np.arange(int(need.sum()))], np.append(0, ends)),
         }
 
     rows = exploded(strings.join(ranked, "string").select("string", "symbols", "need", "numbers"), prefixes, "rank long, string long, pos int, prefix array<long>")
@@ -465,21 +485,19 @@ def neighbours(strings: DataFrame, ranked: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 values, cut = flat(part.column(3))
-                lists = np.split(values, cut[1:-1])
-                string, pos = part.column(1).to_numpy(), part.column(2).to_numpy()
-                before0 = 0
+                size = np.diff(cut)
+                string, pos, before0 = part.column(1).to_numpy(), part.column(2).to_numpy(), 0
                 if held is not None:
-                    string, pos = np.append(held[0], string), np.append(held[1], pos)
-                    lists, before0 = [held[2], *lists], held[3]
-                size = np.array([len(x) for x in lists])
+                    string, pos, before0 = np.append(held[0], string), np.append(held[1], pos), held[3]
+                    values, size = np.concatenate([held[2], values]), np.append(len(held[2]), size)
                 # What fills up differs from one row to the next, also without its low bits.
-                table = np.repeat((-(np.arange(len(lists)) % 2 + 1) << GAP_BITS)[:, None], int(size.max()), axis=1)
-                table[np.arange(table.shape[1]) < size[:, None]] = np.concatenate(lists)
+                table = np.repeat((-(np.arange(len(size)) % 2 + 1) << GAP_BITS)[:, None], int(size.max()), axis=1)
+                table[np.arange(table.shape[1]) < size[:, None]] = values
                 shared = lcp(table[1:], table[:-1])
                 before = np.append(before0, shared)
-                if len(lists) > 1:
+                if len(size) > 1:
                     yield out(string[:-1], pos[:-1], before[:-1], shared)
-                held = (string[-1], pos[-1], lists[-1], int(before[-1]))
+                held = (string[-1], pos[-1], values[len(values) - size[-1] :].copy(), int(before[-1]))
         if held is not None:
             yield out(np.array([held[0]]), np.array([held[1]]), np.array([held[3]]), np.array([0]))
 
@@ -490,17 +508,17 @@ def neighbours(strings: DataFrame, ranked: DataFrame) -> DataFrame:
 class Settled:
     """Of runs laid end to end: which starts are known to be repeated, and which of them stand for others."""
 
-    def __init__(self, times: list[int], shares: list, parts: list[bytes]):
-        self.raw, self.begins, low, at, _, cut = anchored(parts)
+    def __init__(self, times: pa.Array, shares: pa.ListArray, parts: pa.Array):
+        self.raw, self.begins, low, at, _, cut = anchored(parts.to_pylist())
         self.starts = np.flatnonzero(low)
         self.run = np.searchsorted(self.begins, self.starts, side="right") - 1
-        share = np.concatenate([np.asarray(s, np.int64) for s in shares]) if shares else np.zeros(0, np.int64)
+        share, _ = flat(shares)
         here = np.searchsorted(at, self.starts, side="right") - 1
         beyond = np.searchsorted(at, self.starts + WINDOW - 1)
         inner = (here >= cut[self.run]) & (beyond < cut[self.run + 1])
         asked = 2 * (beyond - here) + 1
         mine = share[np.maximum(here, 0)] if len(share) else np.zeros(len(here), np.int64)
-        copied = np.array(times, np.int64)[self.run] > 1 if len(times) else np.zeros(0, bool)
+        copied = times.to_numpy()[self.run] > 1
         self.known = copied | inner & (mine % 4096 >= asked)
         self.stands = self.known & ~(inner & (mine // 4096 >= asked))
 
@@ -511,44 +529,58 @@ class Settled:
 def open_starts(judged: DataFrame) -> DataFrame:
     """Per string: known starts as stretches, and the others with both halves of a digest."""
 
-    def kernel(strings, times, shares, parts):
-        s = Settled(times, shares, parts)
+    def kernel(batch):
+        s = Settled(*batch.columns[1:])
         known = np.zeros(len(s.raw), bool)
         known[s.starts[s.known]] = True
         start, stop = stretches(known)
         rest = np.flatnonzero(~s.known)
-        one, two = s.digests(rest, 0), s.digests(rest, 1)
-        place = s.starts[rest] - s.begins[s.run[rest]]
         a = np.searchsorted(start, np.append(s.begins, len(s.raw)))
-        b = np.searchsorted(s.run[rest], np.arange(len(parts) + 1))
-        cells, rows = list(zip(a[:-1], a[1:])), list(zip(b[:-1], b[1:]))
+        begin = np.repeat(s.begins, np.diff(a))  # of the run of each stretch
+        b = np.searchsorted(s.run[rest], np.arange(batch.num_rows + 1))
         return {
-            "string": strings, "known_from": [start[x:y] - s.begins[i] for i, (x, y) in enumerate(cells)],
-            "known_to": [stop[x:y] - s.begins[i] for i, (x, y) in enumerate(cells)],
-            "place": [place[x:y] for x, y in rows], "one": [one[x:y] for x, y in rows], "two": [two[x:y] for x, y in rows],
+            "string": batch.column(0), "known_from": lists(start - begin, a), "known_to": lists(stop - begin, a),
+            "place": lists(s.starts[rest] - s.begins[s.run[rest]], b), "one": lists(s.digests(rest, 0), b), "two": lists(s.digests(rest, 1), b),
         }
 
     kinds = ", ".join(f"{c} array<long>" for c in ("known_from", "known_to", "place", "one", "two"))
-    return map_texts(judged, kernel, f"string long, {kinds}", ["string", "times", "shares", "bytes"], step=CHUNK)
+    return exploded(judged.select("string", "times", "shares", "bytes"), kernel, f"string long, {kinds}")
 
 
 def stand_ins(judged: DataFrame, bits: np.ndarray) -> DataFrame:
     """Digests of the starts that stand for all repeated ones, where an open start may have the same."""
     sent = judged.sparkSession.sparkContext.broadcast(bits)
 
-    def kernel(times, shares, parts):
-        s = Settled(times, shares, parts)
+    def kernel(batch):
+        s = Settled(*batch.columns)
         chosen = np.flatnonzero(s.stands)
         one = s.digests(chosen, 0)
         asked = marked(sent.value, one.view(np.uint64))
-        return {"one": one[asked], "two": s.digests(chosen[asked], 1)}
+        chosen, one = chosen[asked], one[asked]
+        two = s.digests(chosen, 1)
+        asked = marked(sent.value, two.view(np.uint64))
+        return {"one": one[asked], "two": two[asked]}
+
+    return exploded(judged.select("times", "shares", "bytes"), kernel, "one long, two long")
+
+
+def asked_again(opened: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The open starts (string, place, one, two) whose digest may be among the repeated ones."""
+    sent = opened.sparkSession.sparkContext.broadcast(bits)
+
+    def kernel(batch):
+        place, cut = flat(batch.column(1))
+        (one, _), (two, _) = flat(batch.column(2)), flat(batch.column(3))
+        keep = marked(sent.value, one.view(np.uint64)) & marked(sent.value, two.view(np.uint64))
+        return {"string": np.repeat(batch.column(0).to_numpy(), np.diff(cut))[keep], "place": place[keep], "one": one[keep], "two": two[keep]}
 
-    return map_texts(judged, kernel, "one long, two long", ["times", "shares", "bytes"], step=CHUNK)
+    return exploded(opened.select("string", "place", "one", "two"), kernel, "string long, place long, one long, two long")
 
 
 def covered(texts: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
     """key, and per run of the text: where it starts, and its removed stretches (relative to that)."""
-    stored = written(runs(texts, repeated_anchors(texts, chunk, filter_bits), chunk), "runs", "zstd")
+    with batches_of(texts.sparkSession, 2000):  # whole texts
+        stored = written(runs(texts, repeated_anchors(texts, chunk, filter_bits), chunk), "runs", "zstd")
     kept = written(
         stored.groupBy("digest").agg(F.any_value("bytes").alias("bytes"), F.count("*").alias("times"))
         .withColumn("string", F.monotonically_increasing_id()), "distinct-runs", "zstd",
@@ -556,7 +588,7 @@ def covered(texts: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
     places = written(stored.select("key", "first", "digest").distinct(), "places")
     discard(stored)
     strings = written(symbols(kept), "symbols", "zstd")
-    need = strings.select(F.explode("need").alias("n")).agg(F.percentile_approx("n", F.lit(0.999), F.lit(100))).first()[0] or 1
+    need = strings.select(F.explode("need").alias("n")).agg(F.percentile_approx("n", F.lit(COVERED), F.lit(100))).first()[0] or 1
     ranked = ranks(strings, need)
     shares = neighbours(strings, ranked)
     judged = written(
@@ -565,10 +597,12 @@ def covered(texts: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
     discard(kept, strings, ranked)
     opened = written(open_starts(judged), "open")
     each = opened.select("string", F.explode(F.arrays_zip("place", "one", "two")).alias("o")).select("string", "o.*")
-    others = stand_ins(judged, bits_of(each, "one", filter_bits))
+    others = stand_ins(judged, bits_of(each, ["one", "two"], filter_bits))
     twice = each.select("one", "two").unionByName(others).groupBy("one", "two").count().where("count > 1")
     twice = written(twice.select("one", "two"), "twice")
-    late = each.join(twice, ["one", "two"], "left_semi").groupBy("string").agg(F.collect_list("place").alias("late"))  # places in one run
+    # Most open starts are not repeated: a filter keeps them from being dealt out once more.
+    again = asked_again(opened, bits_of(twice, ["one", "two"], filter_bits))
+    late = again.join(twice, ["one", "two"], "left_semi").groupBy("string").agg(F.collect_list("place").alias("late"))  # places in one run
 
     def spans(batch):
         out = {"digest": [], "span_from": [], "span_to": []}
