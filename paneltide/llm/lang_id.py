@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import map_texts, mix64, pieces, release
+from paneltide.llm.common import discard, map_texts, mix64, pieces, release, written
 
 #: First code points of ranges and the script in each; fixed values of the Unicode standard.
 SCRIPTS = [
@@ -135,11 +135,11 @@ class Model:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; texts run in step, longest first, so each step is one array operation."""
     n, k = scores.shape
-    label = np.zeros(n, np.int8)
+    label = np.zeros(n, np.int16)
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     active = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
-    best_before, stay = np.zeros(n, np.int8), np.zeros((n, k), bool)
+    best_before, stay = np.zeros(n, np.int16), np.zeros((n, k), bool)
     value = np.zeros((len(lengths), k), np.float32)
     for t, a in enumerate(active.tolist()):
         at, v = first[:a] + t, value[:a]
@@ -149,7 +149,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             stay[at] = v >= top
             np.maximum(v, top, out=v)
         v += scores[at]
-    now = value.argmax(axis=1).astype(np.int8)
+    now = value.argmax(axis=1).astype(np.int16)
     for t in range(len(active) - 1, -1, -1):
         a = int(active[t])
         at, y = first[:a] + t, now[:a]
@@ -174,7 +174,10 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool), 0)
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / totals[lang]))))
     half = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half")
-    chosen = rows.select("lang", "text", half).where(F.xxhash64("text").cast("double") + 2.0**63 <= share[F.col("lang")] * 2.0**64)
+    if k > np.iinfo(np.int16).max:
+        raise ValueError(f"labels have 16 bits; {k} languages are too many")
+    # Read twice below; the table is read for it once.
+    chosen = written(rows.select("lang", "text", half).where(F.xxhash64("text").cast("double") + 2.0**63 <= share[F.col("lang")] * 2.0**64), "training")
     number = {lang: i for i, lang in enumerate(languages)}
     width = BUCKETS + len(NAMES)
 
@@ -212,6 +215,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
                         yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(letters, pa.float64()), pa.array(mean, pa.float64())], ["language", "letters", "mean"])
 
     measured = chosen.mapInArrow(measure, "language long, letters double, mean double").where("letters > 0").toPandas()
+    discard(chosen)
     usual = np.array([usual_of(x.letters.to_numpy(), x["mean"].to_numpy()) for x in (measured[measured.language == i] for i in range(k))])
     model = model_of(languages, made[:k] + made[k:], common)
     model.usual = usual

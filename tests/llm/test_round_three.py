@@ -10,7 +10,7 @@ import time
 import numpy as np
 import pytest
 
-from paneltide.llm import chat_format, filter_audit, queries, secret_scan, suffix_dedup, vector_codes
+from paneltide.llm import chat_format, filter_audit, lang_id, queries, secret_scan, suffix_dedup, vector_codes
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -322,3 +322,9 @@ def test_open_quotes_do_not_make_the_scan_quadratic(line):
         secret_scan.spans_of(text)
         times.append(time.perf_counter() - began)
     assert times[1] < 24 * times[0] + 0.5  # eight times the text; 64 if it were quadratic
+
+
+def test_labels_of_many_languages_do_not_wrap():
+    scores = np.full((6, 300), -5.0, np.float32)
+    scores[[0, 1, 2], 270] = scores[[3, 4, 5], 150] = 0.0
+    assert lang_id.viterbi(scores, np.array([3, 3]), 2.0).tolist() == [270] * 3 + [150] * 3
