@@ -41,8 +41,8 @@ def interval_semi(rows: DataFrame, spans: DataFrame, key: str, at: str, days: in
     A span is laid out over coarse cells of time, so a row meets only the spans of its own cell.
     """
     far = rows.agg(F.max(at)).first()[0]
-    if far is None:
-        return rows
+    if far is None:  # no row has a time, so none lies in a span
+        return rows.where(F.lit(False))
     last = F.coalesce(F.least("end", F.lit(far)), F.lit(far))
     laid = spans.where(F.col("start") <= F.lit(far)).withColumn("_cell", F.explode(F.sequence(cells(F.col("start"), days), F.greatest(cells(F.col("start"), days), cells(last, days)))))
     laid = laid.select(F.col(key).alias("_k"), "_cell", F.col("start").alias("_s"), F.col("end").alias("_e"))
@@ -61,8 +61,11 @@ def earnings_events(filings: DataFrame, before: int = 45, after: int = 7) -> Dat
     primary = filings.where((F.col("form") == "8-K") & F.coalesce("items", F.lit("")).contains("2.02"))
     reports = filings.where(F.col("form").isin("10-Q", "10-K"))
     p = primary.select(F.col("ticker").alias("_k"), F.col("filed").alias("_f")).distinct()
+    # An announcement is laid out over the cells of the days whose reports it stands for: a report meets those of its own cell.
+    laid = p.select("_k", "_f", F.explode(F.sequence(cells(F.date_sub("_f", after)), cells(F.date_add("_f", before)))).alias("_cell"))
     near = F.col("_f").between(F.date_sub("filed", before), F.date_add("filed", after))
-    return primary.unionByName(reports.join(p, (F.col("ticker") == F.col("_k")) & near, "left_anti"))
+    apart = reports.withColumn("_c", cells(F.col("filed"))).join(laid, (F.col("ticker") == F.col("_k")) & (F.col("_c") == F.col("_cell")) & near, "left_anti")
+    return primary.unionByName(apart.drop("_c"))
 
 
 def merged_spans(spans: DataFrame, key: str = "ticker", gap: int = 7) -> DataFrame:
