@@ -82,3 +82,64 @@ def looks_like_split(ratio: Column, tolerance: float = 0.005) -> Column:
     """Whether a price ratio lies at a usual split, either way."""
     off = lambda k: F.least(F.abs(ratio * k - 1), F.abs(ratio / k - 1))
     return (ratio > 0) & F.exists(F.array(*map(F.lit, SPLITS)), lambda k: off(k) < tolerance)
+
+
+def allowed_tag(text: Column, name: str, allowed: tuple[str, ...], usual: str) -> Column:
+    """The value behind `NAME:` or `NAME -` (stars may stand before it), if it is an allowed word.
+
+    Else the first allowed word, in their order, within 40 characters behind the name; else the usual one.
+    """
+    said = F.upper(F.regexp_extract(text, rf"(?i){name}\s*[:\-]\s*\**\s*([A-Z]+)", 1))
+    near = [F.when(F.regexp_like(text, F.lit(rf"(?is){name}[^A-Za-z]*.{{0,40}}\b{word}\b")), word) for word in allowed]
+    return F.coalesce(F.when(said.isin(*allowed), said), *near, F.lit(usual))
+
+
+def final_decision(text: Column) -> Column:
+    """verdict, action and conviction of a manager's reply; a rejected proposal is held with low conviction."""
+    verdict = allowed_tag(text, "VERDICT", ("APPROVE", "ADJUST", "REJECT"), "ADJUST")
+    action_ = allowed_tag(text, "FINAL DECISION", ("BUY", "HOLD", "SELL"), "HOLD")
+    conviction = allowed_tag(text, "FINAL CONVICTION", ("LOW", "MEDIUM", "HIGH"), "LOW")
+    rejected = verdict == "REJECT"
+    return F.struct(
+        verdict.alias("verdict"), F.when(rejected, "HOLD").otherwise(action_).alias("action"),
+        F.when(rejected, "LOW").otherwise(conviction).alias("conviction"),
+    )
+
+
+def agent_of(key: Column) -> Column:
+    """Which agent a key of a transcript belongs to; NULL for none."""
+    return (
+        F.when(key.startswith("analyst_"), F.regexp_replace(key, "^analyst_", ""))
+        .when(key.startswith("bull_") | key.startswith("bear_"), F.substring_index(key, "_", 1))
+        .when(key.startswith("risk_"), F.regexp_replace(key, "_round(?!.*_round).*$", ""))
+        .when(key == "research_manager", "manager").when(key == "trader", "trader").when(key == "portfolio_manager", "pm")
+    )
+
+
+def _lines(text: Column, drop: str, most: int) -> Column:
+    """Trimmed lines of more than ten characters, without what a pattern finds at their beginning."""
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    long_ones = F.filter(F.split(text, "\n"), lambda x: F.length(trimmed(x)) > 10)
+    return F.slice(F.transform(long_ones, lambda x: trimmed(F.regexp_replace(x, drop, ""))), 1, most)
+
+
+def bullets(text: Column, most: int = 6) -> Column:
+    """The points of a list in a reply, without their marks."""
+    return _lines(text, r"^[•\-* ]+", most)
+
+
+def listed(text: Column, most: int = 15) -> Column:
+    """The strings of a JSON array in a reply; where none can be read, its lines without numbers."""
+    parsed = F.try_parse_json(F.nullif(F.regexp_extract(text, r"\[[\s\S]*\]", 0), F.lit("")))
+    return F.coalesce(F.try_variant_get(parsed, "$", "array<string>"), _lines(text, r"^\s*[\d.\-*]+\s*", most))
+
+
+def object_or(text: Column, usual: Column) -> Column:
+    """The JSON object in a reply as a variant, or the usual one (a variant) where none can be read."""
+    return F.coalesce(F.try_parse_json(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit(""))), usual)
+
+
+def signed_percent(x: Column) -> Column:
+    """One decimal with its sign; n/a for a value that is missing or not finite."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(finite, F.format_string("%+.1f%%", F.round(x * 100, 1) + F.lit(0.0))).otherwise("n/a")

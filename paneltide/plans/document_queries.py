@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paneltide.functions import text as X
 from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.sources import documents as D
 
@@ -45,3 +46,51 @@ def _(t):
     url = F.concat(F.lit("https://feeds/"), F.when(F.col("user_id") % 3 == 0, "merger").otherwise("news"))
     feeds = t.raw("events").select(url.alias("source_url"), part("feed", part("entry", F.concat(*fields)), ' xmlns="http://www.w3.org/2005/Atom"').alias("xml"))
     return D.entries_of(feeds).withColumn("published", F.col("published").cast("timestamp_ntz"))
+
+
+#: What a manager's reply says, by the remainder of an event's id; the SQL knows what must be read from it.
+REPLIES = {
+    0: ("VERDICT: APPROVE\nFINAL DECISION: BUY\nFINAL CONVICTION: HIGH\nREASON: momentum", "APPROVE", "BUY", "HIGH"),
+    1: ("verdict - **adjust**\nfinal decision - **sell**\nfinal conviction: medium", "ADJUST", "SELL", "MEDIUM"),
+    2: ("The final decision is, after much thought, to hold; final conviction (given all) low", "ADJUST", "HOLD", "LOW"),
+    3: ("no tags at all", "ADJUST", "HOLD", "LOW"),
+    4: ("VERDICT: REJECT\nFINAL DECISION: BUY\nFINAL CONVICTION: HIGH", "REJECT", "HOLD", "LOW"),
+    5: ("VERDICT: UNSURE, but approve\nFINAL DECISION: MAYBE, rather sell\nFINAL CONVICTION: some, so medium", "APPROVE", "SELL", "MEDIUM"),
+    6: ("FINAL DECISION: and now comes a sentence of far more than forty characters: BUY", "ADJUST", "HOLD", "LOW"),
+}
+
+
+@query("x03b_final_decisions", "SELECT event_id, " + ", ".join(
+    f"CASE event_id % 7 {' '.join(f'WHEN {k} THEN {v[i]!r}' for k, v in REPLIES.items())} END AS {name}" for i, name in enumerate(("verdict", "action", "conviction"), 1)
+) + " FROM events")
+def _(t):
+    said = F.element_at(F.create_map(*(F.lit(x) for k, v in REPLIES.items() for x in (k, v[0]))), (F.col("event_id") % 7).cast("int"))
+    return t.raw("events").select("event_id", X.final_decision(said).alias("d")).select("event_id", "d.*")
+
+
+KEYS = ["analyst_market", "bull_2", "bear_1", "risk_aggressive_round1", "research_manager", "trader", "portfolio_manager", "other", "risk_neutral"]
+AGENTS = ["market", "bull", "bear", "risk_aggressive", "manager", "trader", "pm", None, "risk_neutral"]
+
+
+@query("x03c_transcript_agents", f"""SELECT event_id, CASE event_id % 9 {' '.join(f"WHEN {k} THEN '{a}'" for k, a in enumerate(AGENTS) if a)} END AS agent,
+ CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE printf('%+.1f%%', floor(value * 10) / 10 + 0.0) END AS moved FROM events""")
+def _(t):
+    key = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("event_id") % 9 + 1).cast("int"))
+    moved = F.when(F.col("event_id") % 11 != 0, F.floor(F.col("value") * 10) / 1000)
+    return t.raw("events").select("event_id", X.agent_of(key).alias("agent"), X.signed_percent(moved).alias("moved"))
+
+
+@query("x04b_reply_lists", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'What of ' || event_id || '?|And "why"?' WHEN 1 THEN 'Question number ' || event_id || '|Second question ' || event_type ELSE 'not [valid json at all' END AS questions,
+ 'Revenue rose by ' || event_id || '|Costs were cut in ' || event_type AS highlights, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM events""")
+def _(t):
+    k, kind = F.col("event_id"), F.col("event_type")
+    array = F.concat(F.lit('Here you are:\n["What of '), k, F.lit('?", "And \\"why\\"?"]\nDone.'))
+    lines = F.concat(F.lit("1. Question number "), k, F.lit("\nshort\n  2.- Second question "), kind, F.lit("  \n"))
+    reply = F.when(k % 3 == 0, array).when(k % 3 == 1, lines).otherwise("not [valid json at all")
+    points = F.concat(F.lit("Highlights\n• Revenue rose by "), k, F.lit("\n - * Costs were cut in "), kind, F.lit("\n\n-- \n"))
+    risks = F.when(k % 2 == 0, F.concat(F.lit('Risks: {"severity": "high", "n": '), k, F.lit("} end"))).otherwise("none {broken")
+    usual = F.try_parse_json(F.lit('{"severity": "medium"}'))
+    return t.raw("events").select(
+        "event_id", F.array_join(X.listed(reply), "|").alias("questions"), F.array_join(X.bullets(points), "|").alias("highlights"),
+        F.try_variant_get(X.object_or(risks, usual), "$.severity", "string").alias("severity"),
+    )
