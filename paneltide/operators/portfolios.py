@@ -230,8 +230,8 @@ def decisions(
     """
     calendar = days.select("date").distinct()
     excluded = earnings_exclusions(calendar, earnings, ahead).groupBy("date").agg(F.array_sort(F.collect_set("ticker")).alias("_out"))
-    known = earnings.where("earnings_date IS NOT NULL").select(F.lit(True).alias("_known")).limit(1)
-    made = calendar.join(excluded, "date", "left").join(F.broadcast(known), F.lit(True), "left")  # one row, or none
+    known = earnings.where("earnings_date IS NOT NULL").agg(F.count("*").alias("n"))
+    made = calendar.join(excluded, "date", "left").withColumn("_known", known.scalar())
     for other in (vix, states, equity):
         made = made.join(other, "date", "left")
     ratio = over(F.col("vix3m"), F.when(F.col("vix") > 0, F.col("vix")))
@@ -239,7 +239,7 @@ def decisions(
     inverted, stress, halted = (F.coalesce(c, F.lit(False)) for c in (ratio < 1, F.col("state") == 1, deep <= -halt))
     names = F.concat(F.lit("['"), F.array_join("_out", "', '"), F.lit("']"))
     notes = F.array_compact(F.array(
-        F.when(F.col("_known").isNull(), "earnings gate INACTIVE (no earnings calendar)")
+        F.when(F.col("_known") == 0, "earnings gate INACTIVE (no earnings calendar)")
         .when(F.col("_out").isNotNull(), F.concat(F.lit("earnings exclusion: "), names)),
         F.when(ratio.isNull(), "VIX gate INACTIVE (missing VIX/VIX3M data)").when(
             inverted, F.format_string("VIX term structure inverted (VIX3M/VIX=%.2f) — exposure halved, no new entries", F.round(ratio, 2))
@@ -260,8 +260,9 @@ def decisions(
 
 
 def bet_size(prob: str, base: str) -> Column:
-    """Conviction between 0 and 1 by how far a probability lies above one half."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(prob) - 0.5) / F.greatest(F.col(base) - 0.5, F.lit(1e-3))))
+    """Conviction between 0 and 1 by how far a probability lies above one half; NULL where one of both is."""
+    known = F.col(prob).isNotNull() & F.col(base).isNotNull()  # greatest() passes over a NULL
+    return F.when(known, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(prob) - 0.5) / F.greatest(F.col(base) - 0.5, F.lit(1e-3)))))
 
 
 def sized(df: DataFrame, mode: str, threshold: float = 0.5) -> DataFrame:

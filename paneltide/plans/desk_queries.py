@@ -58,7 +58,7 @@ def _(t):
 _HEAD, _, _TAIL = CAL.rpartition("SELECT a.date")
 MULTIPLIERS = {
     "off": "1.0::double", "tilt": "coalesce(prob, 1.0)", "gate": "CASE WHEN prob < 0.5 THEN 0.0 ELSE 1.0 END",
-    "sized": "coalesce(least(1.0, greatest(0.0, (prob_cal - 0.5) / greatest(base_rate - 0.5, 1e-3::double))), 1.0)",
+    "sized": "CASE WHEN prob_cal IS NULL OR base_rate IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, (prob_cal - 0.5) / greatest(base_rate - 0.5, 1e-3::double))) END",
 }
 MODES = f"{_HEAD}, sizes AS (SELECT a.date{_TAIL}) " + " UNION ALL ".join(
     f"SELECT '{mode}' AS mode, date, ticker, round({mult}, 6) + 0.0 AS size_mult FROM sizes" for mode, mult in MULTIPLIERS.items()
@@ -113,7 +113,7 @@ TICKETS = f"""WITH chg AS (SELECT date, ticker, coalesce(o.w, 0) AS old, coalesc
 
 
 @query("w16b_whole_tickets", TICKETS, ["panel", "macro", "filings"])
-def _(t):
+def tickets(t):
     rounded = scores(t).select("date", "ticker", (F.round("score", 4) + F.lit(0.0)).alias("score"))
     lines = K.ticket_lines(changes(t).select("date", "ticker", "old", "new"), rounded, t.panel.select("date", "ticker", "close"), CAPITAL)
     thin = W.annual_volatility(t.panel).groupBy("date").agg((F.avg(F.col("vol63").isNull().cast("double")) > 0.5).alias("fallback_mode"))

@@ -214,7 +214,7 @@ def _(t):
 
 
 _HEAD, _, _TAIL = CAL.rpartition("SELECT a.date")
-SIZED = f"{_HEAD}SELECT date, ticker, round(coalesce(least(1.0, greatest(0.0, (prob_cal - 0.5) / greatest(base_rate - 0.5, 1e-3::double))), 1.0), 5) + 0.0 AS size_mult FROM (SELECT a.date{_TAIL})"
+SIZED = f"{_HEAD}SELECT date, ticker, round(CASE WHEN prob_cal IS NULL OR base_rate IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, (prob_cal - 0.5) / greatest(base_rate - 0.5, 1e-3::double))) END, 5) + 0.0 AS size_mult FROM (SELECT a.date{_TAIL})"
 
 
 @query("b19_meta_sizing", SIZED, ["panel"])
