@@ -65,9 +65,17 @@ def walk(parts: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if parts.dtype == object or codebook.dtype == object:
         parts, codebook, error = parts.astype(object), codebook.astype(object), error.astype(object)
 
+    # Products of doubles are exact where all sums of squares stay below 2**53.
+    exact = error.dtype != object and dims <= 1024 and max((np.abs(a).max() for a in (parts, codebook) if a.size), default=0) < 1 << 20
+    quick_parts, quick_book = (a.astype(np.float64) if exact else None for a in (parts, codebook))
+
     def leaves(at: np.ndarray, so_far: np.ndarray, depth: int) -> None:
-        for d in range(depth, dims):
-            so_far = so_far + squared(parts[at, d], codebook[:, d])
+        if exact:  # (x - c)**2 over the last dimensions, as x**2 - 2xc + c**2
+            x, c = quick_parts[at, depth:], quick_book[:, depth:]
+            so_far = so_far + (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)
+        else:
+            for d in range(depth, dims):
+                so_far = so_far + squared(parts[at, d], codebook[:, d])
         best = np.argmin(so_far, axis=1)  # the first of equal ones
         entry[at], error[at] = best, so_far[np.arange(len(at)), best]
 

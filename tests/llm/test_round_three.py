@@ -212,7 +212,7 @@ def frame_of(spark, vectors):
 @pytest.mark.parametrize("scale", [0.01, 1.0, 3e30])
 def test_codes_by_force(spark, scale):
     rng = np.random.default_rng(8)
-    vectors = [(int(i), (rng.normal(0, scale, 8).astype(np.float32) * (1 + i % 3)).tolist(), int(i % 3) if i % 7 else None) for i in rng.permutation(290)]
+    vectors = [(int(i), (rng.normal(0, scale, 8) * (1 + i % 3)).astype(np.float32).tolist(), int(i % 3) if i % 7 else None) for i in rng.permutation(290)]
     vectors += [(1000, vectors[0][1], 1), (1001, None, 1), (1002, [None] * 8, 1), (1003, [float("nan")] * 8, 2), (1004, [float("inf")] * 8, 2)]
     want, digest = codes_by_force(vectors)
     made = {r.vec_id: r for r in vector_codes.compress(frame_of(spark, vectors)).collect()}
