@@ -11,23 +11,25 @@ from paneltide.plans.registry import query, shown, shown_sql
 from paneltide.plans.relational_queries import TOP, top_weights
 from paneltide.plans.window_queries import MKT, RET
 
-NEWEST = [F.col("updated_at").desc(), F.col("id").desc()]
+
+def newest(at: str) -> list:
+    return [F.col(at).desc(), F.col("id").desc()]
 
 
 @query("e03_pipeline_page", "SELECT * FROM (SELECT id, company_id, stage, updated_at FROM stages WHERE stage = 'sourced' ORDER BY updated_at DESC, id DESC LIMIT 50 OFFSET 20)", ["stages"])
 def _(t):
-    return T.page(t.stages.select("id", "company_id", "stage", "updated_at"), NEWEST, 50, 20, stage="sourced", company_id=None)
+    return T.page(t.stages.select("id", "company_id", "stage", "updated_at"), newest("updated_at"), 50, 20, stage="sourced", company_id=None)
 
 
 @query("e04_portfolio_page", shown_sql("SELECT id, company_id, metric_name, value FROM (SELECT * FROM kpis WHERE metric_name = 'arr' ORDER BY recorded_at DESC, id DESC LIMIT 100)", ["id", "company_id", "metric_name"], ["value"]), ["kpis"])
 def _(t):
-    rows = T.page(t.kpis, [F.col("recorded_at").desc(), F.col("id").desc()], 100, metric_name="arr")
+    rows = T.page(t.kpis, newest("recorded_at"), 100, metric_name="arr")
     return shown(rows, "id", "company_id", "metric_name", "value")
 
 
 @query("e05_signals_page", "SELECT id, company_id, signal_type FROM (SELECT * FROM signals WHERE company_id = 7 ORDER BY created_at DESC, id DESC LIMIT 500)", ["signals"])
 def _(t):
-    rows = T.page(t.signals, [F.col("created_at").desc(), F.col("id").desc()], 500, company_id=7)
+    rows = T.page(t.signals, newest("created_at"), 500, company_id=7)
     return rows.select("id", "company_id", "signal_type")
 
 
