@@ -125,6 +125,16 @@ def test_correlations_do_not_depend_on_blocks(spark):
             assert [near.get((a, k)) for k in (1, 2, 3)] == (order + [None] * 3)[:3]
 
 
+def test_blocks_meet_without_copies_of_rows(spark, capsys):
+    """A pair of blocks meets in a cross join of stored blocks: no row is exploded, and none is shuffled once per other block."""
+    rows = spark.range(400).selectExpr("concat('K', id % 20) AS k", "id div 20 AS t", "sin(id) AS v")
+    for made in (N.pair_correlations(rows, "k", "t", "v", 5, block=4), N.nearest(rows, "k", "t", "v", 3, 5, block=4)):
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "Generate" not in plan and ("NestedLoopJoin" in plan or "CartesianProduct" in plan)
+    assert N.pair_correlations(rows, "k", "t", "v", 5, block=4).count() == 190
+
+
 def test_pages_and_notes(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "id int, kind string")
     assert [r.id for r in T.page(rows, [F.col("id").desc()], 2, 1, kind="a", other=None).collect()] == [6, 4]
