@@ -1,16 +1,19 @@
 """Weights of picked names, the gates before a rebalance, and the replay of a strategy.
 
 Returns are aligned by session: a session on which a name did not trade counts as no change.
-What reaches a Python group is a date's picks, or one row per date with its picks and the moves of
-names that were ever picked; never the panel.
+What reaches Python is a date's picks, or rows in order of date with their picks and the moves of
+names that were picked by then, a batch at a time; never the panel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -296,7 +299,7 @@ DAY = "name string, session long, next_date date, exposure double, entries boole
 
 
 def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: int, lookback: int, gate: DataFrame | None = None, mult: DataFrame | None = None) -> DataFrame:
-    """One row per date with scores that has a next session: the picks, best first, and the next moves of names ever picked.
+    """One row per date with scores that has a next session: the picks, best first, and the next moves of names picked by then.
 
     scores: date, ticker, score; bps: ticker, bps; gate: date, exposure_scale, allow_new_entries; mult: date, ticker, size_mult.
     """
@@ -309,7 +312,8 @@ def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: in
     top = top.join(mult, ["date", "ticker"], "left") if mult is not None else top.withColumn("size_mult", F.lit(None).cast("double"))
     each = F.struct("rank", "ticker", "vol", F.coalesce("bps", F.lit(USUAL_BPS)).alias("bps"), F.col("size_mult").alias("mult"), "past")
     picks = top.groupBy("date").agg(F.array_sort(F.collect_list(each)).alias("picks"))
-    after = with_returns(panel).join(top.select("ticker").distinct(), "ticker", "left_semi").select(F.col("date").alias("next_date"), "ticker", "ret")
+    since = top.groupBy("ticker").agg(F.min("date").alias("since"))  # nothing is held before its first pick
+    after = with_returns(panel).join(since, "ticker").where(F.col("date") > F.col("since")).select(F.col("date").alias("next_date"), "ticker", "ret")
     moves = after.where("ret IS NOT NULL").groupBy("next_date").agg(F.collect_list(F.struct("ticker", "ret")).alias("moves"))
     made = scores.select("date").distinct().join(F.broadcast(days), "date").join(picks, "date", "left").join(moves, "next_date", "left")
     if gate is not None:
@@ -323,7 +327,7 @@ def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: in
 
 
 def replay(days: DataFrame, variants: dict[str, Strategy]) -> DataFrame:
-    """Walks each variant through the same days; a group holds one row per date (see strategy_days).
+    """Walks each variant through the same days, one row per date (see strategy_days), in order and a batch at a time.
 
     Weights set on a date earn the return to the next session, trades pay their side's cost, and what
     is held drifts with prices until the next rebalance. New names stay out while the book is `halt`
@@ -331,30 +335,42 @@ def replay(days: DataFrame, variants: dict[str, Strategy]) -> DataFrame:
     """
     named = days.withColumn("name", F.explode(F.array(*map(F.lit, variants))))
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, name = rows.sort_values("session"), rows["name"].iloc[0]
-        plan, out = variants[name], []
-        held, costs, marks, due = pd.Series(dtype=float), {}, [1.0], 0
-        for day in rows.itertuples():
-            target = held
-            if due == 0:
-                picks = [] if day.picks is None else list(day.picks)
-                if not day.entries or marks[-1] / max(marks[-YEAR:]) - 1 <= -plan.halt:
-                    picks = [p for p in picks if held.get(p["ticker"], 0.0) > 0]
-                costs |= {p["ticker"]: p["bps"] for p in picks}
-                target = rebalanced(picks, held, day.exposure, plan)
-            due = (due or plan.every) - 1
-            traded = target.sub(held, fill_value=0.0).abs()
-            cost = float((traded * traded.index.map(lambda t: costs.get(t, USUAL_BPS))).sum()) / 1e4 if len(traded) else 0.0
-            moves = {} if day.moves is None else {m["ticker"]: m["ret"] for m in day.moves}
-            gains = target * np.array([moves.get(t, 0.0) for t in target.index], float)
-            gross = float(gains.sum())
-            marks.append(marks[-1] * (1 + gross - cost))
-            out.append((name, day.next_date, gross, gross - cost, cost, float(traded.sum()), marks[-1]))
-            held = (target + gains) / (1 + gross) if gross > -1 else held.iloc[:0]
-        return pd.DataFrame(out, columns=["variant", "date", "gross", "net", "cost", "turnover", "equity"])
-
-    return named.groupBy("name").applyInPandas(walk, "variant string, date date, gross double, net double, cost double, turnover double, equity double")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = None
+        for batch in batches:
+            columns, out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}, []
+            for k in range(batch.num_rows):
+                if columns["name"][k].as_py() != name:
+                    name = columns["name"][k].as_py()
+                    plan, held, costs, marks, due = variants[name], pd.Series(dtype=float), {}, [1.0], 0
+                target = held
+                if due == 0:
+                    picks = columns["picks"][k].as_py() or []
+                    if not columns["entries"][k].as_py() or marks[-1] / max(marks[-YEAR:]) - 1 <= -plan.halt:
+                        picks = [p for p in picks if held.get(p["ticker"], 0.0) > 0]
+                    costs |= {p["ticker"]: p["bps"] for p in picks}
+                    target = rebalanced(picks, held, columns["exposure"][k].as_py(), plan)
+                due = (due or plan.every) - 1
+                traded = target.sub(held, fill_value=0.0).abs()
+                cost = float((traded * traded.index.map(lambda t: costs.get(t, USUAL_BPS))).sum()) / 1e4 if len(traded) else 0.0
+                gains = target * moved(columns["moves"][k].values, target.index)
+                gross = float(gains.sum())
+                marks = [*marks[-YEAR:], marks[-1] * (1 + gross - cost)]
+                out.append((name, columns["next_date"][k].as_py(), gross, gross - cost, cost, float(traded.sum()), marks[-1]))
+                held = (target + gains) / (1 + gross) if gross > -1 else held.iloc[:0]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["variant", "date", "gross", "net", "cost", "turnover", "equity"])
+
+    walked = named.repartition(len(variants), "name").sortWithinPartitions("name", "session")
+    return walked.mapInArrow(walk, "variant string, date date, gross double, net double, cost double, turnover double, equity double")
+
+
+def moved(moves: pa.StructArray | None, names: pd.Index) -> np.ndarray:
+    """A day's return of each name, looked up in the day's moves as they lie in the batch; 0 where there is none."""
+    if moves is None or not len(moves) or not len(names):
+        return np.zeros(len(names))
+    at = pc.index_in(pa.array(names, pa.string()), value_set=moves.field("ticker"))
+    return moves.field("ret").take(at).fill_null(0.0).to_numpy(zero_copy_only=False)
 
 
 def rebalanced(picks: list, held: pd.Series, exposure: float, plan: Strategy) -> pd.Series:
