@@ -238,15 +238,18 @@ def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
 
 
 def technical_snapshot(panel: DataFrame) -> DataFrame:
-    """The latest row of each ticker: returns, volatility, drawdown, distances from means, volume."""
-    base = with_returns(panel)
-    made = base.select(
-        "ticker", "date", *(change("close", n).alias(f"r{n}") for n in (5, 21, 63, 126)), (rolled(F.stddev_samp, F.col("ret"), 21, 21) * YEAR**0.5).alias("vol21"),
-        (F.col("close") / F.max("close").over(trailing(252)) - 1).alias("drawdown_252"), (F.col("close") / rolled(F.avg, F.col("close"), 50, 50) - 1).alias("vs_sma50"),
-        (F.col("close") / rolled(F.avg, F.col("close"), 200, 200) - 1).alias("vs_sma200"),
-        over(F.avg("volume").over(trailing(5)) - F.avg("volume").over(trailing(63)), F.stddev_samp("volume").over(trailing(63))).alias("volume_z"),
+    """The latest row of each ticker: returns, volatility, drawdown, distances from means, volume; from its last 252 rows, read once."""
+    back = F.count("*").over(Window.partitionBy("ticker")) - F.row_number().over(by_ticker())
+    rows = with_returns(panel).withColumn("_back", back).where(F.col("_back") < YEAR)  # 0: the latest
+    upto = lambda n, c: F.when(F.col("_back") < n, F.col(c))
+    at = lambda n, c: F.max(F.when(F.col("_back") == n, F.col(c)))
+    full = lambda fn, c, n: F.when(F.count(upto(n, c)) >= n, fn(upto(n, c)))
+    close = at(0, "close")
+    return rows.groupBy("ticker").agg(
+        at(0, "date").alias("date"), *((over(close, at(n, "close")) - 1).alias(f"r{n}") for n in (5, 21, 63, 126)), (full(F.stddev_samp, "ret", 21) * YEAR**0.5).alias("vol21"),
+        (close / F.max("close") - 1).alias("drawdown_252"), (close / full(F.avg, "close", 50) - 1).alias("vs_sma50"), (close / full(F.avg, "close", 200) - 1).alias("vs_sma200"),
+        over(F.avg(upto(5, "volume")) - F.avg(upto(63, "volume")), F.stddev_samp(upto(63, "volume"))).alias("volume_z"),
     )
-    return latest(made, "ticker", "date")
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
