@@ -43,6 +43,9 @@ def by_blocks(df: DataFrame, key: str, on: str, value: str, pick: Callable, sche
     """pick(keys, other keys, n, correlation, whether both are one block) -> batches, for each pair of blocks."""
     spark = df.sparkSession
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(on).alias("t"), F.col(value).cast("double").alias("v"))
+    held = shared_path(spark, "values")
+    rows.write.parquet(held)  # counted and dealt from what is stored: df is worked out once
+    rows = spark.read.schema(rows.schema).parquet(held)
     blocks = max(1, -(-rows.agg(F.count_distinct("k")).first()[0] // block))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
 

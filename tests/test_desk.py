@@ -171,3 +171,16 @@ def test_tags_within_forty_characters(spark):
     said = [("DECISION: buy", "BUY"), ("decision -** SELL", "SELL"), ("DECISION: maybe; " + "x" * 20 + " hold", "HOLD"), ("DECISION: maybe; " + "x" * 60 + " hold", "HOLD?"), ("", "HOLD?")]
     rows = spark.createDataFrame([(t,) for t, _ in said], "t string").select(X.allowed_tag(F.col("t"), "DECISION", ("BUY", "HOLD", "SELL"), "HOLD?").alias("d"))
     assert [r.d for r in rows.collect()] == [w for _, w in said]
+
+
+def test_values_are_worked_out_once_and_dealt_from_what_is_stored(spark):
+    """The rows are counted and dealt into blocks: what they come from runs once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(600).selectExpr("concat('N', id % 10) AS k", "id div 10 AS t", "sin(id) AS v").mapInArrow(told, "k string, t long, v double")
+    assert N.pair_correlations(rows, "k", "t", "v", 5, block=4).count() == 45 and runs.value == 600
