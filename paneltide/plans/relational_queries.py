@@ -222,7 +222,10 @@ IC = f"SELECT date, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0
 
 
 def preds(t):
-    return shown(scores(t)).join(shown(W.labels(t.panel).select("date", "ticker", "fwd_ret")), ["date", "ticker"])
+    """Scores with what followed: both come from one sort of a ticker's rows, so nothing is joined."""
+    ahead = (W.over(F.lead("close", 5).over(W.by_ticker()), F.col("close")) - 1).alias("fwd_ret")
+    base = t.panel.select("date", "ticker", W.change("close", 5).alias("a"), W.change("close", 21).alias("b"), ahead)
+    return shown(W.fallback_score(base, "a", "b", also=("fwd_ret",)).where("date IS NOT NULL AND ticker IS NOT NULL"))
 
 
 @query("a13_rank_ic", shown_sql(IC, ["date"], ["ic"]), ["panel"])
