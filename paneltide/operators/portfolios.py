@@ -268,13 +268,18 @@ def bet_size(prob: str, base: str) -> Column:
     return F.when(known, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(prob) - 0.5) / F.greatest(F.col(base) - 0.5, F.lit(1e-3)))))
 
 
-def sized(df: DataFrame, mode: str, threshold: float = 0.5) -> DataFrame:
-    """Multiplier of each bet by mode: off, tilt, gate or sized; NULL is neutral."""
+def size_of(mode: str, threshold: float = 0.5) -> Column:
+    """Multiplier of a bet by mode: off, tilt, gate or sized; NULL is neutral."""
     made = {
         "off": F.lit(1.0), "tilt": F.col("prob"), "gate": F.when(F.col("prob") >= threshold, 1.0).when(F.col("prob").isNotNull(), 0.0),
         "sized": bet_size("prob_cal", "base_rate"),
     }[mode]
-    return df.withColumn("size_mult", F.coalesce(made, F.lit(1.0)))
+    return F.coalesce(made, F.lit(1.0))
+
+
+def sized(df: DataFrame, mode: str, threshold: float = 0.5) -> DataFrame:
+    """Multiplier of each bet by mode (see size_of)."""
+    return df.withColumn("size_mult", size_of(mode, threshold))
 
 
 # ------------------------------------------------------------------- replay
@@ -295,13 +300,11 @@ class Strategy:
     renormalise: bool = False  # after the bets' multipliers
 
 
-DAY = "name string, session long, next_date date, exposure double, entries boolean, picks array<struct<rank: int, ticker: string, vol: double, bps: double, mult: double, past: array<double>>>, moves array<struct<ticker: string, ret: double>>"
-
-
 def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: int, lookback: int, gate: DataFrame | None = None, mult: DataFrame | None = None) -> DataFrame:
     """One row per date with scores that has a next session: the picks, best first, and the next moves of names picked by then.
 
-    scores: date, ticker, score; bps: ticker, bps; gate: date, exposure_scale, allow_new_entries; mult: date, ticker, size_mult.
+    scores: date, ticker, score; bps: ticker, bps; gate: date, exposure_scale, allow_new_entries; mult: date, ticker, mults
+    (a map from the name of a variant to its multiplier).
     """
     numbered = sessions(panel)
     days = numbered.withColumn("next_date", F.lead("date").over(Window.orderBy("date"))).where("next_date IS NOT NULL")
@@ -309,9 +312,9 @@ def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: in
     best = Window.partitionBy("date").orderBy(F.col("score").desc(), "ticker")
     top = usable.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).drop("score")
     top = with_past(top, panel, lookback + 1).join(bps, "ticker", "left")
-    top = top.join(mult, ["date", "ticker"], "left") if mult is not None else top.withColumn("size_mult", F.lit(None).cast("double"))
-    each = F.struct("rank", "ticker", "vol", F.coalesce("bps", F.lit(USUAL_BPS)).alias("bps"), F.col("size_mult").alias("mult"), "past")
-    picks = top.groupBy("date").agg(F.array_sort(F.collect_list(each)).alias("picks"))
+    top = top.join(mult, ["date", "ticker"], "left") if mult is not None else top.withColumn("mults", F.lit(None).cast("map<string, double>"))
+    each = F.struct("rank", "ticker", "vol", F.coalesce("bps", F.lit(USUAL_BPS)).alias("bps"), "past", "mults")
+    picks = top.groupBy("date").agg(F.array_sort(F.collect_list(each), lambda a, b: a["rank"] - b["rank"]).alias("picks"))
     since = top.groupBy("ticker").agg(F.min("date").alias("since"))  # nothing is held before its first pick
     after = with_returns(panel).join(since, "ticker").where(F.col("date") > F.col("since")).select(F.col("date").alias("next_date"), "ticker", "ret")
     moves = after.where("ret IS NOT NULL").groupBy("next_date").agg(F.collect_list(F.struct("ticker", "ret")).alias("moves"))
@@ -321,7 +324,7 @@ def strategy_days(scores: DataFrame, panel: DataFrame, bps: DataFrame, top_k: in
     else:
         made = made.withColumns({"exposure_scale": F.lit(1.0), "allow_new_entries": F.lit(True)})
     return made.select(
-        F.lit("").alias("name"), F.col("idx").cast("long").alias("session"), "next_date", F.coalesce("exposure_scale", F.lit(1.0)).alias("exposure"),
+        F.col("idx").cast("long").alias("session"), "next_date", F.coalesce("exposure_scale", F.lit(1.0)).alias("exposure"),
         F.coalesce("allow_new_entries", F.lit(True)).alias("entries"), "picks", "moves",
     )
 
@@ -334,6 +337,8 @@ def replay(days: DataFrame, variants: dict[str, Strategy]) -> DataFrame:
     below the highest of its last 252 marks.
     """
     named = days.withColumn("name", F.explode(F.array(*map(F.lit, variants))))
+    mult = lambda p: p.withField("mult", F.try_element_at(p["mults"], F.col("name"))).dropFields("mults")  # noqa: E731  (the variant's)
+    named = named.withColumn("picks", F.transform("picks", mult))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = None

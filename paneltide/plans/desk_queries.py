@@ -72,9 +72,8 @@ def sizes(t):
 
 @query("b19b_sizing_modes", MODES, ["panel"])
 def _(t):
-    known = sizes(t)
-    made = [P.sized(known, mode).select(F.lit(mode).alias("mode"), "date", "ticker", "size_mult") for mode in MULTIPLIERS]
-    return shown(made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]))
+    modes = F.array(*(F.struct(F.lit(mode).alias("mode"), P.size_of(mode).alias("size_mult")) for mode in MULTIPLIERS))
+    return shown(sizes(t).select("date", "ticker", F.inline(modes)).select("mode", "date", "ticker", "size_mult"))
 
 
 @query("b16b_replay_with_all_inputs")
@@ -84,13 +83,10 @@ def _(t):
     gate = all_gates(t, I.jump_regimes(W.market_regime_features(W.market_return(t.panel))))
     out = gate.select("date", F.explode("excluded").alias("ticker"))
     types = t.universe.select("ticker", F.when(F.col("asset_type") == "etf", P.ETF_BPS).otherwise(P.USUAL_BPS).alias("bps"))
-    known, made = sizes(t), None
-    for mode in MULTIPLIERS:
-        mult = P.sized(known, mode).select("date", "ticker", "size_mult")
-        days = P.strategy_days(smooth.join(out, ["date", "ticker"], "left_anti"), t.panel, types, BASE.top_k, BASE.lookback, gate, mult)
-        rows = P.replay(days, {mode: replace(BASE, renormalise=mode == "tilt")})
-        made = rows if made is None else made.unionByName(rows)
-    return shown(made)
+    sizings = F.create_map(*(x for mode in MULTIPLIERS for x in (F.lit(mode), P.size_of(mode))))
+    mult = sizes(t).select("date", "ticker", sizings.alias("mults"))
+    days = P.strategy_days(smooth.join(out, ["date", "ticker"], "left_anti"), t.panel, types, BASE.top_k, BASE.lookback, gate, mult)
+    return shown(P.replay(days, {mode: replace(BASE, renormalise=mode == "tilt") for mode in MULTIPLIERS}))
 
 
 CAPITAL = 100_000.0
