@@ -93,6 +93,20 @@ def latest_known(sessions: DataFrame, sources: dict[str, tuple[DataFrame, str]])
     return made.where("_late = 0").select(*sessions.columns, *sources)
 
 
+def last_known(keys: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """keys (ticker, ...) with each source's value of the latest filing, and of these the latest end: all of it is known.
+
+    Days go into one number, so that values are kept in hash tables and nothing is sorted.
+    """
+    day = lambda c: F.coalesce(F.unix_date(c) + 719_163, F.lit(0)).cast("long")  # noqa: E731  (from 0, below 2**22)
+    both = None
+    for name, (source, column) in sources.items():
+        mine = source.where(F.col(column).isNotNull()).select("ticker", (day("filed") * 4_194_304 + day("end")).alias("_at"), F.col(column).alias(name))
+        both = mine if both is None else both.unionByName(mine, allowMissingColumns=True)
+    newest = both.groupBy("ticker").agg(*(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_at"))).alias(name) for name in sources))
+    return keys.join(newest, "ticker", "left")
+
+
 def figures(facts: DataFrame) -> dict[str, tuple[DataFrame, str]]:
     """The series that ratios are made of, each with the column of its value."""
     ni, rev, cfo = (trailing_year(quarterly(facts, tags)) for tags in (["NetIncomeLoss"], ["Revenues"], ["OperatingCash"]))
@@ -141,7 +155,7 @@ def snapshot(facts: DataFrame, asof: str) -> DataFrame:
     day = F.lit(asof).cast("date")
     seen = facts.where(F.col("filed") < day)
     last = seen.groupBy("ticker").agg(F.max("filed").alias("last_filed")).withColumn("date", day)
-    made = latest_known(last, figures(seen))
+    made = last_known(last, figures(seen))
     billions = lambda x: F.format_string("$%.1fB", F.col(x) / 1e9)
     return made.select(
         "ticker", "rev", "ni", "rev_yoy", "ni_yoy", against(F.col("ni"), "equity").alias("roe"), against(F.col("ni"), "float").alias("earnings_yield"),
