@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +13,14 @@ from paneltide.functions.text import plain_text, signal_kind
 
 
 def curated(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Panel rows of a Parquet folder; every filter reaches the scan."""
-    df = spark.read.parquet(path)
+    """Panel rows of a Parquet folder with one folder a ticker; every filter reaches the scan, and only the folders of the named tickers are listed."""
+    plain = [x for x in tickers or [] if re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", x)]
+    try:
+        if not plain or len(plain) < len(tickers):
+            raise AnalysisException("some names are written in another way in a path")
+        df = spark.read.option("basePath", path).parquet(f"{path}/ticker={{{','.join(plain)}}}")
+    except AnalysisException:  # or none of them has a folder
+        df = spark.read.parquet(path)
     if tickers:
         df = df.where(F.col("ticker").isin(*tickers))
     if start:
