@@ -117,7 +117,9 @@ MODEL_SCORE = f"SELECT date, ticker, CASE WHEN r5 > 0 THEN -0.5 ELSE 0.25 END AS
     for case, (_, _, reason) in CASES.items()), ["case_of", *DT, "fallback_mode", "reason"], ["score"]), ["panel"])
 def _(t):
     """A registry for each case: a model that is saved, promoted, loaded by its pointer and scored with, or not."""
-    features = t.panel.select("date", "ticker", W.change("close", 5).alias("r5"), W.change("close", 21).alias("r21"))
+    # Features and the rule's scores are worked out once, whatever the number of cases.
+    features = stored(t.panel.select("date", "ticker", W.change("close", 5).alias("r5"), W.change("close", 21).alias("r21")), t, "features")
+    rule = stored(W.fallback_score(features, "r5", "r21"), t, "rule")
     made = []
     for case, (trees, names, _) in CASES.items():
         folder = shared(t, f"registry-{case}")
@@ -126,7 +128,7 @@ def _(t):
             A2.promote(t.spark, folder, "v1")
             A2.save(t.spark.createDataFrame(trees, B.TREES), names, folder, "v2")
             A2.promote(t.spark, folder, "v2")
-        result = A2.score(features, A2.current(t.spark, folder), lambda f: W.fallback_score(f, "r5", "r21"))
+        result = A2.score(features, A2.current(t.spark, folder), lambda _: rule)
         made.append(shown(result.scores).select(F.lit(case).alias("case_of"), "*"))
     return reduce(lambda a, b: a.unionByName(b), made)
 
