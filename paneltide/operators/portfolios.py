@@ -25,6 +25,8 @@ from paneltide.operators.windows import YEAR, by_ticker, over, rolled, with_retu
 USUAL_BPS, ETF_BPS = 7.5, 3.0
 #: Least sessions that a covariance is taken from.
 LEAST_SESSIONS = 40
+#: Most moves of a row that is walked: a batch of rows has a size that does not grow with the names picked by then.
+PART = 128
 
 
 def rolled_vol(panel: DataFrame) -> DataFrame:
@@ -336,43 +338,66 @@ def replay(days: DataFrame, variants: dict[str, Strategy]) -> DataFrame:
     is held drifts with prices until the next rebalance. New names stay out while the book is `halt`
     below the highest of its last 252 marks.
     """
-    named = days.withColumn("name", F.explode(F.array(*map(F.lit, variants))))
+    named = by_parts(days).withColumn("name", F.explode(F.array(*map(F.lit, variants))))
     mult = lambda p: p.withField("mult", F.try_element_at(p["mults"], F.col("name"))).dropFields("mults")  # noqa: E731  (the variant's)
     named = named.withColumn("picks", F.transform("picks", mult))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = None
-        for batch in batches:
-            columns, out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}, []
-            for k in range(batch.num_rows):
-                if columns["name"][k].as_py() != name:
-                    name = columns["name"][k].as_py()
-                    plan, held, costs, marks, due = variants[name], pd.Series(dtype=float), {}, [1.0], 0
-                target = held
-                if due == 0:
-                    picks = columns["picks"][k].as_py() or []
-                    if not columns["entries"][k].as_py() or marks[-1] / max(marks[-YEAR:]) - 1 <= -plan.halt:
-                        picks = [p for p in picks if held.get(p["ticker"], 0.0) > 0]
-                    costs |= {p["ticker"]: p["bps"] for p in picks}
-                    target = rebalanced(picks, held, columns["exposure"][k].as_py(), plan)
-                due = (due or plan.every) - 1
-                traded = target.sub(held, fill_value=0.0).abs()
-                cost = float((traded * traded.index.map(lambda t: costs.get(t, USUAL_BPS))).sum()) / 1e4 if len(traded) else 0.0
-                gains = target * moved(columns["moves"][k].values, target.index)
-                gross = float(gains.sum())
-                marks = [*marks[-YEAR:], marks[-1] * (1 + gross - cost)]
-                out.append((name, columns["next_date"][k].as_py(), gross, gross - cost, cost, float(traded.sum()), marks[-1]))
-                held = (target + gains) / (1 + gross) if gross > -1 else held.iloc[:0]
+        name = day = None  # a day's parts may lie in several batches: it is closed when the next one begins
+
+        def closed() -> tuple:
+            nonlocal held, marks
+            gains = target * got
+            gross = float(gains.sum())
+            marks = [*marks[-YEAR:], marks[-1] * (1 + gross - cost)]
+            held = (target + gains) / (1 + gross) if gross > -1 else held.iloc[:0]
+            return name, day, gross, gross - cost, cost, float(traded.sum()), marks[-1]
+
+        def told(out: list) -> Iterator[pa.RecordBatch]:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["variant", "date", "gross", "net", "cost", "turnover", "equity"])
 
-    walked = named.repartition(len(variants), "name").sortWithinPartitions("name", "session")
+        for batch in batches:
+            columns, out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}, []
+            starts = np.union1d(np.flatnonzero(columns["part"].to_numpy() == 0), [0] * (batch.num_rows > 0)).astype(int).tolist()
+            for k, end in zip(starts, [*starts[1:], batch.num_rows]):
+                if columns["part"][k].as_py() == 0:
+                    if day is not None:
+                        out.append(closed())
+                    if columns["name"][k].as_py() != name:
+                        name = columns["name"][k].as_py()
+                        plan, held, costs, marks, due = variants[name], pd.Series(dtype=float), {}, [1.0], 0
+                    day, target = columns["next_date"][k].as_py(), held
+                    if due == 0:
+                        picks = columns["picks"][k].as_py() or []
+                        if not columns["entries"][k].as_py() or marks[-1] / max(marks[-YEAR:]) - 1 <= -plan.halt:
+                            picks = [p for p in picks if held.get(p["ticker"], 0.0) > 0]
+                        costs |= {p["ticker"]: p["bps"] for p in picks}
+                        target = rebalanced(picks, held, columns["exposure"][k].as_py(), plan)
+                    due = (due or plan.every) - 1
+                    traded = target.sub(held, fill_value=0.0).abs()
+                    cost = float((traded * traded.index.map(lambda t: costs.get(t, USUAL_BPS))).sum()) / 1e4 if len(traded) else 0.0
+                    got = np.zeros(len(target))
+                got += moved(columns["moves"].slice(k, end - k).flatten(), target.index)
+            yield from told(out)
+        if day is not None:
+            yield from told([closed()])
+
+    walked = named.repartition(len(variants), "name").sortWithinPartitions("name", "session", "part")
     return walked.mapInArrow(walk, "variant string, date date, gross double, net double, cost double, turnover double, equity double")
 
 
-def moved(moves: pa.StructArray | None, names: pd.Index) -> np.ndarray:
-    """A day's return of each name, looked up in the day's moves as they lie in the batch; 0 where there is none."""
-    if moves is None or not len(moves) or not len(names):
+def by_parts(days: DataFrame) -> DataFrame:
+    """Each date's row as parts of at most PART moves, numbered from 0; the first one holds the picks."""
+    last = F.greatest(F.lit(0).cast("long"), F.floor((F.coalesce(F.size("moves"), F.lit(0)) - 1) / PART))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("part"), F.slice("moves", (i * PART + 1).cast("int"), PART).alias("moves")))
+    laid = days.select(*(c for c in days.columns if c != "moves"), F.inline(parts))
+    return laid.withColumn("picks", F.when(F.col("part") == 0, F.col("picks")))
+
+
+def moved(moves: pa.StructArray, names: pd.Index) -> np.ndarray:
+    """Returns of names, looked up in a day's moves as they lie in the batch; 0 where there is none."""
+    if not len(moves) or not len(names):
         return np.zeros(len(names))
     at = pc.index_in(pa.array(names, pa.string()), value_set=moves.field("ticker"))
     return moves.field("ret").take(at).fill_null(0.0).to_numpy(zero_copy_only=False)
