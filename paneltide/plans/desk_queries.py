@@ -12,7 +12,7 @@ from paneltide.operators import joins as J
 from paneltide.operators import portfolios as P
 from paneltide.operators import tables as K
 from paneltide.operators import windows as W
-from paneltide.plans.registry import query, shown, shown_sql
+from paneltide.plans.registry import query, shared_path, shown, shown_sql
 from paneltide.plans.relational_queries import NEXT, TOP, VIX, changes, vix
 from paneltide.plans.strategy_queries import BASE, CAL, REGIME, probs
 from paneltide.plans.window_queries import FALL, MKT, RET, roll, scores
@@ -34,9 +34,9 @@ GATES = f"""SELECT d.date, coalesce(out_, []) AS excluded, (CASE WHEN ratio < 1
  LEFT JOIN ({REGIME}) r USING (date) LEFT JOIN (SELECT date, equity / high_water_mark - 1 AS deep FROM ({EQUITY})) e USING (date)"""
 
 
-def market_equity(t):
+def market_equity(market):
     days = Window.orderBy("date")  # one row per date
-    made = W.market_return(t.panel).where("mkt IS NOT NULL").select("date", F.exp(F.sum(F.log(1 + F.col("mkt"))).over(days)).alias("equity"))
+    made = market.where("mkt IS NOT NULL").select("date", F.exp(F.sum(F.log(1 + F.col("mkt"))).over(days)).alias("equity"))
     return made.withColumn("high_water_mark", F.max("equity").over(days.rowsBetween(-251, 0)))
 
 
@@ -44,9 +44,11 @@ def earnings(t):
     return t.filings.where("form = '8-K' AND items LIKE '%2.02%'").select("ticker", F.col("filed").alias("earnings_date"))
 
 
-def all_gates(t, states=None):
-    falling = W.market_return(t.panel).where("mkt IS NOT NULL").select("date", F.when(F.col("mkt") < -0.01, 1).otherwise(0).alias("state"))
-    return P.decisions(t.panel, earnings(t), vix(t), falling if states is None else states, market_equity(t))
+def all_gates(t, states=None, market=None):
+    """market: date, mkt of every date of the panel, where they are at hand."""
+    market = W.market_return(t.panel) if market is None else market
+    falling = market.where("mkt IS NOT NULL").select("date", F.when(F.col("mkt") < -0.01, 1).otherwise(0).alias("state"))
+    return P.decisions(market, earnings(t), vix(t), falling if states is None else states, market_equity(market))
 
 
 @query("b17b_all_gates", f"SELECT date, array_to_string(excluded, ',') AS excluded, exposure_scale, allow_new_entries, array_to_string(notes, '; ') AS notes FROM ({GATES})", ["panel", "macro", "filings"])
@@ -110,8 +112,15 @@ TICKETS = f"""WITH chg AS (SELECT date, ticker, coalesce(o.w, 0) AS old, coalesc
 
 @query("w16b_whole_tickets", TICKETS, ["panel", "macro", "filings"])
 def tickets(t):
-    rounded = scores(t).select("date", "ticker", (F.round("score", 4) + F.lit(0.0)).alias("score"))
-    lines = K.ticket_lines(changes(t).select("date", "ticker", "old", "new"), rounded, t.panel.select("date", "ticker", "close"), CAPITAL)
-    thin = W.annual_volatility(t.panel).groupBy("date").agg((F.avg(F.col("vol63").isNull().cast("double")) > 0.5).alias("fallback_mode"))
-    days = all_gates(t).select("date", "notes").join(thin, "date").withColumn("reason", F.lit("too few names with a volatility"))
-    return K.whole_tickets(days, lines, CAPITAL, "paper", "Panel Desk")
+    # All that is taken from the panel comes from one sort by ticker and one by date, and is stored, as it is read several times.
+    base = W.with_returns(t.panel).select("date", "ticker", "close", "ret", W.change("close", 5).alias("a"), W.change("close", 21).alias("b"))
+    known = base.withColumn("vol63", W.rolled(F.stddev_samp, F.col("ret"), 63, 40))
+    path, by_date = shared_path(t.spark, "scored"), shared_path(t.spark, "dates")
+    W.fallback_score(known, "a", "b", also=("close", "ret", F.col("vol63").isNull().alias("thin"))).write.parquet(path)
+    scored = t.spark.read.parquet(path)
+    scored.groupBy("date").agg(F.avg("ret").alias("mkt"), (F.avg(F.col("thin").cast("double")) > 0.5).alias("fallback_mode")).write.parquet(by_date)
+    dates = t.spark.read.parquet(by_date)
+    rounded = scored.select("date", "ticker", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+    lines = K.ticket_lines(changes(t, scored.select("date", "ticker", "score")).select("date", "ticker", "old", "new"), rounded, scored.select("date", "ticker", "close"), CAPITAL)
+    days = all_gates(t, market=dates.select("date", "mkt")).select("date", "notes").join(dates.select("date", "fallback_mode"), "date")
+    return K.whole_tickets(days.withColumn("reason", F.lit("too few names with a volatility")), lines, CAPITAL, "paper", "Panel Desk")

@@ -114,9 +114,10 @@ def _(t):
 TOP = "SELECT date, ticker, 0.2::double AS w FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, ticker) AS n FROM ({0})) WHERE n <= 5".format(ROUNDED)
 
 
-def top_weights(t, k: int = 5):
+def top_weights(t, k: int = 5, scored=None):
+    """Equal weights of the k best of each date; scored: date, ticker, score where they are at hand."""
     w = W.Window.partitionBy("date").orderBy(F.col("score").desc_nulls_last(), "ticker")
-    return shown(scores(t)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("date", "ticker", F.lit(1.0 / k).alias("w"))
+    return shown(scores(t) if scored is None else scored).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("date", "ticker", F.lit(1.0 / k).alias("w"))
 
 
 NEXT = "SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM panel)"
@@ -127,9 +128,9 @@ def _(t):
     return shown(changes(t))
 
 
-def changes(t):
-    days = t.panel.select("date").distinct().withColumn("next", F.lead("date").over(W.Window.orderBy("date")))
-    now = top_weights(t)
+def changes(t, scored=None):
+    days = (t.panel if scored is None else scored).select("date").distinct().withColumn("next", F.lead("date").over(W.Window.orderBy("date")))
+    now = top_weights(t, scored=scored)
     before = now.join(days, "date").where("next IS NOT NULL").select(F.col("next").alias("date"), "ticker", "w")
     return J.aligned(before, now, ["date", "ticker"], "w")
 

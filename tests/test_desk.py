@@ -184,3 +184,15 @@ def test_values_are_worked_out_once_and_dealt_from_what_is_stored(spark):
 
     rows = spark.range(600).selectExpr("concat('N', id % 10) AS k", "id div 10 AS t", "sin(id) AS v").mapInArrow(told, "k string, t long, v double")
     assert N.pair_correlations(rows, "k", "t", "v", 5, block=4).count() == 45 and runs.value == 600
+
+
+def test_tickets_sort_the_panel_once(spark):
+    """Scores, returns, volatilities and closes of a ticket come from one pass over the panel; no later step sorts it again."""
+    from paneltide.plans import desk_queries
+    from paneltide.sources.derived import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    made = desk_queries.tickets(t)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(close" not in plan and "stddev_samp(ret" not in plan
+    assert made.count() == t.panel.select("date").distinct().count()
